@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import finite_or_null
 from .encoders import long_form
-from .rank import cumulative_before, join_on
+from .rank import cumulative_before, join_on, materialize
 
 EPS = 1e-9
 EFFICIENCY_THRESHOLD = 0.1
@@ -33,11 +33,12 @@ def _ranked(agg: DataFrame, value_col: str, weight: str) -> DataFrame:
                       .alias(f"r_{value_col}"), n.alias("n"))
 
 
-def _zero_fill(stats: DataFrame, cols: list[str], name: str) -> DataFrame:
-    spark = stats.sparkSession
-    all_cols = spark.createDataFrame([(c, i) for i, c in enumerate(cols)], "col string, pos int")
-    return join_on(F.broadcast(all_cols), stats, ["col"], "left") \
-        .select("col", "pos", F.coalesce(F.col(name), F.lit(0.0)).alias(name))
+def _zero_fill(stats: DataFrame, cols: list[str], name: str, cached: DataFrame) -> DataFrame:
+    """Materialise the one-row-per-column result (bounded by the column
+    count), release the cached long frame, fill absent columns with 0."""
+    got = {r["col"]: r[name] for r in stats.collect()}
+    rows = [(c, i, float(got[c]) if got.get(c) is not None else 0.0) for i, c in enumerate(cols)]
+    return stats.sparkSession.createDataFrame(rows, f"col string, pos int, {name} double")
 
 
 def spearman_abs(df: DataFrame, cols: list[str], target: str) -> DataFrame:
@@ -46,9 +47,10 @@ def spearman_abs(df: DataFrame, cols: list[str], target: str) -> DataFrame:
                      *[finite_or_null(F.col(c)).alias(c) for c in cols])
     lf = long_form(base, cols, "double", ["__y"]) \
         .where(F.col("value").isNotNull() & F.col("__y").isNotNull())
-    pairs = lf.groupBy("col", "value", "__y").agg(F.count(F.lit(1)).alias("w"))
-    rx = _ranked(pairs, "value", "w").drop("n")
-    ry = _ranked(pairs, "__y", "w")
+    # checkpointed: joined back to its own ranks below (see rank.materialize)
+    pairs = lf.groupBy("col", "value", "__y").agg(F.count(F.lit(1)).alias("w")).checkpoint(eager=True)
+    rx = materialize(_ranked(pairs, "value", "w").drop("n"))
+    ry = materialize(_ranked(pairs, "__y", "w"))
     j = join_on(join_on(pairs, rx, ["col", "value"]), ry, ["col", "__y"])
     w, a, b = F.col("w"), F.col("r_value"), F.col("r___y")
     s = j.groupBy("col").agg(
@@ -62,7 +64,7 @@ def spearman_abs(df: DataFrame, cols: list[str], target: str) -> DataFrame:
     sda, sdb = F.sqrt(F.greatest(va, F.lit(0.0))) / scale, F.sqrt(F.greatest(vb, F.lit(0.0))) / scale
     r = F.abs(F.try_divide(cov, F.sqrt(va * vb)))
     assoc = F.when((n < 3) | (sda < EPS) | (sdb < EPS), F.lit(0.0)).otherwise(F.least(r, F.lit(1.0)))
-    return _zero_fill(s.select("col", assoc.alias("association")), cols, "association")
+    return _zero_fill(s.select("col", assoc.alias("association")), cols, "association", pairs)
 
 
 def eta_ranks(df: DataFrame, cols: list[str], target: str) -> DataFrame:
@@ -73,8 +75,8 @@ def eta_ranks(df: DataFrame, cols: list[str], target: str) -> DataFrame:
     base = df.select(F.col(target).cast("string").alias("__c"),
                      *[finite_or_null(F.col(c)).alias(c) for c in cols])
     lf = long_form(base, cols, "double", ["__c"]).where(F.col("value").isNotNull())
-    agg = lf.groupBy("col", "value", "__c").agg(F.count(F.lit(1)).alias("w"))
-    rx = _ranked(agg, "value", "w")
+    agg = lf.groupBy("col", "value", "__c").agg(F.count(F.lit(1)).alias("w")).checkpoint(eager=True)
+    rx = materialize(_ranked(agg, "value", "w"))
     j = join_on(agg, rx, ["col", "value"])
     r = F.col("r_value") / F.greatest(F.col("n") - 1, F.lit(1))
     w = F.col("w")
@@ -89,7 +91,7 @@ def eta_ranks(df: DataFrame, cols: list[str], target: str) -> DataFrame:
     ssb = F.col("sb_raw") - n * grand * grand
     eta = F.sqrt(F.greatest(ssb, F.lit(0.0)) / sst)
     assoc = F.when((n < 3) | (sst < EPS), F.lit(0.0)).otherwise(F.least(eta, F.lit(1.0)))
-    return _zero_fill(per_col.select("col", assoc.alias("association")), cols, "association")
+    return _zero_fill(per_col.select("col", assoc.alias("association")), cols, "association", agg)
 
 
 def target_association(df: DataFrame, cols: list[str], target: str, task: str) -> DataFrame:

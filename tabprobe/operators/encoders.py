@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalar import finite_or_null
-from .rank import BROADCAST_ROWS, cumulative_before, join_on
+from .rank import BROADCAST_ROWS, cumulative_before, join_on, materialize
 
 CATEGORICAL_TYPES = (T.StringType, T.BooleanType)
 UNKNOWN_CODE = -1
@@ -64,7 +64,7 @@ def exact_medians(df: DataFrame, cols: list[str]) -> dict[str, float | None]:
         return {}
     lf = df.select(*[finite_or_null(F.col(c)).alias(c) for c in cols])
     lf = long_form(lf, cols, "double").where(F.col("value").isNotNull())
-    agg = lf.groupBy("col", "value").agg(F.count(F.lit(1)).alias("cnt"))
+    agg = lf.groupBy("col", "value").agg(F.count(F.lit(1)).alias("cnt")).persist()
     cum = cumulative_before(agg, ["col"], "value", ["cnt"])
     from pyspark.sql import Window
 
@@ -78,6 +78,7 @@ def exact_medians(df: DataFrame, cols: list[str]) -> dict[str, float | None]:
         F.max(F.when(hit_lo, F.col("value"))).alias("v_lo"),
         F.max(F.when(hit_hi, F.col("value"))).alias("v_hi"))
     got = {r["col"]: (r["v_lo"] + r["v_hi"]) / 2.0 for r in picks.collect()}
+    agg.unpersist()
     return {c: got.get(c) for c in cols}
 
 
@@ -127,8 +128,8 @@ def fit_ordinal(train: DataFrame, cols: list[str]) -> OrdinalModel:
     seen = agg.where(F.col("value").isNull()).select("col").collect()
     seen_null = {r["col"]: True for r in seen}
     distinct = agg.where(F.col("value").isNotNull()).select("col", "value", F.lit(1).alias("one"))
-    dictionary = cumulative_before(distinct, ["col"], "value", ["one"]) \
-        .select("col", "value", F.col("one_before").cast("long").alias("code")).persist()
+    dictionary = materialize(cumulative_before(distinct, ["col"], "value", ["one"])
+                             .select("col", "value", F.col("one_before").cast("long").alias("code")))
     sizes = {r["col"]: r["count"] for r in dictionary.groupBy("col").count().collect()}
     return OrdinalModel(list(cols), dictionary, sizes, seen_null)
 
@@ -304,9 +305,9 @@ def fit_target_encoder(train: DataFrame, cols: list[str], target: str, task: str
         F.count(F.lit(1)).alias("n"),
         *[F.avg(y).alias(f"mean_{y}") for y in ynames],
         *[F.var_pop(y).alias(f"var_{y}") for y in ynames])
-    st = st.select("col", "value", *[
+    st = materialize(st.select("col", "value", *[
         _shrunk(F.col("n"), F.col(f"mean_{y}"), F.col(f"var_{y}"),
-                F.lit(g[f"m_{y}"]), F.lit(g[f"v_{y}"])).alias(f"{y}_enc") for y in ynames]).persist()
+                F.lit(g[f"m_{y}"]), F.lit(g[f"v_{y}"])).alias(f"{y}_enc") for y in ynames]))
     size = st.count()
     return TargetModel(list(cols), ynames, st, globals_, size)
 
@@ -374,7 +375,7 @@ def target_encode_oof(train: DataFrame, cols: list[str], target: str, task: str,
         gv = F.try_divide(g_of(f"q_{y}", F.col("__fold")), gn) - gm * gm
         enc = F.when(n > 0, _shrunk(n, mean, var_w, gm, gv)).otherwise(gm)
         out_cols.append(enc.alias(f"{y}_enc"))
-    enc_tab = stats.select("col", "value", "__fold", *out_cols)
+    enc_tab = materialize(stats.select("col", "value", "__fold", *out_cols))
     out = base
     for c in cols:
         d = enc_tab.where(F.col("col") == c).select(

@@ -49,8 +49,18 @@ def _tree_ready(train: DataFrame, test: DataFrame, features: list[str]):
     return fill(train), fill(test), list(features) + [f"{c}__missing" for c in holes]
 
 
-def _assemble(df: DataFrame, features: list[str]) -> DataFrame:
-    return VectorAssembler(inputCols=features, outputCol="__features").transform(df)
+ROWS_PER_MODEL_PARTITION = 1_000_000
+
+
+def _assemble(df: DataFrame, features: list[str], n_rows: int | None = None) -> DataFrame:
+    """Feature vector; training input is coalesced to ~1M rows per partition
+    so iterative learners do not pay per-task overhead on idle partitions."""
+    out = VectorAssembler(inputCols=features, outputCol="__features").transform(df)
+    if n_rows is not None:
+        want = max(1, -(-n_rows // ROWS_PER_MODEL_PARTITION))
+        if want < out.rdd.getNumPartitions():
+            out = out.coalesce(want)
+    return out
 
 
 def fit_and_score(family: str, task: str, train: DataFrame, test: DataFrame,
@@ -69,8 +79,8 @@ def fit_and_score(family: str, task: str, train: DataFrame, test: DataFrame,
         if family == "knn":
             from ..operators.splits import hash_sample
 
-            trs = hash_sample(train, [row_id], KNN_MAX_TRAIN_ROWS, KNN_SUBSAMPLE_SEED)
-            tes = hash_sample(test, [row_id], KNN_MAX_TEST_ROWS, KNN_SUBSAMPLE_SEED + 1)
+            trs = hash_sample(train, [row_id], KNN_MAX_TRAIN_ROWS, KNN_SUBSAMPLE_SEED).checkpoint()
+            tes = hash_sample(test, [row_id], KNN_MAX_TEST_ROWS, KNN_SUBSAMPLE_SEED + 1).checkpoint()
             pred = knn_predict(trs, tes, features, row_id, row_id, label, task, k=KNN_K)
             scored = tes.select(F.col(row_id).cast("long").alias("qid"), y.alias("__y")) \
                 .join(pred, "qid", "left")
@@ -86,7 +96,7 @@ def fit_and_score(family: str, task: str, train: DataFrame, test: DataFrame,
             reg = RIDGE_ALPHA * (st["sd"] or 0.0) / max(st["n"], 1)
             est = LinearRegression(featuresCol="__features", labelCol="__y", regParam=reg,
                                    elasticNetParam=0.0, standardization=False, solver="normal")
-        tr_v = _assemble(trn.withColumn("__y", y), feats)
+        tr_v = _assemble(trn.withColumn("__y", y), feats, trn.count())
         te_v = _assemble(tst.withColumn("__y", y), feats)
         model = est.fit(tr_v)
         scored = model.transform(te_v)
@@ -101,8 +111,8 @@ def fit_and_score(family: str, task: str, train: DataFrame, test: DataFrame,
     if family == "knn":
         from ..operators.splits import hash_sample
 
-        trs = hash_sample(train, [row_id], KNN_MAX_TRAIN_ROWS, KNN_SUBSAMPLE_SEED)
-        tes = hash_sample(test, [row_id], KNN_MAX_TEST_ROWS, KNN_SUBSAMPLE_SEED + 1)
+        trs = hash_sample(train, [row_id], KNN_MAX_TRAIN_ROWS, KNN_SUBSAMPLE_SEED).checkpoint()
+        tes = hash_sample(test, [row_id], KNN_MAX_TEST_ROWS, KNN_SUBSAMPLE_SEED + 1).checkpoint()
         pred = knn_predict(trs, tes, features, row_id, row_id, label, task, classes=classes, k=KNN_K)
         scored = tes.select(F.col(row_id).cast("long").alias("qid"), code.alias("__c")) \
             .join(pred, "qid", "left").withColumn("__probs", F.col("probs"))
@@ -112,14 +122,14 @@ def fit_and_score(family: str, task: str, train: DataFrame, test: DataFrame,
             gbt = GBTClassifier(featuresCol="__features", labelCol="__c", maxIter=tree_rounds,
                                 maxDepth=TREE_DEPTH, stepSize=TREE_STEP, seed=seed)
             est = gbt if binary else OneVsRest(classifier=gbt, featuresCol="__features",
-                                               labelCol="__c")
+                                               labelCol="__c", parallelism=len(classes))
         else:
             trn, tst, feats = train, test, features
             n = trn.count()
             est = LogisticRegression(featuresCol="__features", labelCol="__c",
                                      regParam=1.0 / (LOGISTIC_C * max(n, 1)), elasticNetParam=0.0,
                                      standardization=False, maxIter=LOGISTIC_MAX_ITER)
-        tr_v = _assemble(trn.withColumn("__c", code.cast("double")), feats)
+        tr_v = _assemble(trn.withColumn("__c", code.cast("double")), feats, trn.count())
         te_v = _assemble(tst.withColumn("__c", code), feats)
         out = est.fit(tr_v).transform(te_v)
         col = "probability" if "probability" in out.columns else "rawPrediction"

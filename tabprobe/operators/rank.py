@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Rows a single window partition may hold before values are bucketed.
-ROWS_PER_BUCKET = 1_000_000
+ROWS_PER_BUCKET = 50_000
 MAX_BUCKETS = 4096
 # Tables up to this many rows are broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 2_000_000
@@ -33,12 +33,31 @@ BROADCAST_ROWS = 2_000_000
 BOUNDARY_LIMIT = 2_000_000
 
 
+# Derived tables up to this many rows are rebuilt as local leaves.
+SMALL_ROWS = 100_000
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast ``df`` only after checking its row count."""
     n = df.count()
     return F.broadcast(df) if n <= max_rows else df
 
 
+def materialize(df: DataFrame, small_rows: int = SMALL_ROWS) -> DataFrame:
+    """Cut the lineage of a table derived from data it will be joined back to.
+
+    A derived statistic joined to its own source is a self-join; Spark
+    re-instantiates one side and can then miss the cached plan and recompute
+    the whole upstream chain.  A small result (row count checked) becomes a
+    fresh local leaf, broadcast; a large one is checkpointed to the shared
+    checkpoint directory (which also survives executor loss).
+    """
+    rows = df.limit(small_rows + 1).collect()
+    if len(rows) <= small_rows:
+        return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+    return df.checkpoint(eager=True)
+
+
 def join_on(left: DataFrame, right: DataFrame, cols: list[str], how: str = "inner") -> DataFrame:
     """Equi-join on same-named columns, NULL matching NULL (pandas merge semantics)."""
     if not cols:
@@ -106,14 +125,14 @@ def cumulative_before(agg: DataFrame, group_cols: list[str], value_col: str,
     if not g:
         keyed = keyed.withColumn("__g", F.lit(0))
     cuts = keyed.groupBy(*gk).agg(F.percentile_approx("__k", pcts, acc).alias("__cuts"))
-    withb = join_on(keyed, broadcast_if_small(cuts), gk, "left") \
+    withb = join_on(keyed, materialize(cuts), gk, "left") \
         .withColumn("__b", F.size(F.filter("__cuts", lambda c: c < F.col("__k")))) \
         .drop("__cuts", "__k")
     bsum = withb.groupBy(*gk, "__b").agg(*[F.sum(c).alias(f"__s_{c}") for c in weight_cols])
     wb = Window.partitionBy(*gk).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     offs = bsum.select(*gk, "__b", *[F.coalesce(F.sum(f"__s_{c}").over(wb), F.lit(0))
                                      .alias(f"__o_{c}") for c in weight_cols])
-    j = join_on(withb, broadcast_if_small(offs), gk + ["__b"], "inner")
+    j = join_on(withb, materialize(offs), gk + ["__b"], "inner")
     wv = Window.partitionBy(*gk, "__b").orderBy(value_col) \
         .rowsBetween(Window.unboundedPreceding, -1)
     out = j.select(*agg.columns, *[
@@ -159,11 +178,11 @@ def hash_thresholds(df: DataFrame, group_cols: list[str], h_col: str, need: Data
         counts = cand.groupBy(*g, F.substring(h_col, 1, p).alias("__b")).count()
         w = Window.partitionBy(*g).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
         cum = counts.withColumn("__before", F.coalesce(F.sum("count").over(w), F.lit(0)))
-        bound = join_on(cum, bc(need), g, "inner") \
-            .where((F.col("__before") < F.col("_need"))
-                   & (F.col("_need") <= F.col("__before") + F.col("count"))) \
-            .select(*g, "__b", (F.col("_need") - F.col("__before")).alias("_need"), "count") \
-            .persist()
+        bound = materialize(join_on(cum, bc(need), g, "inner")
+                            .where((F.col("__before") < F.col("_need"))
+                                   & (F.col("_need") <= F.col("__before") + F.col("count")))
+                            .select(*g, "__b", (F.col("_need") - F.col("__before")).alias("_need"),
+                                    "count"))
         mx = bound.agg(F.max("count")).first()[0]
         keyed = cand.withColumn("__b", F.substring(h_col, 1, p))
         if mx is None:

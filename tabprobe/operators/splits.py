@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import HOLDOUT_TEST_SIZE, row_hash, seed_for_py
-from .rank import broadcast_if_small, hash_thresholds, join_on
+from .rank import hash_thresholds, join_on, materialize
 
 FOLD_ID = "split0"
 PROTOCOL = "holdout"
@@ -46,10 +46,9 @@ def add_split(df: DataFrame, key_cols: list[str], dataset_key: str, label: str |
             raise ValueError(f"{dataset_key}: stratified split requires a label column")
         narrow = hashed.select(label, "_h").persist()
         need = _class_need(narrow, label, test_size)
-        thr = hash_thresholds(narrow, [label], "_h", need).persist()
-        thr.count()
+        thr = materialize(hash_thresholds(narrow, [label], "_h", need))
         narrow.unpersist()
-        out = join_on(hashed, broadcast_if_small(thr), [label], "left")
+        out = join_on(hashed, thr, [label], "left")
         is_test = F.coalesce(F.col("_h") <= F.col("_thr"), F.lit(False))
         return out.select(*df.columns, F.lit(FOLD_ID).alias("fold_id"), is_test.alias("is_test"))
     thr = first_k_threshold(hashed, "_h", None, test_size)

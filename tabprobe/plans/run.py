@@ -86,8 +86,14 @@ def run_dataset(spark: SparkSession, ds: Dataset, methods, model_families=MODEL_
                 budget_seconds: float | None = DEFAULT_BUDGET_SECONDS,
                 max_cols: int | None = DEFAULT_MAX_COLS,
                 fit_sample_rows: int | None = DEFAULT_FIT_SAMPLE_ROWS,
-                tree_rounds: int = TREE_ROUNDS, narrow: bool = False) -> list[dict]:
-    """Result rows for every (method, family) on one dataset."""
+                tree_rounds: int = TREE_ROUNDS, narrow: bool = False,
+                max_parallel: int = 6) -> list[dict]:
+    """Result rows for every (method, family) on one dataset.
+
+    Generation runs method by method (each under its budget); the
+    (method, family) model fits are independent Spark jobs and run
+    concurrently from ``max_parallel`` driver threads.
+    """
     task = ds.resolved_task()
     feats = ds.features
     cat, _ = split_columns(ds.df.select(*feats))
@@ -106,6 +112,8 @@ def run_dataset(spark: SparkSession, ds: Dataset, methods, model_families=MODEL_
     train_num = train_num.persist(StorageLevel.MEMORY_AND_DISK)
     test_num = test_num.persist(StorageLevel.MEMORY_AND_DISK)
     rows: list[dict] = []
+    scoring: list[tuple] = []
+    generated: list[tuple] = []
     try:
         for m in methods:
             method = resolve_method(m)
@@ -119,10 +127,11 @@ def run_dataset(spark: SparkSession, ds: Dataset, methods, model_families=MODEL_
                     hash_sample(train_num, [ROW_ID], fit_sample_rows, seed=0)
                 fitted = method.fit(sample, ds.target, method_task(task))
                 t1 = time.time()
-                tr = fitted.transform(train_num).persist(StorageLevel.MEMORY_AND_DISK)
-                te = fitted.transform(test_num).persist(StorageLevel.MEMORY_AND_DISK)
-                tr.count()
-                te.count()
+                # checkpoint: generated folds are re-read by every family and
+                # joined to their own derivatives; this cuts lineage and
+                # survives executor loss
+                tr = fitted.transform(train_num).checkpoint(eager=True)
+                te = fitted.transform(test_num).checkpoint(eager=True)
                 t2 = time.time()
                 return tr, te, t1 - t0, t2 - t1, getattr(fitted, "n_candidates_", None)
 
@@ -147,20 +156,12 @@ def run_dataset(spark: SparkSession, ds: Dataset, methods, model_families=MODEL_
                 head["feature_efficiency"] = feature_efficiency(tr, feats, gen_cols, ds.target, task)
                 n_gen = len(gen_cols) - len(feats)
                 for family in model_families:
-                    try:
-                        fam = fit_family_input(family, tr, gen_cols)
-                        score = fit_and_score(family, task, fam.transform(tr), fam.transform(te_al),
-                                              gen_cols, ds.target, ROW_ID, tree_rounds=tree_rounds)
-                        rows.append(dict(head, model_family=family, n_features_generated=n_gen,
-                                         n_features_final=len(gen_cols), **score))
-                    except Exception as exc:  # noqa: BLE001
-                        rows.append(dict(head, model_family=family, status="model_error",
-                                         error=str(exc)[:2000]))
+                    scoring.append((dict(head, model_family=family, n_features_generated=n_gen,
+                                         n_features_final=len(gen_cols)), family, tr, te_al, gen_cols))
+                generated.append((tr, te))
             except Exception as exc:  # noqa: BLE001
                 rows.append(dict(head, status="error", error=str(exc)[:2000]))
-            finally:
-                tr.unpersist()
-                te.unpersist()
+        rows += _score_all(spark, scoring, task, ds.target, tree_rounds, max_parallel)
     finally:
         train_num.unpersist()
         test_num.unpersist()
@@ -168,6 +169,27 @@ def run_dataset(spark: SparkSession, ds: Dataset, methods, model_families=MODEL_
     return rows
 
 
+def _score_all(spark, scoring, task, target, tree_rounds, max_parallel) -> list[dict]:
+    from concurrent.futures import ThreadPoolExecutor
+
+    def one(item):
+        row, family, tr, te, gen_cols = item
+        try:
+            fam = fit_family_input(family, tr, gen_cols)
+            score = fit_and_score(family, task, fam.transform(tr), fam.transform(te), gen_cols,
+                                  target, ROW_ID, tree_rounds=tree_rounds)
+            return dict(row, **score)
+        except Exception as exc:  # noqa: BLE001 -- a failing model is a row
+            out = {k: v for k, v in row.items()
+                   if k not in ("n_features_generated", "n_features_final")}
+            return dict(out, status="model_error", error=str(exc)[:2000])
+
+    if not scoring:
+        return []
+    with ThreadPoolExecutor(max_workers=max(1, min(max_parallel, len(scoring)))) as pool:
+        return list(pool.map(one, scoring))
+
+
 def run_benchmark(spark: SparkSession, datasets: list[Dataset], methods, out_dir: str,
                   model_families=MODEL_FAMILIES, resume: bool = True, **kw) -> tuple[int, str]:
     """Every pending (dataset, method) pair; rows appended per pair."""

@@ -25,7 +25,20 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give an input with fewer scan partitions than cores one round-robin
+    exchange so the first stage uses every core (a file stored as a single
+    row group is read by one task).  Large inputs already have more splits
+    than cores and are left untouched; projections and filters still reach
+    the scan (Catalyst pushes them below the exchange)."""
+    sc = df.sparkSession.sparkContext
+    want = sc.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df
 
 
 @dataclass
