@@ -49,8 +49,8 @@ def spearman_abs(df: DataFrame, cols: list[str], target: str) -> DataFrame:
         .where(F.col("value").isNotNull() & F.col("__y").isNotNull())
     # checkpointed: joined back to its own ranks below (see rank.materialize)
     pairs = lf.groupBy("col", "value", "__y").agg(F.count(F.lit(1)).alias("w")).checkpoint(eager=True)
-    rx = materialize(_ranked(pairs, "value", "w").drop("n"))
-    ry = materialize(_ranked(pairs, "__y", "w"))
+    rx = materialize(_ranked(pairs, "value", "w").drop("n"), likely_large=True)
+    ry = materialize(_ranked(pairs, "__y", "w"), likely_large=True)
     j = join_on(join_on(pairs, rx, ["col", "value"]), ry, ["col", "__y"])
     w, a, b = F.col("w"), F.col("r_value"), F.col("r___y")
     s = j.groupBy("col").agg(
@@ -76,7 +76,7 @@ def eta_ranks(df: DataFrame, cols: list[str], target: str) -> DataFrame:
                      *[finite_or_null(F.col(c)).alias(c) for c in cols])
     lf = long_form(base, cols, "double", ["__c"]).where(F.col("value").isNotNull())
     agg = lf.groupBy("col", "value", "__c").agg(F.count(F.lit(1)).alias("w")).checkpoint(eager=True)
-    rx = materialize(_ranked(agg, "value", "w"))
+    rx = materialize(_ranked(agg, "value", "w"), likely_large=True)
     j = join_on(agg, rx, ["col", "value"])
     r = F.col("r_value") / F.greatest(F.col("n") - 1, F.lit(1))
     w = F.col("w")

@@ -43,7 +43,7 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if n <= max_rows else df
 
 
-def materialize(df: DataFrame, small_rows: int = SMALL_ROWS) -> DataFrame:
+def materialize(df: DataFrame, small_rows: int = SMALL_ROWS, likely_large: bool = False) -> DataFrame:
     """Cut the lineage of a table derived from data it will be joined back to.
 
     A derived statistic joined to its own source is a self-join; Spark
@@ -52,6 +52,9 @@ def materialize(df: DataFrame, small_rows: int = SMALL_ROWS) -> DataFrame:
     fresh local leaf, broadcast; a large one is checkpointed to the shared
     checkpoint directory (which also survives executor loss).
     """
+    if likely_large:
+        ck = df.checkpoint(eager=True)
+        return F.broadcast(ck) if ck.count() <= small_rows else ck
     rows = df.limit(small_rows + 1).collect()
     if len(rows) <= small_rows:
         return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))

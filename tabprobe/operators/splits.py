@@ -60,9 +60,8 @@ def first_k_threshold(hashed: DataFrame, h_col: str, k: int | None,
                       fraction: float | None = None) -> str | None:
     """The k-th smallest hash of the whole frame (k = round(n*fraction) if given)."""
     narrow = hashed.select(h_col).persist()
-    if k is None:
-        n = narrow.count()
-        k = int(round(n * fraction))
+    n = narrow.count()
+    k = int(round(n * fraction)) if k is None else min(int(k), n)
     if k <= 0:
         narrow.unpersist()
         return None

@@ -902,7 +902,8 @@ def q_method_error_rows(spark, sf):
 # Phase 6: metrics and kNN
 # --------------------------------------------------------------------------- #
 SQL["auc_binary"] = f"""
-SELECT lang, round((sum(CASE WHEN pos THEN rk END) - P * (P + 1) / 2.0) / (P * N), 6) AS auc,
+SELECT lang, CASE WHEN P > 0 AND N > 0 THEN
+         round((sum(CASE WHEN pos THEN rk END) - P * (P + 1) / 2.0) / (P * N), 6) END AS auc,
        P AS n_pos, N AS n_neg
 FROM (SELECT lang, pos, rk, sum(pos::BIGINT) OVER (PARTITION BY lang) AS P,
              sum((NOT pos)::BIGINT) OVER (PARTITION BY lang) AS N
