@@ -101,3 +101,18 @@ def test_resume_and_compare(spark, tmp_path):
 def test_tree_family_scores(spark):
     rows = run_dataset(spark, _dataset(spark), ["baseline"], ["tree"], budget_seconds=None, tree_rounds=5)
     assert rows[0]["status"] == "ok" and 0.0 <= rows[0]["value"] <= 1.0
+
+
+def test_status_stream(spark, tmp_path):
+    from tabprobe.sources.results import append_results
+    from tabprobe.streaming.status import start_status
+
+    out = str(tmp_path / "res")
+    append_results(rows_to_frame(spark, _rows()), out)
+    q = start_status(spark, out, str(tmp_path / "ck"), name="status_test")
+    try:
+        q.processAllAvailable()
+        got = {r.status: r["count"] for r in spark.table("status_test").collect()}
+    finally:
+        q.stop()
+    assert got == {"ok": 12, "oom": 1}
