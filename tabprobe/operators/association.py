@@ -42,16 +42,36 @@ def _zero_fill(stats: DataFrame, cols: list[str], name: str, cached: DataFrame)
 
 
 def spearman_abs(df: DataFrame, cols: list[str], target: str) -> DataFrame:
-    """(col, pos, association) = |Spearman(x, y)| per column."""
+    """(col, pos, association) = |Spearman(x, y)| per column.
+
+    Ranks are taken over each column's own pairwise-complete rows.  Columns
+    with no missing value where the target is present share one ranking of
+    the target (computed once); only the others rank it per column.
+    """
     base = df.select(finite_or_null(F.col(target)).alias("__y"),
                      *[finite_or_null(F.col(c)).alias(c) for c in cols])
+    nulls = base.where(F.col("__y").isNotNull()).agg(
+        *[F.sum(F.col(c).isNull().cast("long")).alias(c) for c in cols]).first()
+    full = [c for c in cols if not nulls[c]]
+    part = [c for c in cols if nulls[c]]
     lf = long_form(base, cols, "double", ["__y"]) \
         .where(F.col("value").isNotNull() & F.col("__y").isNotNull())
     # checkpointed: joined back to its own ranks below (see rank.materialize)
     pairs = lf.groupBy("col", "value", "__y").agg(F.count(F.lit(1)).alias("w")).checkpoint(eager=True)
     rx = materialize(_ranked(pairs, "value", "w").drop("n"), likely_large=True)
-    ry = materialize(_ranked(pairs, "__y", "w"), likely_large=True)
-    j = join_on(join_on(pairs, rx, ["col", "value"]), ry, ["col", "__y"])
+    jx = join_on(pairs, rx, ["col", "value"])
+    pieces = []
+    if full:
+        ycnt = base.where(F.col("__y").isNotNull()).groupBy("__y").agg(F.count(F.lit(1)).alias("cnt"))
+        yr = cumulative_before(ycnt, [], "__y", ["cnt"]).select(
+            "__y", (F.col("cnt_before") + (F.col("cnt") - 1) / 2.0).alias("r___y"))
+        yr = materialize(yr, likely_large=True)
+        pieces.append(jx.where(F.col("col").isin(full)).join(yr, "__y"))
+    if part:
+        ry = materialize(_ranked(pairs.where(F.col("col").isin(part)), "__y", "w").drop("n"),
+                         likely_large=True)
+        pieces.append(join_on(jx.where(F.col("col").isin(part)), ry, ["col", "__y"]))
+    j = pieces[0] if len(pieces) == 1 else pieces[0].unionByName(pieces[1])
     w, a, b = F.col("w"), F.col("r_value"), F.col("r___y")
     s = j.groupBy("col").agg(
         F.sum(w).alias("n"), F.sum(w * a).alias("sa"), F.sum(w * b).alias("sb"),
