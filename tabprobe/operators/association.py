@@ -48,8 +48,9 @@ def spearman_abs(df: DataFrame, cols: list[str], target: str) -> DataFrame:
     with no missing value where the target is present share one ranking of
     the target (computed once); only the others rank it per column.
     """
+    # narrow input read by three actions: persisted for the fit, released below
     base = df.select(finite_or_null(F.col(target)).alias("__y"),
-                     *[finite_or_null(F.col(c)).alias(c) for c in cols])
+                     *[finite_or_null(F.col(c)).alias(c) for c in cols]).persist()
     nulls = base.where(F.col("__y").isNotNull()).agg(
         *[F.sum(F.col(c).isNull().cast("long")).alias(c) for c in cols]).first()
     full = [c for c in cols if not nulls[c]]
@@ -84,7 +85,9 @@ def spearman_abs(df: DataFrame, cols: list[str], target: str) -> DataFrame:
     sda, sdb = F.sqrt(F.greatest(va, F.lit(0.0))) / scale, F.sqrt(F.greatest(vb, F.lit(0.0))) / scale
     r = F.abs(F.try_divide(cov, F.sqrt(va * vb)))
     assoc = F.when((n < 3) | (sda < EPS) | (sdb < EPS), F.lit(0.0)).otherwise(F.least(r, F.lit(1.0)))
-    return _zero_fill(s.select("col", assoc.alias("association")), cols, "association", pairs)
+    out = _zero_fill(s.select("col", assoc.alias("association")), cols, "association", pairs)
+    base.unpersist()
+    return out
 
 
 def eta_ranks(df: DataFrame, cols: list[str], target: str) -> DataFrame:

@@ -124,13 +124,15 @@ def fit_ordinal(train: DataFrame, cols: list[str]) -> OrdinalModel:
     """Code = position of the value among the sorted distinct train values;
     unseen -> -1; missing -> -2 if missing was seen in train, else -1."""
     lf = long_form(train, cols, "string")
-    agg = lf.groupBy("col", "value").agg(F.count(F.lit(1)).alias("cnt"))
+    # small (one row per distinct category) and read by three actions
+    agg = lf.groupBy("col", "value").agg(F.count(F.lit(1)).alias("cnt")).persist()
     seen = agg.where(F.col("value").isNull()).select("col").collect()
     seen_null = {r["col"]: True for r in seen}
     distinct = agg.where(F.col("value").isNotNull()).select("col", "value", F.lit(1).alias("one"))
     dictionary = materialize(cumulative_before(distinct, ["col"], "value", ["one"])
                              .select("col", "value", F.col("one_before").cast("long").alias("code")))
     sizes = {r["col"]: r["count"] for r in dictionary.groupBy("col").count().collect()}
+    agg.unpersist()
     return OrdinalModel(list(cols), dictionary, sizes, seen_null)
 
 
@@ -296,7 +298,7 @@ def fit_target_encoder(train: DataFrame, cols: list[str], target: str, task: str
         classes = train_classes(train, target)
     ycols, ynames = target_columns(train, target, task, classes)
     base = train.select(*[F.col(c).cast("string").alias(c) for c in cols], *ycols) \
-        .where(F.col(ynames[0]).isNotNull())
+        .where(F.col(ynames[0]).isNotNull()).persist()
     g = base.agg(*[F.avg(y).alias(f"m_{y}") for y in ynames],
                  *[F.var_pop(y).alias(f"v_{y}") for y in ynames]).first()
     globals_ = {y: g[f"m_{y}"] for y in ynames}
@@ -309,6 +311,7 @@ def fit_target_encoder(train: DataFrame, cols: list[str], target: str, task: str
         _shrunk(F.col("n"), F.col(f"mean_{y}"), F.col(f"var_{y}"),
                 F.lit(g[f"m_{y}"]), F.lit(g[f"v_{y}"])).alias(f"{y}_enc") for y in ynames]))
     size = st.count()
+    base.unpersist()
     return TargetModel(list(cols), ynames, st, globals_, size)
 
 
@@ -335,7 +338,7 @@ def target_encode_oof(train: DataFrame, cols: list[str], target: str, task: str,
     ycols, ynames = target_columns(train, target, task, classes)
     base = train.withColumn("__fold", oof_fold(train, key_cols, n_folds))
     yb = base.select("__fold", *[F.col(c).cast("string").alias(c) for c in cols], *ycols) \
-        .where(F.col(ynames[0]).isNotNull())
+        .where(F.col(ynames[0]).isNotNull()).persist()
 
     def sums(df, keys):
         return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"),
@@ -376,6 +379,7 @@ def target_encode_oof(train: DataFrame, cols: list[str], target: str, task: str,
         enc = F.when(n > 0, _shrunk(n, mean, var_w, gm, gv)).otherwise(gm)
         out_cols.append(enc.alias(f"{y}_enc"))
     enc_tab = materialize(stats.select("col", "value", "__fold", *out_cols))
+    yb.unpersist()
     out = base
     for c in cols:
         d = enc_tab.where(F.col("col") == c).select(
@@ -481,10 +485,11 @@ def fit_family_input(family: str, train: DataFrame, features: list[str]) -> Chai
     steps = [_CleanInf(features)]
     if family == "tree":
         return Chain(steps)
-    clean = _CleanInf(features).transform(train.select(*features))
+    clean = _CleanInf(features).transform(train.select(*features)).persist()
     imp = fit_median_imputer(clean, features)
     steps.append(imp)
     steps.append(fit_scaler(imp.transform(clean), features))
+    clean.unpersist()
     return Chain(steps)
 
 
