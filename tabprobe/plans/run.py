@@ -36,6 +36,39 @@ class BudgetExceeded(Exception):
     pass
 
 
+@dataclass
+class Fold:
+    """A ready-to-train fold: encoded train/test frames (row key, target,
+    features) plus the categorical columns the encoder saw."""
+    fold_id: str
+    train: DataFrame
+    test: DataFrame
+    features: list[str]
+    categorical_columns: tuple[str, ...]
+
+
+def iter_folds(ds: Dataset, encoding: str = "tree", categorical_encoding: str | None = None):
+    """Split -> fresh encoder fitted on the training rows only -> applied to
+    both folds.  ``encoding`` is "tree" (ordinal or target codes, missing
+    passed through) or "linear" (imputed, scaled, one-hot or target)."""
+    from ..operators.encoders import fit_linear_encoder, fit_tree_encoder
+
+    task = ds.resolved_task()
+    split = add_split(ds.df, ds.key_cols, ds.name, ds.target, stratify=task != "regression")
+    train, test = train_test(split)
+    cols = [*ds.key_cols, ds.target]
+    if encoding == "tree":
+        enc = fit_tree_encoder(train, ds.features, ds.target, task, categorical_encoding or "ordinal")
+    elif encoding == "linear":
+        enc = fit_linear_encoder(train, ds.features, ds.target, task, categorical_encoding or "onehot")
+    else:
+        raise KeyError(f"unknown encoding {encoding!r}; use 'tree' or 'linear'")
+    tr = enc.transform(train.select(*cols, *ds.features))
+    te = enc.transform(test.select(*cols, *ds.features))
+    feats = [c for c in tr.columns if c not in cols]
+    yield Fold(FOLD_ID, tr, te, feats, enc.categorical_columns)
+
+
 def run_with_budget(spark: SparkSession, fn, budget_seconds: float | None):
     """Run ``fn()`` (which triggers Spark jobs) under a wall-clock budget.
 

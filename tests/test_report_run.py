@@ -116,3 +116,61 @@ def test_status_stream(spark, tmp_path):
     finally:
         q.stop()
     assert got == {"ok": 12, "oom": 1}
+
+
+def test_iter_folds_train_only_encoders(spark):
+    from tabprobe.plans.run import iter_folds
+
+    ds = _dataset(spark)
+    folds = list(iter_folds(ds, "linear"))
+    assert len(folds) == 1
+    f = folds[0]
+    assert f.categorical_columns == ("cat_a",)
+    assert f.train.count() + f.test.count() == 80
+    assert {"cat_a__0", "cat_a__1", "cat_a__2", "num_a"} <= set(f.features)
+    t = list(iter_folds(ds, "tree"))[0]
+    assert t.train.schema["cat_a"].dataType.typeName() == "long"
+    with pytest.raises(KeyError):
+        list(iter_folds(ds, "nope"))
+
+
+def test_unknown_family_is_model_error_row(spark):
+    rows = run_dataset(spark, _dataset(spark), ["baseline"], ["linear", "svm"], budget_seconds=None)
+    by = {r["model_family"]: r for r in rows}
+    assert by["linear"]["status"] == "ok"
+    assert by["svm"]["status"] == "model_error" and "unknown model family" in by["svm"]["error"]
+
+
+def test_pandas_method(spark):
+    from tabprobe.plans.methods import PandasMethod
+
+    def fit(pdf, target, task):
+        return float(pdf["num_a"].mean())
+
+    def transform(pdf, mean):
+        return pdf.assign(num_centered=pdf["num_a"] - mean)
+
+    m = PandasMethod("centered", fit, transform, ["num_centered"])
+    rows = run_dataset(spark, _dataset(spark), [m], ["linear"], budget_seconds=None)
+    assert rows[0]["status"] == "ok" and rows[0]["n_features_generated"] == 1
+
+
+def test_csv_source_and_split_plan_roundtrip(spark, tmp_path):
+    from tabprobe.sources import catalog as C
+    from tabprobe.sources.tables import read_csv_dir
+
+    d = tmp_path / "csv"
+    d.mkdir()
+    (d / "train.csv").write_text("a,b\n1,x\n2,y\n")
+    (d / "other.csv").write_text("a,b\n9,z\n")
+    df = read_csv_dir(spark, str(d))
+    assert sorted(r.a for r in df.collect()) == [1, 2]
+    reg = C.registry_frame(spark, [dict(key="california-housing", task="regression", sector="geo"),
+                                   dict(key="german-credit", task="classification", sector="finance")])
+    plan = C.split_plan(reg)
+    path = str(tmp_path / "plan")
+    C.write_split_plan(plan, path)
+    back = {r.key: (r.seed, r.stratify) for r in C.load_split_plan(spark, path).collect()}
+    assert back["california-housing"] == (1404229301, False) and back["german-credit"][1] is True
+    fallback = C.load_split_plan(spark, str(tmp_path / "missing"), reg)
+    assert fallback.count() == 2
