@@ -54,32 +54,71 @@ def _is_cat_value(c: str) -> Column:
 # --------------------------------------------------------------------------- #
 # exact medians and modes (DR based, no single-buffer percentile)
 # --------------------------------------------------------------------------- #
+MEDIAN_SKETCH_ACCURACY = 10_000
+
+
 def exact_medians(df: DataFrame, cols: list[str]) -> dict[str, float | None]:
     """Exact median (midpoint of the two middle values for even n) per column.
 
-    Finite values only (NaN/inf count as missing).  Runs on a
-    (col, value, count) table so a hot value never concentrates rows.
+    Finite values only (NaN/inf count as missing).  Exact selection, not a
+    full ranking: one pass takes approximate quantiles just below and above
+    the middle (rank error <= n / accuracy) plus the count; a second pass
+    counts the values below that bracket and ranks only the values inside it
+    (a (col, value, count) table, so a hot value is one row).  If a bracket
+    misses the middle positions the column falls back to ranking all of its
+    distinct values.
     """
     if not cols:
         return {}
-    lf = df.select(*[finite_or_null(F.col(c)).alias(c) for c in cols])
-    lf = long_form(lf, cols, "double").where(F.col("value").isNotNull())
-    agg = lf.groupBy("col", "value").agg(F.count(F.lit(1)).alias("cnt")).persist()
-    cum = cumulative_before(agg, ["col"], "value", ["cnt"])
     from pyspark.sql import Window
 
-    n = F.sum("cnt").over(Window.partitionBy("col"))
-    cum = cum.withColumn("n", n)
-    lo = F.floor((F.col("n") - 1) / 2)
-    hi = F.ceil((F.col("n") - 1) / 2)
-    hit_lo = (F.col("cnt_before") <= lo) & (lo < F.col("cnt_before") + F.col("cnt"))
-    hit_hi = (F.col("cnt_before") <= hi) & (hi < F.col("cnt_before") + F.col("cnt"))
-    picks = cum.where(hit_lo | hit_hi).groupBy("col").agg(
-        F.max(F.when(hit_lo, F.col("value"))).alias("v_lo"),
-        F.max(F.when(hit_hi, F.col("value"))).alias("v_hi"))
-    got = {r["col"]: (r["v_lo"] + r["v_hi"]) / 2.0 for r in picks.collect()}
-    agg.unpersist()
-    return {c: got.get(c) for c in cols}
+    acc = MEDIAN_SKETCH_ACCURACY
+    delta = 3.0 / acc
+    lf = df.select(*[finite_or_null(F.col(c)).alias(c) for c in cols])
+    lf = long_form(lf, cols, "double").where(F.col("value").isNotNull()).persist()
+    br = lf.groupBy("col").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.percentile_approx("value", [max(0.0, 0.5 - delta), min(1.0, 0.5 + delta)], acc).alias("q"))
+    brackets = {r["col"]: (r["n"], r["q"][0], r["q"][1]) for r in br.collect()}
+    out: dict[str, float | None] = {c: None for c in cols}
+    if not brackets:
+        lf.unpersist()
+        return out
+    spark = df.sparkSession
+    btab = F.broadcast(spark.createDataFrame(
+        [(c, float(lo), float(hi)) for c, (_, lo, hi) in brackets.items()],
+        "col string, lo double, hi double"))
+    tagged = lf.join(btab, "col")
+    below = {r["col"]: r["below"] for r in tagged.groupBy("col").agg(
+        F.sum((F.col("value") < F.col("lo")).cast("long")).alias("below")).collect()}
+    inside = tagged.where((F.col("value") >= F.col("lo")) & (F.col("value") <= F.col("hi"))) \
+        .groupBy("col", "value").agg(F.count(F.lit(1)).alias("cnt"))
+
+    def pick(cum, offsets):
+        lo = F.floor((F.col("n") - 1) / 2) - F.col("off")
+        hi = F.ceil((F.col("n") - 1) / 2) - F.col("off")
+        hit_lo = (F.col("cnt_before") <= lo) & (lo < F.col("cnt_before") + F.col("cnt"))
+        hit_hi = (F.col("cnt_before") <= hi) & (hi < F.col("cnt_before") + F.col("cnt"))
+        meta = F.broadcast(spark.createDataFrame(
+            [(c, int(brackets[c][0]), int(offsets.get(c, 0))) for c in brackets],
+            "col string, n long, off long"))
+        res = cum.join(meta, "col").where(hit_lo | hit_hi).groupBy("col").agg(
+            F.max(F.when(hit_lo, F.col("value"))).alias("v_lo"),
+            F.max(F.when(hit_hi, F.col("value"))).alias("v_hi"))
+        return {r["col"]: (r["v_lo"], r["v_hi"]) for r in res.collect()}
+
+    got = pick(cumulative_before(inside, ["col"], "value", ["cnt"]), below)
+    missing = [c for c in brackets if got.get(c, (None, None))[0] is None
+               or got.get(c, (None, None))[1] is None]
+    if missing:   # sketch bracket missed the middle: rank every distinct value
+        allv = lf.where(F.col("col").isin(missing)).groupBy("col", "value") \
+            .agg(F.count(F.lit(1)).alias("cnt"))
+        got.update(pick(cumulative_before(allv, ["col"], "value", ["cnt"]), {}))
+    lf.unpersist()
+    for c, (v_lo, v_hi) in got.items():
+        if v_lo is not None and v_hi is not None:
+            out[c] = (v_lo + v_hi) / 2.0
+    return out
 
 
 def modes(df: DataFrame, cols: list[str]) -> dict[str, str | None]:

@@ -53,13 +53,13 @@ ROWS_PER_MODEL_PARTITION = 1_000_000
 
 
 def _assemble(df: DataFrame, features: list[str], n_rows: int | None = None) -> DataFrame:
-    """Feature vector; training input is coalesced to ~1M rows per partition
-    so iterative learners do not pay per-task overhead on idle partitions."""
+    """Feature vector.  A small training input (at most ~1M rows) is
+    coalesced to one partition so iterative learners (hundreds of boosting
+    passes) do not pay per-task overhead on near-empty partitions; larger
+    inputs keep their partitioning and the cluster's parallelism."""
     out = VectorAssembler(inputCols=features, outputCol="__features").transform(df)
-    if n_rows is not None:
-        want = max(1, -(-n_rows // ROWS_PER_MODEL_PARTITION))
-        if want < out.rdd.getNumPartitions():
-            out = out.coalesce(want)
+    if n_rows is not None and n_rows <= ROWS_PER_MODEL_PARTITION and out.rdd.getNumPartitions() > 1:
+        out = out.coalesce(1)
     return out
 
 

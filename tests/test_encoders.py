@@ -85,3 +85,15 @@ def test_fit_state_from_train_only(frames):
     prep = E.fit_prep_for_generation(train, ["num_a", "cat_a"], ["cat_a"])
     out = {r.id: (r.num_a, r.cat_a) for r in prep.transform(test).collect()}
     assert out[7] == (4.0, -1.0)
+
+
+@pytest.mark.parametrize("n", [1, 2, 999, 4000])
+def test_exact_median_matches_python(spark, n):
+    import random
+    import statistics
+
+    rng = random.Random(n)
+    vals = [float(rng.randint(0, 50)) if i % 3 else rng.random() for i in range(n)]
+    df = spark.createDataFrame([(v, None) for v in vals], "x double, e double")
+    got = E.exact_medians(df, ["x", "e"])
+    assert got["x"] == pytest.approx(statistics.median(vals)) and got["e"] is None
