@@ -107,12 +107,12 @@ def eta_ranks(df: DataFrame, cols: list[str], target: str) -> DataFrame:
                                           F.sum(w * r * r).alias("qk"))
     per_col = per_cls.groupBy("col").agg(
         F.sum("nk").alias("n"), F.sum("sk").alias("s"), F.sum("qk").alias("q"),
-        F.sum(F.col("sk") * F.col("sk") / F.col("nk")).alias("sb_raw"))
+        F.sum(F.try_divide(F.col("sk") * F.col("sk"), F.col("nk"))).alias("sb_raw"))
     n = F.col("n")
-    grand = F.col("s") / n
+    grand = F.try_divide(F.col("s"), n)
     sst = F.col("q") - n * grand * grand
     ssb = F.col("sb_raw") - n * grand * grand
-    eta = F.sqrt(F.greatest(ssb, F.lit(0.0)) / sst)
+    eta = F.sqrt(F.try_divide(F.greatest(ssb, F.lit(0.0)), sst))
     assoc = F.when((n < 3) | (sst < EPS), F.lit(0.0)).otherwise(F.least(eta, F.lit(1.0)))
     return _zero_fill(per_col.select("col", assoc.alias("association")), cols, "association", agg)
 

@@ -29,7 +29,7 @@ def auc_frame(df: DataFrame, label: Column, score: Column, group_cols: list[str]
     part = F.col("pos") * (F.col("neg_before") + F.col("neg") / 2.0)
     red = cum.groupBy(*g).agg(F.sum(part).alias("u"), F.sum("pos").alias("P"), F.sum("neg").alias("N")) \
         if g else cum.agg(F.sum(part).alias("u"), F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    auc = F.when((F.col("P") > 0) & (F.col("N") > 0), F.col("u") / (F.col("P") * F.col("N")))
+    auc = F.when((F.col("P") > 0) & (F.col("N") > 0), F.try_divide(F.col("u"), F.col("P") * F.col("N")))
     return red.select(*g, auc.alias("auc"), F.col("P").cast("long").alias("n_pos"),
                       F.col("N").cast("long").alias("n_neg"))
 
