@@ -150,22 +150,31 @@ def pearson_abs(df: DataFrame, cols: list[str], y) -> DataFrame:
     return df.sparkSession.createDataFrame(out, "col string, pos int, association double")
 
 
-def cap_columns(df: DataFrame, cols: list[str], target: str, task: str, max_cols: int | None,
-                classes: list | None = None) -> list[str]:
-    """Keep the ``max_cols`` columns with the largest |Pearson| with the target
-    (class code = position of the sorted label); ties by column position,
-    undefined last.  No-op when not wider than the cap; 0/None disables."""
-    if not max_cols or len(cols) <= max_cols:
-        return list(cols)
+def cap_scores(df: DataFrame, cols: list[str], target: str, task: str, max_cols: int,
+               classes: list | None = None) -> DataFrame:
+    """(col, pos, association, kept): |Pearson| with the target (class code =
+    position of the sorted label); the ``max_cols`` best are kept, ties by
+    column position, undefined last."""
     if task == "regression":
         y = F.col(target).cast("double")
     else:
-        from .encoders import train_classes, LabelCoder
+        from .encoders import LabelCoder, train_classes
 
         y = LabelCoder(classes or train_classes(df, target)).code(F.col(target))
     scores = pearson_abs(df, cols, y)
-    ranked = scores.orderBy(F.col("association").desc_nulls_last(), F.col("pos")).limit(max_cols)
-    keep = {r["col"] for r in ranked.collect()}
+    order = Window.orderBy(F.col("association").desc_nulls_last(), F.col("pos"))
+    # one row per column: the unpartitioned window is bounded by the width
+    return scores.withColumn("kept", F.row_number().over(order) <= max_cols)
+
+
+def cap_columns(df: DataFrame, cols: list[str], target: str, task: str, max_cols: int | None,
+                classes: list | None = None) -> list[str]:
+    """Columns kept by :func:`cap_scores`, in their original order.  No-op
+    when not wider than the cap; 0/None disables."""
+    if not max_cols or len(cols) <= max_cols:
+        return list(cols)
+    keep = {r["col"] for r in cap_scores(df, cols, target, task, max_cols, classes)
+            .where("kept").collect()}
     return [c for c in cols if c in keep]
 
 

@@ -782,10 +782,8 @@ SELECT col, pos, round(a, 6) AS association,
 @register("cap_columns")
 def q_cap_columns(spark, sf):
     tr, _ = train_test(li_split(spark, sf))
-    scores = A.pearson_abs(tr, _CAP, F.col("l_extendedprice"))
-    keep = set(A.cap_columns(tr, _CAP, "l_extendedprice", "regression", 3))
-    return scores.select("col", "pos", r6(F.col("association")).alias("association"),
-                         F.col("col").isin(list(keep)).alias("kept"))
+    scores = A.cap_scores(tr, _CAP, "l_extendedprice", "regression", 3)
+    return scores.select("col", "pos", r6(F.col("association")).alias("association"), "kept")
 
 
 _GEN = {"f_qt": "l_quantity * l_tax", "f_dt": "l_discount + l_tax", "f_ln": "l_linenumber * 1.0"}
