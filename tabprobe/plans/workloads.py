@@ -161,7 +161,7 @@ _PROF_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantit
               "l_tax", "l_returnflag", "l_linestatus"]
 SQL["column_profile"] = " UNION ALL ".join(
     f"SELECT '{c}' AS col, '{'categorical' if c in ('l_returnflag', 'l_linestatus') else 'numeric'}' AS kind, "
-    f"count(DISTINCT {c}) AS n_distinct, sum(({c} IS NULL)::BIGINT) AS n_missing, "
+    f"count(DISTINCT {c}) AS n_distinct, sum(({c} IS NULL)::BIGINT)::BIGINT AS n_missing, "
     f"count(DISTINCT {c}) <= 1 AS is_constant FROM ({LI_NULLS_SQL}) t" for c in _PROF_COLS)
 
 
@@ -322,14 +322,16 @@ def q_split_stratified_multiclass(spark, sf):
 
 
 @register("split_class_counts", f"""
-SELECT o_orderstatus, count(*) AS n, sum(is_test::BIGINT) AS n_test, sum((NOT is_test)::BIGINT) AS n_train
+SELECT o_orderstatus, count(*) AS n, sum(is_test::BIGINT)::BIGINT AS n_test,
+       sum((NOT is_test)::BIGINT)::BIGINT AS n_train
 FROM {OC_SPLIT} t GROUP BY o_orderstatus""")
 def q_split_class_counts(spark, sf):
     return class_counts(oc_split(spark, sf), "o_orderstatus")
 
 
 @register("split_overlap_check", f"""
-SELECT 0::BIGINT AS n_overlap, sum((NOT is_test)::BIGINT) AS n_train, sum(is_test::BIGINT) AS n_test,
+SELECT 0::BIGINT AS n_overlap, sum((NOT is_test)::BIGINT)::BIGINT AS n_train,
+       sum(is_test::BIGINT)::BIGINT AS n_test,
        count(*) AS n_total, 0::BIGINT AS n_uncovered FROM {LI_SPLIT} t""")
 def q_split_overlap_check(spark, sf):
     return overlap_check(li_split(spark, sf), LI_KEYS)
@@ -903,8 +905,8 @@ SQL["auc_binary"] = f"""
 SELECT lang, CASE WHEN P > 0 AND N > 0 THEN
          round((sum(CASE WHEN pos THEN rk END) - P * (P + 1) / 2.0) / (P * N), 6) END AS auc,
        P AS n_pos, N AS n_neg
-FROM (SELECT lang, pos, rk, sum(pos::BIGINT) OVER (PARTITION BY lang) AS P,
-             sum((NOT pos)::BIGINT) OVER (PARTITION BY lang) AS N
+FROM (SELECT lang, pos, rk, sum(pos::BIGINT) OVER (PARTITION BY lang)::BIGINT AS P,
+             sum((NOT pos)::BIGINT) OVER (PARTITION BY lang)::BIGINT AS N
       FROM (SELECT lang, quality = 1 AS pos, rank() OVER (PARTITION BY lang ORDER BY n_chars)
                    + (count(*) OVER (PARTITION BY lang, n_chars) - 1) / 2.0 AS rk FROM ({DL_SQL}) d) a) b
 GROUP BY lang, P, N"""
@@ -1131,7 +1133,7 @@ def q_by_task_sector(spark, sf):
 SQL["best_per_dataset"] = f"""WITH res AS ({RES_SQL}),
   o AS ({OV_SQL})
 SELECT key, round(max(score), 6) AS best_score,
-       sum((score = (SELECT max(score) FROM o o2 WHERE o2.key = o.key))::BIGINT) AS n_best
+       sum((score = (SELECT max(score) FROM o o2 WHERE o2.key = o.key))::BIGINT)::BIGINT AS n_best
 FROM o GROUP BY key"""
 
 
