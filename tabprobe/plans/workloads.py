@@ -1320,3 +1320,54 @@ def q_leaderboard(spark, sf):
                        budget_seconds=None)
     res = rows_to_frame(spark, rows)
     return R.overview(res).select("key", "method", r6(F.col("score")).alias("score"), "is_best")
+
+
+# --------------------------------------------------------------------------- #
+# additions: multiclass target encoding, per-method pivot
+# --------------------------------------------------------------------------- #
+_CLS = ["F", "O", "P"]     # fixed values: sorted order statuses of the train fold
+
+
+def _te_multi_sql():
+    ys = ", ".join(f"(o_orderstatus = '{k}')::DOUBLE AS y{i}" for i, k in enumerate(_CLS))
+    gs = ", ".join(f"avg(y{i}) AS gm{i}, var_pop(y{i}) AS gv{i}" for i in range(len(_CLS)))
+    sts = ", ".join(f"avg(y{i}) AS m{i}, var_pop(y{i}) AS vw{i}" for i in range(len(_CLS)))
+    sel = []
+    for i in range(len(_CLS)):
+        lam = f"(g.gv{i} * st.n / (g.gv{i} * st.n + st.vw{i}))"
+        enc = (f"CASE WHEN g.gv{i} * st.n + st.vw{i} = 0 THEN g.gm{i} "
+               f"ELSE {lam} * st.m{i} + (1 - {lam}) * g.gm{i} END")
+        sel.append(f"round(coalesce((SELECT {enc} FROM st, g WHERE st.v IS NOT DISTINCT FROM s.c_mktsegment), "
+                   f"(SELECT gm{i} FROM g)), 6) AS c_mktsegment__te{i}")
+    return f"""
+WITH s AS {OC_SPLIT},
+  tr AS (SELECT *, {ys} FROM s WHERE NOT is_test),
+  g AS (SELECT {gs} FROM tr),
+  st AS (SELECT c_mktsegment AS v, count(*) AS n, {sts} FROM tr GROUP BY c_mktsegment)
+SELECT o_orderkey, is_test, {', '.join(sel)} FROM s"""
+
+
+SQL["target_encode_multiclass"] = _te_multi_sql()
+
+
+@register("target_encode_multiclass")
+def q_target_encode_multiclass(spark, sf):
+    s = oc_split(spark, sf)
+    tr, _ = train_test(s)
+    m = E.fit_target_encoder(tr, ["c_mktsegment"], "o_orderstatus", "classification")
+    out = m.transform(s.select("o_orderkey", "is_test", "c_mktsegment"))
+    encs = [c for c in out.columns if c.startswith("c_mktsegment__te")]
+    return out.select("o_orderkey", "is_test", *[r6(F.col(c)).alias(c) for c in encs])
+
+
+SQL["per_method_pivot"] = f"""WITH res AS ({RES_SQL}),
+  f AS ({FAM_SQL})
+SELECT method, model_family,
+  {', '.join(f"coalesce(max(CASE WHEN key = '{k}' THEN {_FMT3.format(v='value')} END), '—') AS {a}"
+             for k, a in _ABBR.items())}
+FROM f GROUP BY method, model_family"""
+
+
+@register("per_method_pivot")
+def q_per_method_pivot(spark, sf):
+    return R.per_method_table(_res(spark, sf), registry_table(spark, sf))

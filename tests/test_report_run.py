@@ -174,3 +174,15 @@ def test_csv_source_and_split_plan_roundtrip(spark, tmp_path):
     assert back["california-housing"] == (1404229301, False) and back["german-credit"][1] is True
     fallback = C.load_split_plan(spark, str(tmp_path / "missing"), reg)
     assert fallback.count() == 2
+
+
+def test_compare_rows_and_summary(spark, tmp_path):
+    ds = _dataset(spark)
+    out = str(tmp_path / "cmp")
+    res = compare(spark, ["baseline"], [ds], ["linear"], out_dir=out)
+    assert len(res.rows) == 1 and res.rows[0]["status"] == "ok"
+    assert res.rows[0].get("fold_id") is None          # compare() writes narrow rows
+    summ = res.summary().collect()
+    assert {(r.key, r.method) for r in summ} == {("toy", "baseline"), (None, "baseline")}
+    again = compare(spark, ["baseline"], [ds], ["linear"], out_dir=out)
+    assert len(again.rows) == 1                          # resumed: nothing re-run
