@@ -34,6 +34,22 @@ def get_session(master: str = "local[*]", shuffle_partitions: int = 8,
     return spark
 
 
+TARGET_PARTITION_BYTES = 256 * 1024 * 1024
+
+
+def configure_for_input(spark: SparkSession, input_bytes: int) -> int:
+    """Size shuffles for an input of ``input_bytes`` (e.g. the sum of the
+    parquet files of a sweep): about 256 MB per shuffle partition, never
+    fewer than twice the cores; AQE then coalesces small partitions and splits
+    skewed ones.  Returns the shuffle partition count it set."""
+    cores = spark.sparkContext.defaultParallelism
+    n = max(2 * cores, min(200_000, -(-int(input_bytes) // TARGET_PARTITION_BYTES)))
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(TARGET_PARTITION_BYTES))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(TARGET_PARTITION_BYTES))
+    return n
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Checkpoint directory from the session (``spark.checkpoint.dir``).
 

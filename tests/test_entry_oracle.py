@@ -46,3 +46,18 @@ def test_query_matches_oracle(spark, con, name):
     orows, ocols = cur.fetchall(), [d[0] for d in cur.description]
     assert sorted(cols) == sorted(ocols)
     assert _canon(rows, cols) == _canon(orows, ocols)
+
+
+@pytest.mark.parametrize("name", ["split_stratified", "spearman_cols", "eta_cols", "ordinal_encode",
+                                  "auc_binary", "knn_topk", "overview", "corpus_dedupe"])
+def test_invariant_under_shuffle_partitions(spark, name):
+    results = []
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in ("1", "4", "64"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            df = se.queries()[name](spark, SF_SMALL)
+            results.append(_canon([tuple(r) for r in df.collect()], df.columns))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert results[0] == results[1] == results[2]
