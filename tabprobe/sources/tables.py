@@ -28,17 +28,25 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
+SPREAD_MIN_BYTES = 2 * 1024 * 1024
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give an input with fewer scan partitions than cores one round-robin
     exchange so the first stage uses every core (a file stored as a single
     row group is read by one task).  Large inputs already have more splits
-    than cores and are left untouched; projections and filters still reach
-    the scan (Catalyst pushes them below the exchange)."""
+    than cores and tiny ones (< 2 MB) are not worth an exchange; both are
+    left untouched.  Projections and filters still reach the scan (Catalyst
+    pushes them below the exchange)."""
     sc = df.sparkSession.sparkContext
     want = sc.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
-    return df
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    try:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 -- no estimate: spread
+        size = SPREAD_MIN_BYTES
+    return df.repartition(want) if size >= SPREAD_MIN_BYTES else df
 
 
 @dataclass
