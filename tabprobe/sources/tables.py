@@ -133,12 +133,23 @@ def attach_labels(features: DataFrame, labels: DataFrame, key: list[str]) -> Dat
 # --------------------------------------------------------------------------- #
 def infer_task(df: DataFrame, target: str) -> str:
     """string/bool -> classification; float -> classification iff <= 2
-    distinct; integer -> classification iff distinct <= min(20, max(2, n // 20))."""
+    distinct; integer -> classification iff distinct <= min(20, max(2, n // 20)).
+
+    Only "distinct <= a small threshold" matters, so a HyperLogLog estimate
+    settles clear cases in the same pass as the row count; the exact distinct
+    count runs only when the estimate is within 4x of the threshold (then the
+    column has few distinct values and the exact count is cheap).
+    """
     dt = df.schema[target].dataType
     if isinstance(dt, (T.StringType, T.BooleanType)):
         return "classification"
-    r = df.agg(F.count_distinct(target).alias("d"), F.count(F.lit(1)).alias("n")).first()
-    return task_rule(dt, r["d"], r["n"])
+    r = df.agg(F.approx_count_distinct(target, 0.01).alias("a"), F.count(F.lit(1)).alias("n")).first()
+    n = r["n"]
+    limit = 2 if isinstance(dt, (T.FloatType, T.DoubleType, T.DecimalType)) else min(20, max(2, n // 20))
+    if r["a"] > 4 * limit:
+        return "regression"
+    d = df.agg(F.count_distinct(target)).first()[0]
+    return task_rule(dt, d, n)
 
 
 def task_rule(dt: T.DataType, n_distinct: int, n: int) -> str:

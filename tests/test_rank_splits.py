@@ -86,3 +86,15 @@ def test_average_ranks_ties(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (2.0,), (3.0,)], "x double")
     r = {row.x: row.rank0 for row in average_ranks(df, [], "x").collect()}
     assert r == {1.0: 0.0, 2.0: 1.5, 3.0: 3.0}
+
+
+def test_infer_task_rules(spark):
+    from tabprobe.sources.tables import infer_task
+
+    df = spark.createDataFrame([(i, float(i), i % 2 * 1.0, i % 3, str(i % 2)) for i in range(100)],
+                               "i long, f double, b double, c int, s string")
+    assert infer_task(df, "i") == "regression"
+    assert infer_task(df, "f") == "regression"
+    assert infer_task(df, "b") == "classification"
+    assert infer_task(df, "c") == "classification"     # 3 <= min(20, max(2, 100 // 20))
+    assert infer_task(df, "s") == "classification"
