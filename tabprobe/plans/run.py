@@ -144,6 +144,16 @@ def run_dataset(spark: SparkSession, ds: Dataset, methods, model_families=MODEL_
         test_num = test_num.select(*keep, *feats)
     train_num = train_num.persist(StorageLevel.MEMORY_AND_DISK)
     test_num = test_num.persist(StorageLevel.MEMORY_AND_DISK)
+    sample_box: list = []
+
+    def fit_sample():
+        """The bounded fit sample: method-independent, thresholds computed once."""
+        if not fit_sample_rows:
+            return train_num
+        if not sample_box:
+            sample_box.append(hash_sample(train_num, [ROW_ID], fit_sample_rows, seed=0))
+        return sample_box[0]
+
     rows: list[dict] = []
     scoring: list[tuple] = []
     generated: list[tuple] = []
@@ -156,8 +166,7 @@ def run_dataset(spark: SparkSession, ds: Dataset, methods, model_families=MODEL_
 
             def generate():
                 t0 = time.time()
-                sample = train_num if not fit_sample_rows else \
-                    hash_sample(train_num, [ROW_ID], fit_sample_rows, seed=0)
+                sample = fit_sample()
                 fitted = method.fit(sample, ds.target, method_task(task))
                 t1 = time.time()
                 # checkpoint: generated folds are re-read by every family and
