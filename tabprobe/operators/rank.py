@@ -27,8 +27,9 @@ from pyspark.sql import types as T
 # Rows a single window partition may hold before values are bucketed.
 ROWS_PER_BUCKET = 1_000_000
 MAX_BUCKETS = 4096
-# Tables up to this many rows are broadcast; larger ones are shuffled.
-BROADCAST_ROWS = 2_000_000
+# Tables up to this many rows are broadcast; larger ones are shuffled (AQE may
+# still broadcast them after measuring their runtime size).
+BROADCAST_ROWS = 100_000
 # Largest boundary bucket ranked in one window partition.
 BOUNDARY_LIMIT = 2_000_000
 
