@@ -47,10 +47,6 @@ def long_form(df: DataFrame, cols: list[str], as_type: str, ids: list[str] | tup
     return tmp.unpivot(list(ids), cols, "col", "value")
 
 
-def _is_cat_value(c: str) -> Column:
-    return F.col(c).cast("string")
-
-
 # --------------------------------------------------------------------------- #
 # exact medians and modes (DR based, no single-buffer percentile)
 # --------------------------------------------------------------------------- #
@@ -70,8 +66,6 @@ def exact_medians(df: DataFrame, cols: list[str]) -> dict[str, float | None]:
     """
     if not cols:
         return {}
-    from pyspark.sql import Window
-
     acc = MEDIAN_SKETCH_ACCURACY
     delta = 3.0 / acc
     lf = df.select(*[finite_or_null(F.col(c)).alias(c) for c in cols])

@@ -16,10 +16,10 @@ Missing values are injected by fixed rules on key columns (same rule in both).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import initials, sector_family
+from ..functions.scalar import initials
 from ..operators import association as A
 from ..operators import encoders as E
 from ..operators.knn import knn_neighbors, knn_predict
