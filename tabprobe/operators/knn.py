@@ -40,19 +40,18 @@ def _block_topk(k: int):
         b2 = (B * B).sum(1)
         d2 = a2[:, None] + b2[None, :] - 2.0 * (A @ B.T)
         kth = np.partition(d2, kk - 1, axis=1)[:, kk - 1]
-        # fast distances only pick candidates; exact distances decide
+        # fast distances only pick candidates (with a rounding margin);
+        # exact distances of the candidates decide, ties by train id
         tol = 1e-9 * (a2 + b2.max()) + 1e-12
-        out_q, out_r, out_d = [], [], []
-        for i in range(len(A)):
-            cand = np.nonzero(d2[i] <= kth[i] + tol[i])[0]
-            diff = B[cand] - A[i]
-            exact = np.sqrt((diff * diff).sum(1))
-            order = np.lexsort((rid[cand], exact))[:kk]
-            out_q.append(np.full(len(order), qid[i], dtype="int64"))
-            out_r.append(rid[cand][order])
-            out_d.append(exact[order])
-        return pd.DataFrame({"qid": np.concatenate(out_q), "rid": np.concatenate(out_r),
-                             "dist": np.concatenate(out_d)})
+        rows, cols = np.nonzero(d2 <= (kth + tol)[:, None])
+        diff = B[cols] - A[rows]
+        exact = np.sqrt((diff * diff).sum(1))
+        order = np.lexsort((rid[cols], exact, rows))
+        rows, cols, exact = rows[order], cols[order], exact[order]
+        start = np.searchsorted(rows, np.arange(len(A)))
+        rank = np.arange(len(rows)) - start[rows]
+        keep = rank < kk
+        return pd.DataFrame({"qid": qid[rows[keep]], "rid": rid[cols[keep]], "dist": exact[keep]})
     return run
 
 
