@@ -1371,3 +1371,36 @@ FROM f GROUP BY method, model_family"""
 @register("per_method_pivot")
 def q_per_method_pivot(spark, sf):
     return R.per_method_table(_res(spark, sf), registry_table(spark, sf))
+
+
+_LIN_NUM = ["o_totalprice", "c_acctbal"]
+_LIN_CAT = ["o_orderpriority", "c_mktsegment"]
+SQL["linear_profile"] = f"""
+WITH s AS {OC_SPLIT},
+  m AS (SELECT median(o_totalprice) AS mt, median(c_acctbal) AS ma FROM s WHERE NOT is_test),
+  f AS (SELECT s.*, coalesce(o_totalprice, mt) AS zt, coalesce(c_acctbal, ma) AS za FROM s, m),
+  st AS (SELECT avg(zt) AS avg_t, stddev_pop(zt) AS sd_t, avg(za) AS avg_a, stddev_pop(za) AS sd_a FROM f WHERE NOT is_test),
+  mo AS (SELECT o_orderpriority AS v FROM s WHERE NOT is_test AND o_orderpriority IS NOT NULL
+         GROUP BY o_orderpriority ORDER BY count(*) DESC, o_orderpriority LIMIT 1),
+  f2 AS (SELECT f.*, coalesce(o_orderpriority, (SELECT v FROM mo)) AS prio FROM f),
+  cp AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i FROM (SELECT DISTINCT prio AS v FROM f2 WHERE NOT is_test) x),
+  cs AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i FROM (
+         SELECT DISTINCT c_mktsegment AS v FROM f2 WHERE NOT is_test) x)
+SELECT o_orderkey, is_test,
+  round((zt - avg_t) / CASE WHEN sd_t > 0 THEN sd_t ELSE 1 END, 6) AS o_totalprice,
+  round((za - avg_a) / CASE WHEN sd_a > 0 THEN sd_a ELSE 1 END, 6) AS c_acctbal,
+  {', '.join(f"coalesce((prio = (SELECT v FROM cp WHERE i = {i}))::DOUBLE, 0.0) AS o_orderpriority__{i}" for i in range(5))},
+  {', '.join(f"coalesce((c_mktsegment = (SELECT v FROM cs WHERE i = {i}))::DOUBLE, 0.0) AS c_mktsegment__{i}"
+             for i in range(5))}
+FROM f2, st"""
+
+
+@register("linear_profile")
+def q_linear_profile(spark, sf):
+    s = oc_split(spark, sf)
+    tr, _ = train_test(s)
+    feats = _LIN_NUM + _LIN_CAT
+    enc = E.fit_linear_encoder(tr.select(*feats, "o_orderstatus"), feats, "o_orderstatus", "classification")
+    out = enc.transform(s.select("o_orderkey", "is_test", *feats))
+    return out.select("o_orderkey", "is_test", *[r6(F.col(c)).alias(c) for c in _LIN_NUM],
+                      *[c for c in out.columns if "__" in c])
