@@ -390,6 +390,7 @@ def target_encode_oof(train: DataFrame, cols: list[str], target: str, task: str,
     lf = yb.unpivot(["__fold", *ynames], cols, "col", "value")
     per_fold = sums(lf, ["col", "value", "__fold"])
     tot = sums(lf, ["col", "value"])
+    per_fold = materialize(per_fold, likely_large=True)   # joined back to its own totals
     stats = join_on(tot, per_fold.select("col", "value", "__fold", *[
         F.col(x).alias(f"f_{x}") for x in ["n", *[f"s_{y}" for y in ynames], *[f"q_{y}" for y in ynames]]]),
         ["col", "value"], "left")

@@ -174,6 +174,8 @@ def hash_thresholds(df: DataFrame, group_cols: list[str], h_col: str, need: Data
     need = need.select(*g, "_need").where(F.col("_need") > 0)
     # at most one boundary row per group: one size check covers every level
     if need_rows is None:
+        # derived from the data it is joined back to: cut its lineage first
+        need = materialize(need)
         need_rows = need.count()
     small = need_rows <= BROADCAST_ROWS
     bc = F.broadcast if small else (lambda d: d)
