@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabprobe.llm import line_frequency, pack_bestfit, pack_squares, simhash
+from tabprobe.llm import line_frequency, pack_bestfit, pack_squares, simhash, suffix_dedup
 from tabprobe.llm.common import read
 
 
@@ -27,5 +27,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "component_id")
 
 
-SPARK = {f.__name__: f for f in (op1_pack_squares, op2_line_frequency, op3_pack_bestfit, op5_simhash)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.without_repeats(read(spark, sf_dir, "documents")))
+
+
+SPARK = {f.__name__: f for f in (
+    op1_pack_squares, op2_line_frequency, op3_pack_bestfit, op5_simhash, op10_suffix_dedup)}
 SQL = {"op2_line_frequency": line_frequency.ORACLE_SQL}
