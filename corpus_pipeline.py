@@ -12,10 +12,20 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabprobe.llm import pack_squares, simhash
+from tabprobe.llm import decontaminate, language_gru, pack_squares, pseudonyms, simhash
 from tabprobe.llm.common import read
 from tabprobe.session import ensure_checkpoint_dir
 
+#: the key of the pseudonyms in this demonstration; real runs set a secret of their own
+PSEUDONYM_KEY = b"demonstration key, not a secret"
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language (no text or no letter in it) go.  The
+    network learns from the documents' own language marks."""
+    model = language_gru.trained(docs)
+    return language_gru.identified(docs, model).where("lang_pred <> 'und'").select(*docs.columns)
+
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: 3-word shingles,
@@ -23,13 +33,26 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return simhash.one_per_component(docs, shingle=3, max_bits=3)
 
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that repeat half of a test item or more go."""
+    return decontaminate.clean(docs, read(spark, sf_dir, "benchmark"))
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal numbers, dates and addresses become pseudonyms."""
+    return pseudonyms.pseudonymised(docs, key=PSEUDONYM_KEY).select(*docs.columns)
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 1024 tokens; a row per piece."""
     return pack_squares.digest(pack_squares.pack(docs))
 
 
 STAGES = [
+    ("language", language),
     ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("pii", pii),
     ("packing", packing),
 ]
 
