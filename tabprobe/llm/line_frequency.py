@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabprobe.llm.common import text_key
+from tabprobe.llm.common import text_key, written
 
 _BLANKS = " \t\n\x0b\x0c\r"
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -94,7 +94,7 @@ def frequent_lines(document_lines: DataFrame, max_docs: int) -> DataFrame:
 
 def _found(docs: DataFrame, host: str, max_docs: int) -> DataFrame:
     """(host, doc, line, words) of boilerplate lines in documents."""
-    lines = _document_lines(docs, host)
+    lines = written(_document_lines(docs, host))  # read twice: to count, and to mark
     frequent = frequent_lines(lines, max_docs).select("host", "line", F.explode(
         F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     return lines.withColumn("salt", F.pmod("doc", F.lit(SALTS)).cast("int")) \
