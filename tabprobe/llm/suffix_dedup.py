@@ -11,19 +11,22 @@ of times.
 Dealing.  Every ``match``-byte window chooses an anchor inside itself from its
 content alone (the position of its least hashed 9-byte string, taken modulo the
 number of possible anchors: a mod-minimizer), so equal windows choose equal
-anchors and the ``anchor`` bytes there name the bucket.  About one position in
-19 is an anchor.  What is dealt is the anchor's context, all windows that
-contain it.
-
-Hot passages.  A task first groups the contexts of its own documents: of equal
-contexts only that of the least id travels, the others are covered at once.  A
-bucket so gets a passage once per block of documents, however many hold it;
-there again only the least id's copy of each different context needs its
-windows looked up in the suffix arrays, the others are covered whole.
-
-Texts meet their spans in one join by id and content key.  Strings of bytes are
-compared, never hashes alone, in the arrays; equal contexts are recognised by
-64-bit hashes.
+anchors, and the ``anchor`` bytes there name a bucket.  About one position in
+19 is an anchor.
+
+1. Documents are dealt into blocks.  Each block sends its different anchors, as
+   32-bit codes within their bucket, and learns which occur in another block.
+2. Each block sends the contexts (all windows that contain it) of the anchors
+   that repeat there or in another block, and the buckets' index families
+   answer with spans.  A block sends equal contexts once, with its least id; its
+   other holders are covered at once, so a passage that a third of all documents
+   share reaches its bucket once per block.  Of equal contexts in a bucket, again
+   only those of the least id need their windows looked up.
+3. Each block cuts its texts.
+
+The three steps read one shuffle of the documents by block.  The arrays compare
+bytes; codes only choose candidates, and equal contexts are recognised by 64-bit
+hashes.
 
 Edge cases: null and empty texts have no bytes; rows of one id never clean each
 other; rows without an id come after all others and don't clean each other;
@@ -33,22 +36,18 @@ ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabprobe.llm.common import text_key
-
 MATCH, ANCHOR, MINIMISER = 50, 30, 9
 CHOICES = MATCH - ANCHOR + 1          # anchors a window can choose from
 LEFT = CHOICES - 1                    # bytes of context before an anchor
 WIDTH = LEFT + MATCH                  # context bytes
 NO_ID = (1 << 63) - 1
-BLOCK_BYTES, BLOCK_ANCHORS, TILE = 8 << 20, 400_000, 1 << 16
+CHUNK_ANCHORS, TILE = 400_000, 1 << 16
 #: bytes are kept plus one, so that 0 can stand for "outside the document"
 #: (UTF-8 has no byte 255)
 _PLUS = bytes(range(1, 256)) + b"\xff"
@@ -138,88 +137,132 @@ def _unpack(cell: bytes) -> list[bytes]:
     return out
 
 
-_DEALT = pa.schema([("bucket", pa.int32()), ("spans", pa.bool_()), ("cell", pa.binary())])
-
-
-def _deal_block(ids: list[int], keys: list[int], texts: list[bytes], buckets: int, turn: int):
-    """(bucket, spans, cell) rows of one block: contexts, and spans known already."""
-    order = sorted(range(len(ids)), key=ids.__getitem__)
-    gap = bytes(LEFT)
-    data = np.frombuffer(gap + b"".join(texts[i].translate(_PLUS) + gap for i in order), np.uint8)
-    sizes = np.array([len(texts[i]) for i in order], np.int64)
-    begin = LEFT + np.concatenate(([0], np.cumsum(sizes + LEFT)[:-1]))
-    edge = np.zeros(len(data) + 1, np.int8)
-    long = sizes >= MATCH
-    np.add.at(edge, begin[long], 1)
-    np.add.at(edge, (begin + sizes - MATCH + 1)[long], -1)
-    at = anchors(data, np.cumsum(edge[:len(data) - MATCH + 1], dtype=np.int8).astype(bool))
-    doc_of = np.searchsorted(begin, at, side="right") - 1
-    doc_ids = np.array([ids[i] for i in order], np.int64)
-    doc_keys = np.array([keys[i] for i in order], np.uint32)
-    padded = np.concatenate((data, np.zeros(WIDTH, np.uint8)))
-    view = np.lib.stride_tricks.sliding_window_view(padded, WIDTH)
-    for s in range(0, len(at), BLOCK_ANCHORS):
-        here, doc = at[s:s + BLOCK_ANCHORS], doc_of[s:s + BLOCK_ANCHORS]
-        context = view[here - LEFT]
-        pos = (here - begin[doc]).astype(np.uint32)
+class Block:
+    """The documents of a block in order of id and text, and their anchors."""
+
+    def __init__(self, table: pa.Table, buckets: int):
+        ids, cells = table["doc_id"].to_pylist(), table["text"].to_pylist()
+        texts = [c or b"" for c in cells]
+        order = sorted(range(len(ids)), key=lambda i: (NO_ID if ids[i] is None else ids[i], texts[i]))
+        self.ids, self.texts = [ids[i] for i in order], [texts[i] for i in order]
+        self.doc = np.array([NO_ID if i is None else i for i in self.ids], np.int64)
+        gap = bytes(LEFT)
+        joined = gap + b"".join(t.translate(_PLUS) + gap for t in self.texts) + bytes(WIDTH)
+        self.data = np.frombuffer(joined, np.uint8)
+        self.buckets = buckets
+
+    def find_anchors(self) -> None:
+        """``at`` and ``row`` of every anchor; ``codes``, the different (bucket,
+        32-bit) codes, and ``code_of`` the anchors."""
+        sizes = np.array([len(t) for t in self.texts], np.int64)
+        self.begin = LEFT + np.concatenate(([0], np.cumsum(sizes + LEFT)[:-1]))
+        windows = len(self.data) - MATCH + 1
+        edge = np.zeros(windows + 1, np.int8)
+        long = sizes >= MATCH
+        edge[self.begin[long]] += 1
+        edge[(self.begin + sizes - MATCH + 1)[long]] -= 1
+        self.at = anchors(self.data, np.cumsum(edge[:windows], dtype=np.int8).astype(bool))
+        self.row = np.searchsorted(self.begin, self.at, side="right") - 1
+        view = np.lib.stride_tricks.sliding_window_view(self.data, ANCHOR)
+        code = np.empty(len(self.at), np.uint64)
+        for s in range(0, len(self.at), CHUNK_ANCHORS):
+            h = _hash_rows(view[self.at[s:s + CHUNK_ANCHORS]])
+            bucket = (h & np.uint64(0xFFFFFFFF)) % np.uint64(self.buckets)
+            code[s:s + CHUNK_ANCHORS] = bucket << np.uint64(32) | h >> np.uint64(32)
+        self.codes, self.code_of = np.unique(code, return_inverse=True)
+
+    def bucket_slices(self) -> list[tuple[int, int, int]]:
+        """(bucket, first, end) of ``codes``."""
+        bucket = (self.codes >> np.uint64(32)).astype(np.int64)
+        first = np.flatnonzero(np.diff(bucket, prepend=-1))
+        return list(zip(bucket[first].tolist(), first.tolist(), np.append(first[1:], len(bucket)).tolist()))
+
+    def several_documents(self) -> np.ndarray:
+        """Which codes occur in documents of different ids here."""
+        order = np.argsort(self.code_of, kind="stable")  # rows, and so ids, ascend within
+        first = np.flatnonzero(np.diff(self.code_of[order], prepend=-1))
+        last = np.append(first[1:], len(order)) - 1
+        doc = self.doc[self.row[order]]
+        return doc[first] != doc[last]
+
+
+_CODES = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("cell", pa.binary())])
+
+
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    columns = list(zip(*rows)) or [()] * len(schema)
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
+
+
+def _send_codes(table: pa.Table, buckets: int) -> pa.Table:
+    block = Block(table, buckets)
+    block.find_anchors()
+    number = table["block"][0].as_py()
+    return _table([(b, number, _pack(block.codes[i:j].astype(np.uint32)))
+                   for b, i, j in block.bucket_slices()], _CODES)
+
+
+def _shared_codes(table: pa.Table) -> pa.Table:
+    """For each block, a bit for each of its codes: whether another block has it."""
+    codes = [np.frombuffer(_unpack(c.as_py())[0], np.uint32) for c in table["cell"]]
+    _, which, times = np.unique(np.concatenate(codes), return_inverse=True, return_counts=True)
+    shared = times[which] > 1
+    rows, at = [], 0
+    for bucket, block, c in zip(table["bucket"].to_pylist(), table["block"].to_pylist(), codes):
+        own = shared[at:at + len(c)]
+        at += len(c)
+        if own.any():
+            rows.append((bucket, block, np.packbits(own).tobytes()))
+    return _table(rows, _CODES)
+
+
+_DEALT = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("spans", pa.bool_()), ("cell", pa.binary())])
+
+
+def _send_contexts(table: pa.Table, replies: pa.Table, buckets: int) -> pa.Table:
+    """Contexts for the buckets, and spans known already."""
+    if not table.num_rows:
+        return _table([], _DEALT)
+    block = Block(table, buckets)
+    block.find_anchors()
+    number = table["block"][0].as_py()
+    wanted = block.several_documents()
+    cells = dict(zip(replies["bucket"].to_pylist(), replies["cell"].to_pylist()))
+    for b, i, j in block.bucket_slices():
+        if b in cells:
+            wanted[i:j] |= np.unpackbits(np.frombuffer(cells[b], np.uint8), count=j - i).astype(bool)
+    chosen = np.flatnonzero(wanted[block.code_of])
+    view = np.lib.stride_tricks.sliding_window_view(block.data, WIDTH)
+    out = []
+    for s in range(0, len(chosen), CHUNK_ANCHORS):
+        some = chosen[s:s + CHUNK_ANCHORS]
+        at, row = block.at[some], block.row[some]
+        context, doc = view[at - LEFT], block.doc[row]
+        pos = at - block.begin[row]
         h = _hash_rows(context)
-        order_h = np.argsort(h, kind="stable")  # positions ascend within, and so do ids
-        head = np.ones(len(h), bool)
-        head[1:] = h[order_h][1:] != h[order_h][:-1]
-        group = np.cumsum(head) - 1
-        first = order_h[head]
-        least = doc_ids[doc[first]][group]
-        later = order_h[doc_ids[doc[order_h]] > least]
+        order = np.argsort(h, kind="stable")  # rows, and so ids, ascend within
+        head = np.diff(h[order], prepend=h[order][:1] + np.uint64(1)) != 0
+        least = doc[order[head]][np.cumsum(head) - 1]
+        late = doc[order] > least
+        later, own = order[late], order[~late]
         if len(later):
-            left = np.count_nonzero(context[later][:, :LEFT], axis=1)
-            right = np.count_nonzero(context[later][:, LEFT:], axis=1)
-            p = pos[later].astype(np.int64)
-            yield turn % buckets, True, _pack(*merged_spans(
-                doc_ids[doc[later]], doc_keys[doc[later]], p - left, p + right))
-            turn += 1
-        own = np.flatnonzero(np.isin(np.arange(len(h)), later, invert=True)) if len(later) \
-            else np.arange(len(h))
-        bucket = (_hash_rows(context[own][:, LEFT:LEFT + ANCHOR]) % np.uint64(buckets)).astype(np.int64)
+            left, right = _sides(context[later])
+            _, key, start, end = merged_spans(row[later], row[later], pos[later] - left, pos[later] + right)
+            out.append((number % buckets, number, True, _pack(key, start, end)))
+        bucket = (block.codes[block.code_of[some[own]]] >> np.uint64(32)).astype(np.int64)
         by = np.argsort(bucket, kind="stable")
         own, bucket = own[by], bucket[by]
-        cuts = np.flatnonzero(np.diff(bucket)) + 1
-        for part in np.split(np.arange(len(own)), cuts):
-            rows = own[part]
-            yield int(bucket[part[0]]), False, _pack(
-                context[rows], doc_ids[doc[rows]], doc_keys[doc[rows]], pos[rows])
-
-
-def _deal(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    ids, keys, texts, size, turn = [], [], [], 0, 0
-
-    def flush():
-        nonlocal size, turn
-        rows, held = [], 0
-        for row in _deal_block(ids, keys, texts, buckets, turn):
-            rows.append(row)
-            held += len(row[2])
-            if held > BLOCK_BYTES:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in
-                                                  zip(zip(*rows), _DEALT.types)], schema=_DEALT)
-                rows, held = [], 0
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in
-                                              zip(zip(*rows), _DEALT.types)], schema=_DEALT)
-        turn += 97
-        ids.clear(), keys.clear(), texts.clear()
-        size = 0
-
-    for batch in batches:
-        for d, k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-            raw = text.as_py()
-            if raw is None or len(raw) < MATCH:
-                continue
-            ids.append(d), keys.append(k & 0xFFFFFFFF), texts.append(raw)
-            size += len(raw)
-            if size >= BLOCK_BYTES:
-                yield from flush()
-    if texts:
-        yield from flush()
+        for part in np.split(np.arange(len(own)), np.flatnonzero(np.diff(bucket)) + 1):
+            if len(part):
+                rows = own[part]
+                out.append((int(bucket[part[0]]), number, False, _pack(
+                    context[rows], doc[rows], row[rows].astype(np.uint32), pos[rows].astype(np.uint32))))
+    return _table(out, _DEALT)
+
+
+def _sides(context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of the document before the anchor, and from it on."""
+    return np.count_nonzero(context[:, :LEFT], axis=1), np.count_nonzero(context[:, LEFT:], axis=1)
 
 
 class SuffixLevels:
@@ -264,7 +307,7 @@ class SuffixLevels:
 def bucket_spans(context: np.ndarray, doc: np.ndarray, key: np.ndarray, pos: np.ndarray,
                  batch: int = 4096):
     """Spans to remove that the contexts of one bucket show."""
-    none = (np.empty(0, np.int64), np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64))
+    none = tuple(np.empty(0, np.int64) for _ in range(4))
     if not len(doc):
         return none
     # anchors that only one document has can't repeat
@@ -280,18 +323,20 @@ def bucket_spans(context: np.ndarray, doc: np.ndarray, key: np.ndarray, pos: np.
     if not len(rows):
         return none
     context, doc, key, pos = context[rows], doc[rows], key[rows], pos[rows].astype(np.int64)
-    left = np.count_nonzero(context[:, :LEFT], axis=1)
-    right = np.count_nonzero(context[:, LEFT:], axis=1)
+    left, right = _sides(context)
     # of equal contexts, those after the least document are covered whole
     same, which = np.unique(_hash_rows(context), return_inverse=True)
     least = np.full(len(same), NO_ID, np.int64)
     np.minimum.at(least, which, doc)
     later = doc > least[which]
     spans = [(doc[later], key[later], pos[later] - left[later], pos[later] + right[later])]
-    # the windows of each different context, once, in document order
+    # the windows of each different context, once, in document order; an anchor
+    # with one context has no window elsewhere
     own = np.flatnonzero(~later)
     _, one = np.unique(which[own], return_index=True)
     one = own[one]
+    _, name, contexts = np.unique(anchor[shared][one], return_inverse=True, return_counts=True)
+    one = one[contexts[name] > 1]
     one = one[np.argsort(doc[one], kind="stable")]
     family, repeated = SuffixLevels(), np.zeros((len(same), CHOICES), bool)
     offsets = np.arange(CHOICES)
@@ -309,85 +354,73 @@ def bucket_spans(context: np.ndarray, doc: np.ndarray, key: np.ndarray, pos: np.
     return merged_spans(*(np.concatenate(c) for c in zip(*spans)))
 
 
-_SPANS = pa.schema([("doc", pa.int64()), ("key", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
+_SPANS = pa.schema([("block", pa.int64()), ("cell", pa.binary())])
 
 
 def _bucket(table: pa.Table) -> pa.Table:
-    contexts, spans = [], []
-    for is_spans, cell in zip(table["spans"].to_pylist(), table["cell"]):
-        a, b, c, d = _unpack(cell.as_py())
+    """Per block, the (row, start, end) spans that a bucket finds."""
+    rows, found, numbers = [], [], []
+    for block, is_spans, cell in zip(table["block"].to_pylist(), table["spans"].to_pylist(), table["cell"]):
         if is_spans:
-            spans.append((np.frombuffer(a, np.int64), np.frombuffer(b, np.uint32),
-                          np.frombuffer(c, np.int64), np.frombuffer(d, np.int64)))
-        else:
-            contexts.append((np.frombuffer(a, np.uint8).reshape(-1, WIDTH), np.frombuffer(b, np.int64),
-                             np.frombuffer(c, np.uint32), np.frombuffer(d, np.uint32)))
-    if contexts:
-        spans.append(bucket_spans(*(np.concatenate(c) for c in zip(*contexts))))
-    doc, key, start, end = merged_spans(*(np.concatenate(c) for c in zip(*spans)))
-    return pa.Table.from_arrays([pa.array(doc), pa.array(key.astype(np.int64)), pa.array(start),
-                                 pa.array(end)], schema=_SPANS)
-
-
-def repeated_spans(docs: DataFrame, buckets: int) -> DataFrame:
-    """(doc, key, start, end): byte spans to remove, by id and content key."""
-    source = docs.select("doc", "key", F.col("text").cast("binary").alias("text"))
-    dealt = source.mapInArrow(lambda batches: _deal(batches, buckets),
-                              "bucket int, spans boolean, cell binary")
-    return dealt.groupBy("bucket").applyInArrow(_bucket, "doc bigint, key bigint, start bigint, end bigint")
+            rows.append((block, cell.as_py()))
+            continue
+        a, b, c, d = _unpack(cell.as_py())
+        key = np.frombuffer(c, np.uint32).astype(np.int64) | len(numbers) << 32
+        numbers.append(block)
+        found.append((np.frombuffer(a, np.uint8).reshape(-1, WIDTH), np.frombuffer(b, np.int64), key,
+                      np.frombuffer(d, np.uint32)))
+    if found:
+        _, key, start, end = bucket_spans(*(np.concatenate(c) for c in zip(*found)))
+        order = np.argsort(key, kind="stable")
+        key, start, end = key[order], start[order], end[order]
+        for part in np.split(np.arange(len(key)), np.flatnonzero(np.diff(key >> 32)) + 1):
+            if len(part):
+                rows.append((numbers[int(key[part[0]] >> 32)],
+                             _pack(key[part] & 0xFFFFFFFF, start[part], end[part])))
+    return _table(rows, _SPANS)
 
 
 _CLEAN = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()),
                     ("n_spans", pa.int64()), ("kept", pa.binary())])
 
 
-def _cut(raw: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, bytes]:
-    merged: list[list[int]] = []
-    for a, b in sorted(spans):
-        if merged and a <= merged[-1][1]:
-            merged[-1][1] = max(b, merged[-1][1])
-        else:
-            merged.append([a, b])
-    out, at = [], 0
-    for a, b in merged:
-        out.append(raw[at:a])
-        at = b
-    out.append(raw[at:])
-    return sum(b - a for a, b in merged), len(merged), b"".join(out)
-
-
-def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows, held = [], 0
-        for d, text, starts, ends in zip(batch.column(0).to_pylist(), batch.column(1),
-                                         batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            raw = text.as_py() or b""
-            n, k, kept = _cut(raw, list(zip(starts or (), ends or ())))
-            rows.append((d, len(raw), n, k, kept))
-            held += len(kept)
-            if held > BLOCK_BYTES:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in
-                                                  zip(zip(*rows), _CLEAN.types)], schema=_CLEAN)
-                rows, held = [], 0
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in
-                                              zip(zip(*rows), _CLEAN.types)], schema=_CLEAN)
+def _cut(table: pa.Table, spans: pa.Table) -> pa.Table:
+    block = Block(table, 1)
+    cells = [[np.frombuffer(x, np.int64) for x in _unpack(c.as_py())] for c in spans["cell"]]
+    by_row: dict[int, list[tuple[int, int]]] = {}
+    if cells:
+        row, start, end = (np.concatenate(c) for c in zip(*cells))
+        row, _, start, end = merged_spans(row, row, start, end)
+        for r, a, b in zip(row.tolist(), start.tolist(), end.tolist()):
+            by_row.setdefault(r, []).append((a, b))
+    rows = []
+    for r, (doc_id, raw) in enumerate(zip(block.ids, block.texts)):
+        cuts = by_row.get(r, [])
+        ends = [0, *(b for _, b in cuts)]
+        starts = [*(a for a, _ in cuts), len(raw)]
+        kept = b"".join(raw[a:b] for a, b in zip(ends, starts))
+        rows.append((doc_id, len(raw), len(raw) - len(kept), len(cuts), kept))
+    return _table(rows, _CLEAN)
 
 
 def without_repeats(docs: DataFrame, *, buckets: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the bytes ``kept`` of each
-    document.  ``buckets``: how many index families (default: four times the
-    session's shuffle partitions, which grow with the input)."""
+    document.  ``buckets``: how many blocks, and how many index families
+    (default: the session's shuffle partitions, which grow with the input); a
+    task holds one at a time, in about ten times its bytes."""
     if buckets is None:
-        buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"),
-                        F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc"),
-                        text_key().bitwiseAND(0xFFFFFFFF).alias("key"), "text")
-    spans = repeated_spans(keyed, buckets).groupBy("doc", "key").agg(
-        F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
-    return keyed.join(spans, ["doc", "key"], "left") \
-        .select("doc_id", F.col("text").cast("binary").alias("text"), "starts", "ends") \
-        .mapInArrow(_apply, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+        buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    text = F.col("text").cast("binary")
+    blocks = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"),
+                         F.pmod(F.xxhash64("doc_id", F.xxhash64(text)), F.lit(buckets)).alias("block"))
+    by_block = blocks.groupBy("block")
+    codes = by_block.applyInArrow(lambda t: _send_codes(t, buckets), "bucket int, block bigint, cell binary")
+    replies = codes.groupBy("bucket").applyInArrow(_shared_codes, "bucket int, block bigint, cell binary")
+    dealt = by_block.cogroup(replies.groupBy("block")).applyInArrow(
+        lambda t, r: _send_contexts(t, r, buckets), "bucket int, block bigint, spans boolean, cell binary")
+    spans = dealt.groupBy("bucket").applyInArrow(_bucket, "block bigint, cell binary")
+    return by_block.cogroup(spans.groupBy("block")).applyInArrow(
+        _cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
 
 
 def digest(cleaned: DataFrame) -> DataFrame:
