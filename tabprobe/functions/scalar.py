@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,26 +27,36 @@ def seed_for_py(key: str) -> int:
 
 
 def key_part(df: DataFrame, name: str) -> Column:
-    """Engine-independent text of one row-key column.
+    """Lossless text of one row-key column: a type tag, the length, the value.
 
-    Integers and strings print alike everywhere; dates/timestamps are
-    formatted; doubles become integer cents (doubles print differently
-    across engines).
+    Dates and timestamps keep their microseconds and doubles the shortest
+    digits that give them back; a NULL is ``n``.  Tags and lengths keep parts
+    apart, so different keys never share a text.
     """
     dt = df.schema[name].dataType
     c = F.col(name)
-    if isinstance(dt, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        return F.date_format(c, "yyyyMMdd")
-    if isinstance(dt, (T.DoubleType, T.FloatType, T.DecimalType)):
-        return F.round(c.cast("double") * 100).cast("long").cast("string")
-    return c.cast("string")
+    if isinstance(dt, T.TimestampType):
+        tag, text = "t", F.unix_micros(c).cast("string")
+    elif isinstance(dt, (T.DateType, T.TimestampNTZType)):
+        tag, text = "c", F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    elif isinstance(dt, (T.DoubleType, T.FloatType, T.DecimalType)):
+        tag, text = "d", c.cast("string")
+    elif isinstance(dt, T.IntegralType):
+        tag, text = "i", c.cast("string")
+    else:
+        tag, text = "s", c.cast("string") if not isinstance(dt, (T.ArrayType, T.MapType, T.StructType)) \
+            else F.to_json(F.struct(c))
+    return F.coalesce(F.concat(F.lit(tag), F.length(text).cast("string"), F.lit(":"), text), F.lit("n"))
+
+
+def key_text(df: DataFrame, key_cols: list[str]) -> Column:
+    return F.concat(*[key_part(df, c) for c in key_cols])
 
 
 def row_hash(df: DataFrame, key_cols: list[str], seed) -> Column:
-    """sha256 hex of ``seed:k1:k2:...``; the split / sample ordering key."""
-    parts = [F.lit(str(seed)) if not isinstance(seed, Column) else seed.cast("string")]
-    parts += [key_part(df, c) for c in key_cols]
-    return F.sha2(F.concat_ws(":", *parts), 256)
+    """sha256 hex of ``seed:key text``; the split / sample ordering key."""
+    seed = seed.cast("string") if isinstance(seed, Column) else F.lit(str(seed))
+    return F.sha2(F.concat(seed, F.lit(":"), key_text(df, key_cols)), 256)
 
 
 def finite_or_null(c: Column) -> Column:
@@ -81,14 +93,14 @@ def first_error_line(e: Column, width: int = 120) -> Column:
 
 def sector_family(sector: Column) -> Column:
     """Coarse sector family by substring rules."""
+    # fixed values of the coverage rule
+    rules = (("finance", ("finance", "telco")), ("healthcare", ("health",)),
+             ("physical-science", ("material", "physical", "chem", "energy")))
     s = F.lower(sector)
-    return (F.when(s.contains("financ") | s.contains("bank") | s.contains("insur"), "finance")
-            .when(s.contains("health") | s.contains("medic") | s.contains("bio"), "health")
-            .when(s.contains("retail") | s.contains("market") | s.contains("commerce"), "commerce")
-            .when(s.contains("energy") | s.contains("industr") | s.contains("physic")
-                  | s.contains("engineer"), "industry")
-            .when(s.contains("web") | s.contains("telecom") | s.contains("tech"), "tech")
-            .otherwise("other"))
+    out = F.lit("general")
+    for family, parts in reversed(rules):
+        out = F.when(reduce(lambda a, b: a | b, [s.contains(p) for p in parts]), family).otherwise(out)
+    return out
 
 
 def json_row(*cols: str) -> Column:

@@ -28,9 +28,10 @@ def _ranked(agg: DataFrame, value_col: str, weight: str) -> DataFrame:
     """(col, value) -> 0-based average rank and the column's n, from counts."""
     per_value = agg.groupBy("col", value_col).agg(F.sum(weight).alias("cnt"))
     cum = cumulative_before(per_value, ["col"], value_col, ["cnt"])
-    n = F.sum("cnt").over(Window.partitionBy("col"))
-    return cum.select("col", value_col, (F.col("cnt_before") + (F.col("cnt") - 1) / 2.0)
-                      .alias(f"r_{value_col}"), n.alias("n"))
+    # one total per column, joined back: no task holds a whole column
+    totals = per_value.groupBy("col").agg(F.sum("cnt").alias("n"))
+    return cum.join(totals, "col").select(
+        "col", value_col, (F.col("cnt_before") + (F.col("cnt") - 1) / 2.0).alias(f"r_{value_col}"), "n")
 
 
 def _zero_fill(stats: DataFrame, cols: list[str], name: str, cached: DataFrame) -> DataFrame:
@@ -127,7 +128,7 @@ def target_association(df: DataFrame, cols: list[str], target: str, task: str) -
 def pearson_abs(df: DataFrame, cols: list[str], y) -> DataFrame:
     """(col, pos, association) = |Pearson(x, y)|; constant column -> 0;
     undefined -> NULL.  ``y`` is a numeric Column (class code for labels)."""
-    base = df.select(y.cast("double").alias("__y"), *[F.col(c).cast("double").alias(c) for c in cols])
+    base = df.select(finite_or_null(y).alias("__y"), *[finite_or_null(F.col(c)).alias(c) for c in cols])
     aggs = []
     for c in cols:
         x = F.col(c)

@@ -217,7 +217,7 @@ class ScaleModel:
             if c in self.stats:
                 mean, std = self.stats[c]
                 scale = std if (std is not None and std > 0) else 1.0
-                exprs.append(((F.col(c).cast("double") - F.lit(mean or 0.0)) / F.lit(scale)).alias(c))
+                exprs.append(((finite_or_null(F.col(c)) - F.lit(mean or 0.0)) / F.lit(scale)).alias(c))
             else:
                 exprs.append(F.col(c))
         return df.select(*exprs)
@@ -229,8 +229,8 @@ def fit_scaler(train: DataFrame, cols: list[str]) -> ScaleModel:
         return ScaleModel({})
     aggs = []
     for c in cols:
-        aggs += [F.avg(F.col(c).cast("double")).alias(f"m_{c}"),
-                 F.stddev_pop(F.col(c).cast("double")).alias(f"s_{c}")]
+        aggs += [F.avg(finite_or_null(F.col(c))).alias(f"m_{c}"),
+                 F.stddev_pop(finite_or_null(F.col(c))).alias(f"s_{c}")]
     r = train.agg(*aggs).first()
     return ScaleModel({c: (r[f"m_{c}"], r[f"s_{c}"]) for c in cols})
 
@@ -255,15 +255,12 @@ class OneHotModel:
         return df.select(*keep, *hot)
 
 
-def fit_one_hot(train: DataFrame, cols: list[str], max_categories: int = 10_000) -> OneHotModel:
-    """All train categories kept (sorted), unseen -> all zeros."""
+def fit_one_hot(train: DataFrame, cols: list[str]) -> OneHotModel:
+    """All train categories kept (sorted), unseen -> all zeros.  The output is
+    as wide as there are categories, and so is what the driver reads."""
     if not cols:
         return OneHotModel({})
     lf = long_form(train, cols, "string").where(F.col("value").isNotNull()).distinct()
-    sizes = {r["col"]: r["count"] for r in lf.groupBy("col").count().collect()}
-    too_wide = {c: n for c, n in sizes.items() if n > max_categories}
-    if too_wide:
-        raise ValueError(f"one-hot would create too many columns: {too_wide}")
     cats: dict[str, list[str]] = {c: [] for c in cols}
     for r in lf.orderBy("col", "value").collect():
         cats[r["col"]].append(r["value"])
@@ -355,10 +352,9 @@ def fit_target_encoder(train: DataFrame, cols: list[str], target: str, task: str
 
 def oof_fold(df: DataFrame, key_cols: list[str], n_folds: int = N_OOF_FOLDS) -> Column:
     """Fold of a row for cross-fitting: first 8 hex of sha256(key text) mod n."""
-    from ..functions.scalar import key_part
+    from ..functions.scalar import key_text
 
-    txt = F.concat_ws(":", *[key_part(df, c) for c in key_cols])
-    return F.pmod(F.conv(F.substring(F.sha2(txt, 256), 1, 8), 16, 10).cast("long"),
+    return F.pmod(F.conv(F.substring(F.sha2(key_text(df, key_cols), 256), 1, 8), 16, 10).cast("long"),
                   F.lit(n_folds)).cast("int")
 
 
@@ -376,7 +372,11 @@ def target_encode_oof(train: DataFrame, cols: list[str], target: str, task: str,
     ycols, ynames = target_columns(train, target, task, classes)
     base = train.withColumn("__fold", oof_fold(train, key_cols, n_folds))
     yb = base.select("__fold", *[F.col(c).cast("string").alias(c) for c in cols], *ycols) \
-        .where(F.col(ynames[0]).isNotNull()).persist()
+        .where(F.col(ynames[0]).isNotNull())
+    # sums are taken around the mean, so that a far-off target doesn't cancel
+    mean_row = yb.agg(*[F.avg(y).alias(y) for y in ynames]).first()
+    centre = {y: float(mean_row[y] or 0.0) for y in ynames}
+    yb = yb.withColumns({y: F.col(y) - F.lit(centre[y]) for y in ynames}).persist()
 
     def sums(df, keys):
         return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"),
@@ -416,7 +416,7 @@ def target_encode_oof(train: DataFrame, cols: list[str], target: str, task: str,
         gm = F.try_divide(g_of(f"s_{y}", F.col("__fold")), gn)
         gv = F.try_divide(g_of(f"q_{y}", F.col("__fold")), gn) - gm * gm
         enc = F.when(n > 0, _shrunk(n, mean, var_w, gm, gv)).otherwise(gm)
-        out_cols.append(enc.alias(f"{y}_enc"))
+        out_cols.append((enc + F.lit(centre[y])).alias(f"{y}_enc"))
     enc_tab = materialize(stats.select("col", "value", "__fold", *out_cols))
     yb.unpersist()
     out = base
@@ -429,7 +429,7 @@ def target_encode_oof(train: DataFrame, cols: list[str], target: str, task: str,
         gm_default = {}
         for y in ynames:
             gn = g_of("n", F.col("__fold"))
-            gm_default[y] = F.try_divide(g_of(f"s_{y}", F.col("__fold")), gn)
+            gm_default[y] = F.try_divide(g_of(f"s_{y}", F.col("__fold")), gn) + F.lit(centre[y])
         name = (lambda y: c if len(ynames) == 1 else f"{c}__te{y[3:]}")
         rest = [x for x in out.columns if x != c]
         out = out.select(*rest, *[F.coalesce(F.col(f"__e_{c}_{y}"), gm_default[y]).alias(name(y))

@@ -13,12 +13,12 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import finite_or_null
 from .encoders import exact_medians, fit_label_coder
 from .knn import knn_predict
 from .metrics import auc_frame, auc_ovr_frame, regression_scores
 
 MODEL_FAMILIES = ("tree", "linear", "knn")
-ENCODING_FOR_FAMILY = {"tree": "tree", "linear": "linear", "knn": "linear"}
 # protocol values
 TREE_ROUNDS = 200
 TREE_DEPTH = 5
@@ -27,9 +27,9 @@ RIDGE_ALPHA = 1.0
 LOGISTIC_C = 1.0
 LOGISTIC_MAX_ITER = 1000
 KNN_K = 10
-KNN_MAX_TRAIN_ROWS = 50_000
-KNN_MAX_TEST_ROWS = 20_000
 KNN_SUBSAMPLE_SEED = 0
+#: bytes of assembled features for one partition of a model's input
+MODEL_PARTITION_BYTES = 64 << 20
 
 
 def _tree_ready(train: DataFrame, test: DataFrame, features: list[str]):
@@ -49,40 +49,47 @@ def _tree_ready(train: DataFrame, test: DataFrame, features: list[str]):
     return fill(train), fill(test), list(features) + [f"{c}__missing" for c in holes]
 
 
-ROWS_PER_MODEL_PARTITION = 1_000_000
-
-
 def _assemble(df: DataFrame, features: list[str], n_rows: int | None = None) -> DataFrame:
-    """Feature vector.  A small training input (at most ~1M rows) is
-    coalesced to one partition so iterative learners (hundreds of boosting
-    passes) do not pay per-task overhead on near-empty partitions; larger
-    inputs keep their partitioning and the cluster's parallelism."""
+    """Feature vector.  Iterative learners pass hundreds of times over the
+    training input, so its partitions are sized by bytes."""
     out = VectorAssembler(inputCols=features, outputCol="__features").transform(df)
-    if n_rows is not None and n_rows <= ROWS_PER_MODEL_PARTITION and out.rdd.getNumPartitions() > 1:
-        out = out.coalesce(1)
+    if n_rows is not None:
+        want = 1 + 8 * n_rows * (len(features) + 1) // MODEL_PARTITION_BYTES
+        if want < out.rdd.getNumPartitions():
+            out = out.coalesce(want)
     return out
 
 
+def _knn_sides(train: DataFrame, test: DataFrame, row_id: str, max_train_rows: int | None):
+    """Both sides with a number per row; the train side whole, or, for a
+    classifier, a hash sample of ``max_train_rows`` labelled rows if asked for."""
+    if max_train_rows:
+        from ..operators.splits import hash_sample
+
+        train = hash_sample(train, [row_id], max_train_rows, KNN_SUBSAMPLE_SEED)
+    number = F.monotonically_increasing_id()
+    return tuple(side.withColumn("__nid", number).checkpoint() for side in (train, test))
+
+
 def fit_and_score(family: str, task: str, train: DataFrame, test: DataFrame,
                   features: list[str], label: str, row_id: str, seed: int = 0,
-                  tree_rounds: int = TREE_ROUNDS) -> dict:
+                  tree_rounds: int = TREE_ROUNDS, knn_train_rows: int | None = None) -> dict:
     """Fit ``family`` on ``train``, score ``test``: ``{metric, value[, mae]}``.
 
     Classification: AUC (binary if the train fold has <= 2 classes, else
-    macro one-vs-rest).  Regression: R^2 plus MAE.
+    macro one-vs-rest).  Regression: R^2 plus MAE.  All test rows are scored;
+    ``knn_train_rows`` bounds the labelled rows a kNN classifier keeps (default:
+    all).
     """
     if family not in MODEL_FAMILIES:
         raise ValueError(f"unknown model family: {family!r}")
     if task == "regression":
-        y = F.col(label).cast("double")
+        y = finite_or_null(F.col(label))
         train = train.where(y.isNotNull())
         if family == "knn":
-            from ..operators.splits import hash_sample
-
-            trs = hash_sample(train, [row_id], KNN_MAX_TRAIN_ROWS, KNN_SUBSAMPLE_SEED).checkpoint()
-            tes = hash_sample(test, [row_id], KNN_MAX_TEST_ROWS, KNN_SUBSAMPLE_SEED + 1).checkpoint()
-            pred = knn_predict(trs, tes, features, row_id, row_id, label, task, k=KNN_K)
-            scored = tes.select(F.col(row_id).cast("long").alias("qid"), y.alias("__y")) \
+            trs, tes = _knn_sides(train, test, row_id, None)
+            pred = knn_predict(trs, tes, features, "__nid", "__nid", label, task, k=KNN_K)
+            scored = tes.select(F.col("__nid").alias("qid"), y.alias("__y")) \
                 .join(pred, "qid", "left")
             r = regression_scores(scored, F.col("__y"), F.col("pred")).first()
             return {"metric": "r2", "value": r["r2"], "mae": r["mae"]}
@@ -109,12 +116,9 @@ def fit_and_score(family: str, task: str, train: DataFrame, test: DataFrame,
     train = train.where(code.isNotNull())
     binary = len(classes) <= 2
     if family == "knn":
-        from ..operators.splits import hash_sample
-
-        trs = hash_sample(train, [row_id], KNN_MAX_TRAIN_ROWS, KNN_SUBSAMPLE_SEED).checkpoint()
-        tes = hash_sample(test, [row_id], KNN_MAX_TEST_ROWS, KNN_SUBSAMPLE_SEED + 1).checkpoint()
-        pred = knn_predict(trs, tes, features, row_id, row_id, label, task, classes=classes, k=KNN_K)
-        scored = tes.select(F.col(row_id).cast("long").alias("qid"), code.alias("__c")) \
+        trs, tes = _knn_sides(train, test, row_id, knn_train_rows)
+        pred = knn_predict(trs, tes, features, "__nid", "__nid", label, task, classes=classes, k=KNN_K)
+        scored = tes.select(F.col("__nid").alias("qid"), code.alias("__c")) \
             .join(pred, "qid", "left").withColumn("__probs", F.col("probs"))
     else:
         if family == "tree":

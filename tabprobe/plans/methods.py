@@ -21,6 +21,7 @@ from __future__ import annotations
 from typing import Callable, Protocol
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def method_task(task: str) -> str:
@@ -87,8 +88,8 @@ class function_method:  # noqa: N801 -- reads as an adapter
 class PandasMethod:
     """Row-wise pandas transform run with ``mapInPandas``.
 
-    ``fit_pandas(train_sample_pdf, target, task) -> state`` runs once on the
-    bounded fit sample; ``transform_pandas(pdf, state) -> pdf`` runs per Arrow
+    ``fit_pandas(train_sample_pdf, target, task) -> state`` runs once on at most
+    ``max_fit_rows`` training rows (the first by row hash); ``transform_pandas(pdf, state) -> pdf`` runs per Arrow
     batch on the executors and must add columns listed in ``new_columns``
     (all double).  Use only for logic with no DataFrame expression.
     """
@@ -100,10 +101,8 @@ class PandasMethod:
         self.new_columns, self.max_fit_rows = list(new_columns), max_fit_rows
 
     def fit(self, train: DataFrame, target: str, task: str) -> Fitted:
-        n = train.count()
-        if n > self.max_fit_rows:
-            raise ValueError(f"pandas fit sample has {n} rows > {self.max_fit_rows}")
-        state = self.fit_pandas(train.toPandas(), target, task)
+        sample = train.orderBy(F.xxhash64(*train.columns)).limit(self.max_fit_rows)
+        state = self.fit_pandas(sample.toPandas(), target, task)
         return _PandasFitted(self, state)
 
 

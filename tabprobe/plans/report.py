@@ -9,6 +9,8 @@ cells per (method, group).  Best cells are flagged with a window max
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,10 +50,22 @@ def legend(res: DataFrame, registry: DataFrame | None = None) -> DataFrame:
     initials of the hyphenated key, repeats numbered 2, 3, ... in order."""
     info = dataset_info(res, registry)
     pos = F.row_number().over(Window.orderBy("task", "sector", "key"))
-    info = info.withColumn("pos", pos).withColumn("base", initials(F.col("key")))
-    n = F.row_number().over(Window.partitionBy("base").orderBy("pos"))
-    abbrev = F.when(n == 1, F.col("base")).otherwise(F.concat(F.col("base"), n.cast("string")))
-    return info.select("pos", abbrev.alias("abbrev"), "key", "task", "sector", "metric")
+    info = info.withColumn("pos", pos)
+    return info.join(abbreviations(info), "key").select("pos", "abbrev", "key", "task", "sector", "metric")
+
+
+def abbreviations(keys: DataFrame) -> DataFrame:
+    """(key, abbrev) for ``(key, pos)`` rows: initials, and for taken labels the
+    first free number from 2 on, in ``pos`` order.  One row per report column,
+    read by the driver."""
+    taken: set[str] = set()
+    out = []
+    for r in keys.select("key", initials(F.col("key")).alias("base")).orderBy(keys["pos"]).collect():
+        numbered = itertools.chain([r["base"]], (f"{r['base']}{i}" for i in itertools.count(2)))
+        label = next(x for x in numbered if x not in taken)
+        taken.add(label)
+        out.append((r["key"], label))
+    return keys.sparkSession.createDataFrame(out, "key string, abbrev string")
 
 
 def overview(res: DataFrame) -> DataFrame:

@@ -22,13 +22,11 @@ from ..operators.association import cap_columns, feature_efficiency
 from ..operators.encoders import fit_family_input, fit_prep_for_generation, split_columns
 from ..operators.models import MODEL_FAMILIES, TREE_ROUNDS, fit_and_score
 from ..operators.splits import FOLD_ID, PROTOCOL, add_split, hash_sample, train_test
-from ..sources.results import append_results, read_results, rows_to_frame
-from ..sources.tables import Dataset
+from ..sources.results import append_results, pending_pairs, read_results, rows_to_frame
+from ..sources.tables import Dataset, keyless_dataset
 from .methods import method_task, resolve_method
 
 DEFAULT_BUDGET_SECONDS = 300
-DEFAULT_MAX_COLS = 200
-DEFAULT_FIT_SAMPLE_ROWS = 20_000
 ROW_ID = "__rid"
 
 
@@ -72,9 +70,9 @@ def iter_folds(ds: Dataset, encoding: str = "tree", categorical_encoding: str |
 def run_with_budget(spark: SparkSession, fn, budget_seconds: float | None):
     """Run ``fn()`` (which triggers Spark jobs) under a wall-clock budget.
 
-    The jobs run under their own job group; at the deadline the group is
-    cancelled (repeatedly, until the worker thread returns, since a cancel
-    sent before a job is submitted is lost).
+    The jobs run under their own job group.  At the deadline this returns (by
+    raising); a background thread goes on cancelling the group until the worker
+    ends, since a cancel sent before a job is submitted is lost.
     """
     if not budget_seconds:
         return fn()
@@ -93,9 +91,12 @@ def run_with_budget(spark: SparkSession, fn, budget_seconds: float | None):
     t.start()
     t.join(budget_seconds)
     if t.is_alive():
-        while t.is_alive():
-            sc.cancelJobGroup(group)
-            t.join(0.2)
+        def cancel():
+            while t.is_alive():
+                sc.cancelJobGroup(group)
+                t.join(0.5)
+
+        threading.Thread(target=cancel, daemon=True).start()
         raise BudgetExceeded(f"generation exceeded {budget_seconds} s")
     if "err" in box:
         raise box["err"]
@@ -103,26 +104,29 @@ def run_with_budget(spark: SparkSession, fn, budget_seconds: float | None):
 
 
 def _with_row_id(ds: Dataset) -> DataFrame:
-    """A long row id: the key itself when it is one integral column, else a
-    60-bit slice of the key hash."""
+    """A row id: the key itself when it is one integral column, else the whole
+    hash of the key text."""
     from pyspark.sql import types as T
 
-    from ..functions.scalar import key_part
+    from ..functions.scalar import key_text
 
     if len(ds.key_cols) == 1 and isinstance(ds.df.schema[ds.key_cols[0]].dataType, T.IntegralType):
         return ds.df.withColumn(ROW_ID, F.col(ds.key_cols[0]).cast("long"))
-    txt = F.concat_ws(":", *[key_part(ds.df, c) for c in ds.key_cols])
-    return ds.df.withColumn(ROW_ID, F.conv(F.substring(F.sha2(txt, 256), 1, 15), 16, 10).cast("long"))
+    return ds.df.withColumn(ROW_ID, F.sha2(key_text(ds.df, ds.key_cols), 256))
 
 
 def run_dataset(spark: SparkSession, ds: Dataset, methods, model_families=MODEL_FAMILIES,
                 budget_seconds: float | None = DEFAULT_BUDGET_SECONDS,
-                max_cols: int | None = DEFAULT_MAX_COLS,
-                fit_sample_rows: int | None = DEFAULT_FIT_SAMPLE_ROWS,
+                max_cols: int | None = None,
+                fit_sample_rows: int | None = None,
                 tree_rounds: int = TREE_ROUNDS, narrow: bool = False,
-                max_parallel: int = 6) -> list[dict]:
+                max_parallel: int = 6, on_rows=None) -> list[dict]:
     """Result rows for every (method, family) on one dataset.
 
+    All training rows and columns are used; ``max_cols`` and
+    ``fit_sample_rows`` bound them only if asked for.  ``on_rows`` gets each
+    method's rows as soon as they are known (a sweep stores them).
+
     Generation runs method by method (each under its budget); the
     (method, family) model fits are independent Spark jobs and run
     concurrently from ``max_parallel`` driver threads.
@@ -159,6 +163,7 @@ def run_dataset(spark: SparkSession, ds: Dataset, methods, model_families=MODEL_
     generated: list[tuple] = []
     try:
         for m in methods:
+            sent = len(rows)
             method = resolve_method(m)
             head = dict(key=ds.name, method=method.name, task=task)
             if not narrow:
@@ -182,9 +187,13 @@ def run_dataset(spark: SparkSession, ds: Dataset, methods, model_families=MODEL_
             except BudgetExceeded as exc:
                 rows.append(dict(head, status="timeout", gen_elapsed_s=budget_seconds,
                                  error=str(exc)))
+                if on_rows is not None:
+                    on_rows(rows[sent:])
                 continue
             except Exception as exc:  # noqa: BLE001 -- a failing method is a row
-                rows.append(dict(head, status="error", error=str(exc)[:2000]))
+                rows.append(dict(head, status="error", error=str(exc)))
+                if on_rows is not None:
+                    on_rows(rows[sent:])
                 continue
             head.update(status="ok", gen_elapsed_s=fit_s + tf_s)
             if not narrow:
@@ -202,7 +211,11 @@ def run_dataset(spark: SparkSession, ds: Dataset, methods, model_families=MODEL_
                                          n_features_final=len(gen_cols)), family, tr, te_al, gen_cols))
                 generated.append((tr, te))
             except Exception as exc:  # noqa: BLE001
-                rows.append(dict(head, status="error", error=str(exc)[:2000]))
+                rows.append(dict(head, status="error", error=str(exc)))
+            if on_rows is not None:
+                rows += _score_all(spark, scoring, task, ds.target, tree_rounds, max_parallel)
+                scoring.clear()
+                on_rows(rows[sent:])
         rows += _score_all(spark, scoring, task, ds.target, tree_rounds, max_parallel)
     finally:
         train_num.unpersist()
@@ -224,7 +237,7 @@ def _score_all(spark, scoring, task, target, tree_rounds, max_parallel) -> list[
         except Exception as exc:  # noqa: BLE001 -- a failing model is a row
             out = {k: v for k, v in row.items()
                    if k not in ("n_features_generated", "n_features_final")}
-            return dict(out, status="model_error", error=str(exc)[:2000])
+            return dict(out, status="model_error", error=str(exc))
 
     if not scoring:
         return []
@@ -232,22 +245,31 @@ def _score_all(spark, scoring, task, target, tree_rounds, max_parallel) -> list[
         return list(pool.map(one, scoring))
 
 
+def _pending(spark: SparkSession, datasets: list[Dataset], methods, out_dir: str | None, resume: bool,
+             retry_failed: bool) -> dict[str, list]:
+    """Methods still to run, by dataset."""
+    named = [(resolve_method(m).name, m) for m in methods]
+    if not (out_dir and resume):
+        return {ds.name: list(methods) for ds in datasets}
+    pairs = spark.createDataFrame([(ds.name, name) for ds in datasets for name, _ in named],
+                                  "key string, method string")
+    left = {tuple(r) for r in pending_pairs(pairs, read_results(spark, out_dir), retry_failed)
+            .select("key", "method").collect()}
+    return {ds.name: [m for name, m in named if (ds.name, name) in left] for ds in datasets}
+
+
 def run_benchmark(spark: SparkSession, datasets: list[Dataset], methods, out_dir: str,
-                  model_families=MODEL_FAMILIES, resume: bool = True, **kw) -> tuple[int, str]:
-    """Every pending (dataset, method) pair; rows appended per pair."""
-    done = set()
-    if resume:
-        done = {(r["key"], r["method"]) for r in
-                read_results(spark, out_dir).select("key", "method").distinct().collect()}
+                  model_families=MODEL_FAMILIES, resume: bool = True, retry_failed: bool = False,
+                  **kw) -> tuple[int, str]:
+    """Every pending (dataset, method) pair: one split and preparation per
+    dataset, rows appended per pair."""
+    pending = _pending(spark, datasets, methods, out_dir, resume, retry_failed)
     n = 0
     for ds in datasets:
-        pending = [m for m in methods if (ds.name, resolve_method(m).name) not in done]
-        if not pending:
-            continue
-        for m in pending:
-            rows = run_dataset(spark, ds, [m], model_families, **kw)
-            append_results(rows_to_frame(spark, rows), out_dir)
-            n += len(rows)
+        if pending[ds.name]:
+            n += len(run_dataset(
+                spark, ds, pending[ds.name], model_families,
+                on_rows=lambda rows: append_results(rows_to_frame(spark, rows), out_dir), **kw))
     return n, out_dir
 
 
@@ -265,33 +287,36 @@ class CompareResult:
         return summary_table(self.to_frame())
 
     def __repr__(self) -> str:
-        ok = [r for r in self.rows if r.get("status") == "ok"]
-        return f"CompareResult({len(self.rows)} rows, {len(ok)} ok)"
+        rows = self.summary().orderBy("model_family", F.col("key").isNull(), "key", "method").collect()
+        return "\n".join([f"{'family':8} {'dataset':24} {'method':20} score"] + [
+            f"{r['model_family'] or '':8} {r['key'] or '(mean)':24} {r['method']:20} "
+            f"{'' if r['value'] is None else format(r['value'], '.4f')}" for r in rows])
 
 
-def compare(spark: SparkSession, methods, datasets: list[Dataset] | None = None,
+def _as_dataset(item) -> Dataset:
+    """A :class:`Dataset`, or ``(name, df, target[, task])`` without a row key."""
+    if isinstance(item, Dataset):
+        return item
+    name, df, target, *task = item
+    return keyless_dataset(name, df, target, *task)
+
+
+def compare(spark: SparkSession, methods, datasets: list | None = None,
             model_families=MODEL_FAMILIES, budget_seconds: float | None = None,
-            out_dir: str | None = None, resume: bool = True, **kw) -> CompareResult:
-    """Run methods on user datasets (no column cap, no fit sampling by default)."""
+            out_dir: str | None = None, resume: bool = True, retry_failed: bool = False,
+            **kw) -> CompareResult:
+    """Run methods on user datasets: :class:`Dataset` objects, or
+    ``(name, df, target[, task])`` tuples for tables without a row key."""
     if not datasets:
         raise ValueError("compare() needs at least one dataset")
-    kw.setdefault("max_cols", None)
-    kw.setdefault("fit_sample_rows", None)
-    done = set()
-    if out_dir and resume:
-        done = {(r["key"], r["method"]) for r in
-                read_results(spark, out_dir).select("key", "method").distinct().collect()}
+    datasets = [_as_dataset(d) for d in datasets]
+    pending = _pending(spark, datasets, methods, out_dir, resume, retry_failed)
+    store = (lambda rows: append_results(rows_to_frame(spark, rows), out_dir)) if out_dir else None
     rows: list[dict] = []
     for ds in datasets:
-        for m in methods:
-            name = resolve_method(m).name
-            if (ds.name, name) in done:
-                continue
-            got = run_dataset(spark, ds, [m], model_families, budget_seconds=budget_seconds,
-                              narrow=True, **kw)
-            if out_dir:
-                append_results(rows_to_frame(spark, got), out_dir)
-            rows += got
+        if pending[ds.name]:
+            rows += run_dataset(spark, ds, pending[ds.name], model_families,
+                                budget_seconds=budget_seconds, narrow=True, on_rows=store, **kw)
     if out_dir:
         rows = [r.asDict() for r in read_results(spark, out_dir).collect()]
     return CompareResult(rows, spark)

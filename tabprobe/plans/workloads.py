@@ -107,8 +107,18 @@ def seed_sql(key: str) -> str:
     return f"((20260101 + ('0x' || substr(sha256('{key}'), 1, 8))::BIGINT) % 4294967295)"
 
 
-LI_KEYTXT = ("l_orderkey, l_linenumber, l_partkey, l_suppkey, strftime(l_shipdate, '%Y%m%d'), "
-             "round(l_extendedprice * 100)::BIGINT")
+def key_sql(*parts: tuple[str, str]) -> str:
+    """The lossless key text of (type tag, column) parts."""
+    texts = {"c": "strftime({c}, '%Y-%m-%d %H:%M:%S.%f')"}
+    out = []
+    for tag, c in parts:
+        text = texts.get(tag, "CAST({c} AS VARCHAR)").format(c=c)
+        out.append(f"coalesce('{tag}' || length({text}) || ':' || {text}, 'n')")
+    return " || ".join(out)
+
+
+LI_KEYTXT = key_sql(("i", "l_orderkey"), ("i", "l_linenumber"), ("i", "l_partkey"), ("i", "l_suppkey"),
+                    ("c", "l_shipdate"), ("d", "l_extendedprice"))
 LI_NULLS_SQL = """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber,
     CASE WHEN l_linenumber % 7 = 0 THEN NULL ELSE l_quantity END AS l_quantity,
     l_extendedprice, CASE WHEN l_orderkey % 5 = 0 THEN NULL ELSE l_discount END AS l_discount,
@@ -118,7 +128,7 @@ OC_SQL = """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice,
     c_nationkey, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE c_acctbal END AS c_acctbal, c_mktsegment
     FROM orders LEFT JOIN customer ON o_custkey = c_custkey"""
 DL_SQL = """SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, l.quality, l.toxic,
-    length(d.text)::BIGINT AS text_len FROM documents d JOIN labels l ON d.doc_id = l.doc_id"""
+    length(d.text)::BIGINT AS text_len FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"""
 
 
 def holdout_sql(src: str, key: str, keytxt: str) -> str:
@@ -136,12 +146,12 @@ def strat_sql(src: str, key: str, keytxt: str, label: str) -> str:
 
 LI_SPLIT = holdout_sql("SELECT * FROM lineitem", "lineitem", LI_KEYTXT)
 LI_NULL_SPLIT = holdout_sql(LI_NULLS_SQL, "lineitem", LI_KEYTXT)
-OC_SPLIT = strat_sql(OC_SQL, "orders", "o_orderkey", "o_orderstatus")
-DL_SPLIT = strat_sql(DL_SQL, "documents", "doc_id", "quality")
+OC_SPLIT = strat_sql(OC_SQL, "orders", key_sql(("i", "o_orderkey")), "o_orderstatus")
+DL_SPLIT = strat_sql(DL_SQL, "documents", key_sql(("i", "doc_id")), "quality")
 EMB_FLAT = "SELECT vec_id, label, " + ", ".join(
     f"embedding[{i + 1}]::DOUBLE AS f{i}" for i in range(64)) + " FROM embeddings"
-EMB_SPLIT = strat_sql(EMB_FLAT, "embeddings", "vec_id", "label")
-PART_SPLIT = holdout_sql("SELECT * FROM part", "part", "p_partkey")
+EMB_SPLIT = strat_sql(EMB_FLAT, "embeddings", key_sql(("i", "vec_id")), "label")
+PART_SPLIT = holdout_sql("SELECT * FROM part", "part", key_sql(("i", "p_partkey")))
 
 
 # --------------------------------------------------------------------------- #
@@ -240,7 +250,7 @@ def q_union_parts(spark, sf):
 
 @register("label_join", """
 SELECT d.doc_id, d.lang, d.source, d.n_chars, l.quality, l.toxic
-FROM documents d JOIN labels l ON d.doc_id = l.doc_id""")
+FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
 def q_label_join(spark, sf):
     return docs_labels(spark, sf).select("doc_id", "lang", "source", "n_chars", "quality", "toxic")
 
@@ -530,7 +540,7 @@ def _te_sql(split, key, y, cats):
         f"CAST(s.{c} AS VARCHAR)), (SELECT gm FROM g)), 6) AS {c}" for c in cats)
     return f"""
 WITH s AS {split},
-  tr AS (SELECT *, {y} AS y FROM s WHERE NOT is_test),
+  tr AS (SELECT *, {y} AS y FROM s WHERE NOT is_test AND ({y}) IS NOT NULL),
   g AS (SELECT avg(y) AS gm, var_pop(y) AS gv FROM tr),
   st AS ({blocks})
 SELECT {key}, is_test, {sel} FROM s"""
@@ -565,11 +575,11 @@ def q_target_encode_reg(spark, sf):
 def _oof_sql():
     cats = ["lang", "source"]
     blocks_t = " UNION ALL ".join(
-        f"SELECT '{c}' AS col, {c} AS v, count(*) AS n, sum(y) AS sy, sum(y * y) AS qy FROM tr GROUP BY {c}"
+        f"SELECT '{c}' AS col, {c} AS v, count(*) AS n, sum(y) AS sy, sum(y * y) AS qy FROM ty GROUP BY {c}"
         for c in cats)
     blocks_f = " UNION ALL ".join(
         f"SELECT '{c}' AS col, {c} AS v, fold, count(*) AS n, sum(y) AS sy, sum(y * y) AS qy "
-        f"FROM tr GROUP BY {c}, fold" for c in cats)
+        f"FROM ty GROUP BY {c}, fold" for c in cats)
     sel = []
     for c in cats:
         sel.append(f"round(coalesce((SELECT enc FROM e WHERE e.col = '{c}' AND e.v = tr.{c} "
@@ -577,10 +587,11 @@ def _oof_sql():
     return f"""
 WITH s AS {DL_SPLIT},
   tr AS (SELECT *, (quality = 1)::DOUBLE AS y,
-         (('0x' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT % 5)::INTEGER AS fold
+         (('0x' || substr(sha256({key_sql(("i", "doc_id"))}), 1, 8))::BIGINT % 5)::INTEGER AS fold
          FROM s WHERE NOT is_test),
-  gt AS (SELECT count(*) AS n, sum(y) AS sy, sum(y * y) AS qy FROM tr),
-  gf AS (SELECT fold, count(*) AS n, sum(y) AS sy, sum(y * y) AS qy FROM tr GROUP BY fold),
+  ty AS (SELECT * FROM tr WHERE y IS NOT NULL),
+  gt AS (SELECT count(*) AS n, sum(y) AS sy, sum(y * y) AS qy FROM ty),
+  gf AS (SELECT fold, count(*) AS n, sum(y) AS sy, sum(y * y) AS qy FROM ty GROUP BY fold),
   go AS (SELECT gf.fold, (gt.sy - gf.sy) / (gt.n - gf.n) AS gm,
                 (gt.qy - gf.qy) / (gt.n - gf.n) - ((gt.sy - gf.sy) / (gt.n - gf.n)) ^ 2 AS gv
          FROM gf, gt),
@@ -908,7 +919,8 @@ SELECT lang, CASE WHEN P > 0 AND N > 0 THEN
 FROM (SELECT lang, pos, rk, sum(pos::BIGINT) OVER (PARTITION BY lang)::BIGINT AS P,
              sum((NOT pos)::BIGINT) OVER (PARTITION BY lang)::BIGINT AS N
       FROM (SELECT lang, quality = 1 AS pos, rank() OVER (PARTITION BY lang ORDER BY n_chars)
-                   + (count(*) OVER (PARTITION BY lang, n_chars) - 1) / 2.0 AS rk FROM ({DL_SQL}) d) a) b
+                   + (count(*) OVER (PARTITION BY lang, n_chars) - 1) / 2.0 AS rk FROM ({DL_SQL}) d
+      WHERE quality IS NOT NULL) a) b
 GROUP BY lang, P, N"""
 
 
@@ -1180,21 +1192,31 @@ def q_pending_pairs(spark, sf):
     return pending_pairs(req, _res(spark, sf))
 
 
+# nation names, and keys whose numbered labels clash with other keys' initials
+_ABBREV_KEYS_SQL = """SELECT lower(replace(n_name, '_', '-')) AS key, n_nationkey * 2 AS pos FROM nation
+  UNION ALL SELECT lower(substr(n_name, 1, 1)) || '-2' || n_nationkey, n_nationkey * 2 + 1 FROM nation"""
 SQL["abbreviate"] = f"""
-SELECT key, CASE WHEN n = 1 THEN base ELSE base || CAST(n AS VARCHAR) END AS abbrev FROM (
-  SELECT key, base, row_number() OVER (PARTITION BY base ORDER BY pos) AS n FROM (
-    SELECT lower(replace(n_name, '_', '-')) AS key, n_nationkey AS pos,
-           {INITIALS_SQL.format(k="lower(replace(n_name, '_', '-'))")} AS base FROM nation) a) b"""
+WITH RECURSIVE o AS (SELECT key, {INITIALS_SQL.format(k="key")} AS base, row_number() OVER (ORDER BY pos) AS i
+                     FROM ({_ABBREV_KEYS_SQL}) a),
+r AS (SELECT 0::BIGINT AS i, CAST([] AS VARCHAR[]) AS used, '' AS key, '' AS abbrev
+  UNION ALL
+  SELECT x.i, list_append(x.used, x.abbrev), x.key, x.abbrev FROM (
+    SELECT o.i, r.used, o.key, list_filter(
+             list_concat([o.base], list_transform(range(2, len(r.used) + 3), lambda n: o.base || n::VARCHAR)),
+             lambda c: NOT list_contains(r.used, c))[1] AS abbrev
+    FROM r JOIN o ON o.i = r.i + 1) x)
+SELECT key, abbrev FROM r WHERE i > 0"""
 
 
 @register("abbreviate")
 def q_abbreviate(spark, sf):
-    n = read_table(spark, sf, "nation").select(
-        F.lower(F.regexp_replace("n_name", "_", "-")).alias("key"), F.col("n_nationkey").alias("pos"))
-    n = n.withColumn("base", initials(F.col("key")))
-    k = F.row_number().over(Window.partitionBy("base").orderBy("pos"))
-    return n.select("key", F.when(k == 1, F.col("base"))
-                    .otherwise(F.concat(F.col("base"), k.cast("string"))).alias("abbrev"))
+    n = read_table(spark, sf, "nation")
+    keys = n.select(F.lower(F.regexp_replace("n_name", "_", "-")).alias("key"),
+                    (F.col("n_nationkey") * 2).alias("pos"))
+    clash = n.select(F.concat(F.lower(F.substring("n_name", 1, 1)), F.lit("-2"),
+                              F.col("n_nationkey").cast("string")).alias("key"),
+                     (F.col("n_nationkey") * 2 + 1).alias("pos"))
+    return R.abbreviations(keys.unionAll(clash))
 
 
 SQL["summary_mean"] = f"""WITH res AS ({RES_SQL}),
@@ -1248,7 +1270,7 @@ WITH m AS (SELECT CAST(substr(source, 4) AS INTEGER) AS suite_pos, doc_id AS pos
   f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lname ORDER BY suite_pos, pos) AS rn FROM m) x
         WHERE rn = 1),
   k AS (SELECT * FROM f WHERE NOT EXISTS (SELECT 1 FROM benchmark b WHERE lower(b.text) = f.lname))
-SELECT suite_pos, pos, source, lang FROM k ORDER BY suite_pos, pos LIMIT 100"""
+SELECT suite_pos, pos, source, lang FROM k"""
 
 
 @register("corpus_dedupe")
@@ -1257,16 +1279,14 @@ def q_corpus_dedupe(spark, sf):
     members = d.select(F.substring("source", 4, 12).cast("int").alias("suite_pos"),
                        F.col("doc_id").alias("pos"), "source", "lang", F.col("text").alias("name"))
     excl = read_table(spark, sf, "benchmark").select(F.col("text").alias("name"))
-    return C.build_corpus(members, excl, "name", cap=100).select("suite_pos", "pos", "source", "lang")
+    return C.build_corpus(members, excl, "name").select("suite_pos", "pos", "source", "lang")
 
 
-_SF_SQL = """CASE WHEN contains(lower(sector), 'financ') OR contains(lower(sector), 'bank') OR contains(lower(sector), 'insur') THEN 'finance'
-  WHEN contains(lower(sector), 'health') OR contains(lower(sector), 'medic') OR contains(lower(sector), 'bio') THEN 'health'
-  WHEN contains(lower(sector), 'retail') OR contains(lower(sector), 'market') OR contains(lower(sector), 'commerce') THEN 'commerce'
-  WHEN contains(lower(sector), 'energy') OR contains(lower(sector), 'industr') OR contains(lower(sector), 'physic')
-       OR contains(lower(sector), 'engineer') THEN 'industry'
-  WHEN contains(lower(sector), 'web') OR contains(lower(sector), 'telecom') OR contains(lower(sector), 'tech') THEN 'tech'
-  ELSE 'other' END"""
+_SF_SQL = """CASE WHEN contains(lower(sector), 'finance') OR contains(lower(sector), 'telco') THEN 'finance'
+  WHEN contains(lower(sector), 'health') THEN 'healthcare'
+  WHEN contains(lower(sector), 'material') OR contains(lower(sector), 'physical') OR contains(lower(sector), 'chem')
+       OR contains(lower(sector), 'energy') THEN 'physical-science'
+  ELSE 'general' END"""
 SQL["coverage_matrix"] = f"""
 SELECT {_SF_SQL} AS sector_family, task, count(*) AS n_datasets, string_agg(key, ',' ORDER BY key) AS keys
 FROM ({REG_SQL}) r GROUP BY ALL"""

@@ -26,7 +26,6 @@ REGISTRY_SCHEMA = T.StructType([
 ])
 SPLIT_PLAN_SCHEMA = "key string, protocol string, seed long, test_size double, stratify boolean"
 SCALE_ORDER = {"small": 0, "medium": 1, "large": 2}
-CORPUS_MAX_DATASETS = 100
 
 
 def registry_frame(spark: SparkSession, rows: list[dict]) -> DataFrame:
@@ -93,10 +92,10 @@ def coverage_matrix(registry: DataFrame) -> DataFrame:
 
 
 def build_corpus(members: DataFrame, exclusion: DataFrame, name: Column | str = "name",
-                 cap: int = CORPUS_MAX_DATASETS, stubs: DataFrame | None = None) -> DataFrame:
+                 cap: int | None = None, stubs: DataFrame | None = None) -> DataFrame:
     """Suites -> first-seen dedupe by lower-cased name (suite order, then
-    position) -> minus the exclusion names -> first ``cap`` in order, then
-    the error stubs.
+    position) -> minus the exclusion names -> all, or the first ``cap`` in
+    order if a cap is asked for -> then the error stubs.
 
     ``members`` has ``suite_pos, pos`` and the name column; dedupe is an
     aggregation (min of the order key), so a name repeated in a third of
@@ -105,11 +104,14 @@ def build_corpus(members: DataFrame, exclusion: DataFrame, name: Column | str =
     nm = F.col(name) if isinstance(name, str) else name
     others = [c for c in members.columns if c not in ("suite_pos", "pos")]
     keyed = members.withColumn("__lname", F.lower(nm)).withColumn("__k", F.sha2(F.col("__lname"), 256))
-    first = keyed.groupBy("__k").agg(
-        F.min(F.struct("suite_pos", "pos", "__lname", *others)).alias("__r")).select("__r.*")
+    # the order key alone is aggregated; names and bodies join back by it
+    first = keyed.groupBy("__k").agg(F.min(F.struct("suite_pos", "pos")).alias("__r")) \
+        .select("__k", F.col("__r.suite_pos").alias("suite_pos"), F.col("__r.pos").alias("pos"))
+    first = keyed.join(first, ["__k", "suite_pos", "pos"]).dropDuplicates(["__k", "suite_pos", "pos"])
     # left-anti on the exclusion names; AQE broadcasts it when it is small
     kept = first.join(exclusion.select(F.lower("name").alias("__lname")), "__lname", "left_anti")
-    out = kept.orderBy("suite_pos", "pos").limit(cap).select("suite_pos", "pos", *others)
+    out = kept.select("suite_pos", "pos", *others)
+    out = out.orderBy("suite_pos", "pos") if cap is None else out.orderBy("suite_pos", "pos").limit(cap)
     if stubs is not None:
         out = out.unionByName(stubs, allowMissingColumns=True)
     return out

@@ -13,10 +13,11 @@ import json
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.scalar import finite_or_null, key_text
 from ..operators.encoders import split_columns
 from ..operators.rank import join_on
 
@@ -68,6 +69,22 @@ class Dataset:
         return self.task or infer_task(self.df, self.target)
 
 
+def keyless_dataset(name: str, df: DataFrame, target: str, task: str | None = None) -> Dataset:
+    """A table without a row key: the key is the hash of all columns and a
+    number within equal rows.  Equal rows are numbered per partition and moved
+    on by the counts of the partitions before, so that no task holds them all."""
+    hashed = df.withColumn("__part", F.spark_partition_id()) \
+        .withColumn("row_hash", F.sha2(key_text(df, df.columns), 256))
+    order = Window.partitionBy("row_hash", "__part").orderBy(F.lit(0))
+    numbered = hashed.withColumn("__n", F.row_number().over(order))
+    counts = hashed.groupBy("row_hash", "__part").agg(F.count(F.lit(1)).alias("__c"))
+    before = Window.partitionBy("row_hash").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("row_hash", "__part", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__b"))
+    out = numbered.join(offsets, ["row_hash", "__part"]) \
+        .withColumn("row_number", F.col("__n") + F.col("__b")).select("row_hash", "row_number", *df.columns)
+    return Dataset(name, out, target, ["row_hash", "row_number"], task)
+
+
 # --------------------------------------------------------------------------- #
 # S2 / S3 / S4 / S5 / S6 / S7 assembly
 # --------------------------------------------------------------------------- #
@@ -102,11 +119,19 @@ def assemble_on_shared(frames: list[DataFrame], target: str) -> DataFrame:
     return out
 
 
-def flatten_arrays(df: DataFrame, array_col: str, n: int, prefix: str = "f",
-                   keep: list[str] = ()) -> DataFrame:
-    """Positional array -> columns ``f0..f{n-1}`` (as double)."""
-    return df.select(*keep, *[F.col(array_col)[i].cast("double").alias(f"{prefix}{i}")
-                              for i in range(n)])
+def flatten_arrays(df: DataFrame, array_col: str, n: int | None = None, prefix: str = "f",
+                   keep: list[str] = (), categorical: bool = False) -> DataFrame:
+    """Positional array -> columns ``f0..f{n-1}`` as double, or ``c0..`` as
+    string with ``categorical``.  ``n`` defaults to the longest array; an array
+    longer than a given ``n`` is an error, a shorter one is padded with NULL."""
+    array = F.col(array_col)
+    if n is None:
+        n = df.agg(F.max(F.size(array))).first()[0] or 0
+        n = max(n, 0)
+    array = F.when(F.size(array) > n, F.raise_error(F.lit(f"{array_col} has more than {n} elements"))) \
+        .otherwise(array)
+    prefix, kind = ("c" if categorical and prefix == "f" else prefix), ("string" if categorical else "double")
+    return df.select(*keep, *[F.get(array, F.lit(i)).cast(kind).alias(f"{prefix}{i}") for i in range(n)])
 
 
 def union_parts(parts: list[DataFrame]) -> DataFrame:
@@ -124,8 +149,9 @@ def densify(triplets: DataFrame, row: str, feature: str, value: str,
 
 
 def attach_labels(features: DataFrame, labels: DataFrame, key: list[str]) -> DataFrame:
-    """Column-wise concat of features and targets by row key."""
-    return features.join(labels, key, "inner")
+    """Column-wise concat of features and targets by row key; a row without a
+    label stays, with a NULL target (it belongs to train)."""
+    return features.join(labels, key, "left")
 
 
 # --------------------------------------------------------------------------- #
@@ -188,7 +214,9 @@ def column_profile(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     cat, _ = split_columns(df.select(*cols))
     aggs = []
     for c in cols:
-        aggs += [F.count_distinct(c).alias(f"d_{c}"), F.sum(F.col(c).isNull().cast("long")).alias(f"m_{c}")]
+        # NaN and infinities are missing
+        x = finite_or_null(F.col(c)) if isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType)) else F.col(c)
+        aggs += [F.count_distinct(x).alias(f"d_{c}"), F.sum(x.isNull().cast("long")).alias(f"m_{c}")]
     r = df.agg(*aggs).first()
     rows = [(c, "categorical" if c in cat else "numeric", int(r[f"d_{c}"]), int(r[f"m_{c}"] or 0),
              int(r[f"d_{c}"]) <= 1) for c in cols]
