@@ -105,9 +105,11 @@ def verdicts(docs: DataFrame, *, host: str = "source", max_docs: int = 10,
              min_kept: float = 0.5) -> DataFrame:
     """The base measures, ``n_removed_words`` (words in boilerplate lines) and
     ``kept`` for every document."""
-    base = base_measures(docs.select("doc_id", F.xxhash64(F.col(host)).alias("host"),
-                                     text_key().alias("doc"), "text"),
-                         ["doc_id", "host", "doc"])
+    # a narrow table, so that a later filter on the verdict isn't pushed into
+    # (and evaluated once per word of) the array expressions
+    base = written(base_measures(docs.select("doc_id", F.xxhash64(F.col(host)).alias("host"),
+                                             text_key().alias("doc"), "text"),
+                                 ["doc_id", "host", "doc"]))
     copies = docs.groupBy(F.xxhash64(F.col(host)).alias("host"), text_key().alias("doc")) \
         .agg(F.count(F.lit(1)).alias("copies"))
     removed = _found(docs, host, max_docs).groupBy("host", "doc").agg(F.sum("words").alias("words")) \

@@ -1,4 +1,5 @@
 import re
+import time
 
 import duckdb
 import pytest
@@ -53,6 +54,13 @@ def test_boilerplate_and_odd_rows(spark, make_docs, tmp_path):
     assert line_frequency.verdicts(make_docs([])).collect() == []
 
 
+def test_filter_on_the_verdict_stays_cheap(spark, make_docs):
+    docs = make_docs([(i, prose(i, 9_000)) for i in range(8)])
+    start = time.time()
+    assert line_frequency.verdicts(docs).where("kept AND NOT base_failed AND n_repeat_words < 9").count() == 8
+    assert time.time() - start < 30
+
+
 def test_no_python_in_plan(spark, make_docs):
     plan = line_frequency.verdicts(make_docs([(1, "a b c")]))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan.split("== Physical Plan ==")[1])
