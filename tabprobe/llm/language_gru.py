@@ -160,8 +160,14 @@ def training_windows(docs: DataFrame, per_language: int, sample: int, per_doc: i
     """(lang, window): windows of a bounded sample of labelled documents."""
     labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL AND lang <> 'und'") \
         .select("doc_id", "lang", F.xxhash64("doc_id", "lang").alias("h"))
+    # a language may hold most documents: its count says below which hash about
+    # four times the wanted number lie, and only those are ranked
+    # (at most ``sample`` languages can be learned from that many documents)
+    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(sample)
+    few = labelled.join(F.broadcast(counts), "lang").where(
+        F.pmod("h", F.lit(1 << 40)).cast("double") * F.col("n") < F.lit(4.0 * per_language * (1 << 40)))
     turn = Window.partitionBy("lang").orderBy("h", "doc_id")
-    chosen = labelled.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= per_language) \
+    chosen = few.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= per_language) \
         .orderBy("turn", "h", "lang").limit(sample).select("doc_id", "lang").distinct()
     source = docs.join(F.broadcast(chosen), ["doc_id", "lang"]) \
         .select("doc_id", "lang", F.col("text").cast("binary").alias("bytes"))
@@ -171,7 +177,7 @@ def training_windows(docs: DataFrame, per_language: int, sample: int, per_doc: i
         .orderBy(F.xxhash64("doc_id", "window"), "lang", "window").limit(sample * per_doc)
 
 
-def trained(docs: DataFrame, *, learn: Column | None = None, per_language: int = 1024, sample: int = 8192,
+def trained(docs: DataFrame, *, learn: Column | None = None, per_language: int = 1000, sample: int = 8192,
             per_doc: int = 4, hidden: int = 8, steps: int = 200, seed: int = 1) -> ByteGRU | None:
     """A network trained on ``docs`` where ``learn`` holds; None without labels."""
     source = docs.where(learn) if learn is not None else docs
