@@ -1,22 +1,8 @@
-import os
-import sys
-
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
-
-
-@pytest.fixture(scope="session")
-def spark():
-    from tabprobe.session import get_session
-
-    s = get_session(master="local[4]", shuffle_partitions=6)
-    yield s
-    s.stop()
-
+from llm.rows import SF
 
 DOCS_SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
-SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
@@ -32,10 +18,3 @@ def make_docs(spark):
 @pytest.fixture(scope="session")
 def sample(spark):
     return [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
-
-
-ODD_ROWS = [
-    (1, None), (2, ""), (3, " \n\t "), (4, "one"), (4, "one"), (5, "one two"), (None, "no id here at all"),
-    (None, None), (6, "a" * 5000), (7, "word " * 3000), (8, "Zeile eins\nZeile zwei\n\nZeile eins\r\n"),
-    (9, "<|endoftext|> ünïcödé 漢字    \U0001f600 \x1c x\x85y"),
-]

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from conftest import ODD_ROWS, SF
+from llm.rows import ODD_ROWS, SF
 from tabprobe.llm import decontaminate as dc
 from tabprobe.llm import queries
 

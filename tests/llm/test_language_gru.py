@@ -1,6 +1,6 @@
 import numpy as np
 
-from conftest import ODD_ROWS, SF
+from llm.rows import ODD_ROWS, SF
 from tabprobe.llm import language_gru as lg
 from tabprobe.llm import queries
 

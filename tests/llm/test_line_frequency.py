@@ -4,7 +4,7 @@ import time
 import duckdb
 import pytest
 
-from conftest import ODD_ROWS
+from llm.rows import ODD_ROWS
 from tabprobe.llm import line_frequency, queries
 
 

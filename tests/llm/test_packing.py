@@ -6,7 +6,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from conftest import ODD_ROWS, SF
+from llm.rows import ODD_ROWS, SF
 from tabprobe.llm import pack_bestfit, pack_squares, queries
 from tabprobe.llm.tokens import encoder
 

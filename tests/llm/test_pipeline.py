@@ -1,12 +1,12 @@
 import re
 
 import corpus_pipeline
-from conftest import SF
+from llm.rows import SF
 from tabprobe.llm import pseudonyms, queries
-from test_decontaminate import brute as brute_leaks
-from test_decontaminate import smith_waterman  # noqa: F401
-from test_packing import check_pieces
-from test_simhash import brute as brute_components
+from llm.test_decontaminate import brute as brute_leaks
+from llm.test_decontaminate import smith_waterman  # noqa: F401
+from llm.test_packing import check_pieces
+from llm.test_simhash import brute as brute_components
 
 
 def test_stages_one_by_one(spark, tmp_path):

@@ -3,7 +3,7 @@ import math
 import random
 import re
 
-from conftest import ODD_ROWS, SF
+from llm.rows import ODD_ROWS, SF
 from tabprobe.llm import queries
 from tabprobe.llm import secrets_grammar as sg
 

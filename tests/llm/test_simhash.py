@@ -4,7 +4,7 @@ import re
 import numpy as np
 import xxhash
 
-from conftest import ODD_ROWS, SF
+from llm.rows import ODD_ROWS, SF
 from tabprobe.llm import queries, simhash
 
 
