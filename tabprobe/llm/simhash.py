@@ -110,8 +110,9 @@ def links(fps: DataFrame, max_bits: int = 3) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 3, max_bits: int = 3) -> DataFrame:
-    """``doc_id``, ``text_key`` (content key), ``fp`` and ``component_id`` (the
-    least doc_id that links reach), a row per document."""
+    """``doc_id``, ``text_key`` (content key), ``fp``, ``root`` (the
+    component's least fingerprint) and ``component_id`` (the least doc_id that
+    links reach), a row per document."""
     marked = written(fingerprints(docs.select("doc_id", text_key().alias("text_key"), "text"),
                                   shingle, keep=("doc_id", "text_key")))
     distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
@@ -119,20 +120,21 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, max_bits: int = 3) ->
     classes = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left") \
         .select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     named = classes.join(classes.groupBy("root").agg(F.min("least_id").alias("component_id")),
-                         "root").select("fp", "component_id")
+                         "root").select("fp", "root", "component_id")
     # one fingerprint may be that of a third of all documents: spread its rows
     salts = 16
     salt = F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(salts)).cast("int")
     spread = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return marked.withColumn("salt", salt).join(spread, ["fp", "salt"]) \
-        .select("doc_id", "text_key", "fp", "component_id")
+        .select("doc_id", "text_key", "fp", "root", "component_id")
 
 
 def one_per_component(docs: DataFrame, *, shingle: int = 3, max_bits: int = 3) -> DataFrame:
     """The documents that stay: of each component the one with the least id
     (of equal ids, the least content key; of equal rows, one).  Columns as in ``docs``."""
     found = near_duplicates(docs, shingle=shingle, max_bits=max_bits)
-    first = found.groupBy("component_id").agg(
+    # by root: components of rows without an id share a null component_id
+    first = found.groupBy("root").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("first"))
     chosen = first.select(F.col("first.doc_id").alias("chosen_id"),
                           F.col("first.text_key").alias("chosen_key")).distinct()

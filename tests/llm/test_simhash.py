@@ -85,3 +85,10 @@ def test_links_complete_for_random_flips(spark):
         want = {(a, b) for (a,) in signed for (b,) in signed
                 if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= bits}
         assert got == want
+
+
+def test_groups_without_ids_stay_apart(spark, make_docs):
+    rows = [(None, "the first text of a row without id"), (None, "quite another text, no id either"),
+            (None, "quite another text, no id either"), (3, "a text with an id")]
+    kept = simhash.one_per_component(make_docs(rows)).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == sorted({(str(d), t) for d, t in rows})
