@@ -403,13 +403,20 @@ def _cut(table: pa.Table, spans: pa.Table) -> pa.Table:
     return _table(rows, _CLEAN)
 
 
-def without_repeats(docs: DataFrame, *, buckets: int | None = None) -> DataFrame:
+def block_count(docs: DataFrame, block_bytes: int) -> int:
+    """Blocks of about ``block_bytes`` of text, and at least one per shuffle partition."""
+    total = docs.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // block_bytes))
+
+
+def without_repeats(docs: DataFrame, *, buckets: int | None = None, block_bytes: int = 64 << 20) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the bytes ``kept`` of each
     document.  ``buckets``: how many blocks, and how many index families
-    (default: the session's shuffle partitions, which grow with the input); a
-    task holds one at a time, in about ten times its bytes."""
+    (default: counted from the texts, so that a block has about ``block_bytes``
+    at most, whatever the session's shuffle partitions are); a task holds one at
+    a time, in about ten times its bytes."""
     if buckets is None:
-        buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        buckets = block_count(docs, block_bytes)
     text = F.col("text").cast("binary")
     blocks = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"),
                          F.pmod(F.xxhash64("doc_id", F.xxhash64(text)), F.lit(buckets)).alias("block"))

@@ -60,6 +60,10 @@ def test_passages_copies_and_odd_rows(spark, make_docs):
     for buckets in (1, 7):
         got = suffix_dedup.digest(suffix_dedup.without_repeats(docs, buckets=buckets)).collect()
         assert sorted(map(tuple, got), key=str) == brute(rows)
+    got = suffix_dedup.digest(suffix_dedup.without_repeats(docs, block_bytes=2000)).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows)
+    size = sum(len((t or "").encode()) for _, t in rows)
+    assert suffix_dedup.block_count(docs, 2000) == -(-size // 2000)
     assert suffix_dedup.without_repeats(make_docs([])).collect() == []
 
 
