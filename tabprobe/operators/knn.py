@@ -1,17 +1,23 @@
-"""Exact k-nearest-neighbour search (Euclidean), blocked for Spark.
+"""Exact k-nearest-neighbour search (Euclidean).
 
-Train rows are hashed into R blocks and test rows into T blocks; each
-(test block, train block) pair is one group of at most ``2 * block_rows``
-rows, scored with one matrix product in ``applyInPandas``.  A group emits
+Train vectors of at most ``BROADCAST_BYTES`` (counted first) are sent to every
+task and the test rows stream past them: no row of either side is copied, and
+nothing but the test rows is shuffled.
+
+Beyond that bound the train rows are hashed into R blocks and the test rows
+into T blocks of about ``block_rows``; each (test block, train block) pair is
+one group, scored with one matrix product in ``applyInPandas``.  A group emits
 only its k best train rows per test row; a window over the (at most R*k)
-candidates of each test row keeps the final k, ties broken by train id.
-No row pair is ever materialised as a Spark row, no side is collected to
-the driver, and work per task is bounded by the block size.
+candidates of each test row keeps the final k.
+
+Both ways give the same rows; ties go to the smaller train id.  No row pair is
+ever a Spark row, and work per task is bounded.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,9 +26,39 @@ from pyspark.sql import functions as F
 
 DEFAULT_K = 10
 BLOCK_ROWS = 2048
+#: train vectors up to this size are broadcast
+BROADCAST_BYTES = 64 << 20
+#: distances held at once
+TILE_CELLS = 1 << 22
 _OUT_SCHEMA = "qid long, rid long, dist double"
 
 
+def _nearest(qid: np.ndarray, A: np.ndarray, rid: np.ndarray, B: np.ndarray, k: int) -> pd.DataFrame:
+    """The k rows of B nearest to each row of A, nearest first."""
+    kk = min(k, len(B))
+    a2 = (A * A).sum(1)
+    b2 = (B * B).sum(1)
+    d2 = a2[:, None] + b2[None, :] - 2.0 * (A @ B.T)
+    kth = np.partition(d2, kk - 1, axis=1)[:, kk - 1]
+    # fast distances only pick candidates (with a rounding margin);
+    # exact distances of the candidates decide, ties by train id
+    tol = 1e-9 * (a2 + b2.max()) + 1e-12
+    rows, cols = np.nonzero(d2 <= (kth + tol)[:, None])
+    diff = B[cols] - A[rows]
+    exact = np.sqrt((diff * diff).sum(1))
+    order = np.lexsort((rid[cols], exact, rows))
+    rows, cols, exact = rows[order], cols[order], exact[order]
+    start = np.searchsorted(rows, np.arange(len(A)))
+    rank = np.arange(len(rows)) - start[rows]
+    keep = rank < kk
+    return pd.DataFrame({"qid": qid[rows[keep]], "nn_rank": (rank[keep] + 1).astype("int32"),
+                         "rid": rid[cols[keep]], "dist": exact[keep]})
+
+
+def _vectors(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    return pdf["id"].to_numpy().astype("int64"), np.stack(pdf["x"].to_numpy()).astype("float64")
+
+
 def _block_topk(k: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         tr = pdf[pdf["side"] == 0]
@@ -31,33 +67,30 @@ def _block_topk(k: int):
             return pd.DataFrame({"qid": pd.Series([], dtype="int64"),
                                  "rid": pd.Series([], dtype="int64"),
                                  "dist": pd.Series([], dtype="float64")})
-        A = np.stack(te["x"].to_numpy()).astype("float64")
-        B = np.stack(tr["x"].to_numpy()).astype("float64")
-        rid = tr["id"].to_numpy().astype("int64")
-        qid = te["id"].to_numpy().astype("int64")
-        kk = min(k, len(B))
-        a2 = (A * A).sum(1)
-        b2 = (B * B).sum(1)
-        d2 = a2[:, None] + b2[None, :] - 2.0 * (A @ B.T)
-        kth = np.partition(d2, kk - 1, axis=1)[:, kk - 1]
-        # fast distances only pick candidates (with a rounding margin);
-        # exact distances of the candidates decide, ties by train id
-        tol = 1e-9 * (a2 + b2.max()) + 1e-12
-        rows, cols = np.nonzero(d2 <= (kth + tol)[:, None])
-        diff = B[cols] - A[rows]
-        exact = np.sqrt((diff * diff).sum(1))
-        order = np.lexsort((rid[cols], exact, rows))
-        rows, cols, exact = rows[order], cols[order], exact[order]
-        start = np.searchsorted(rows, np.arange(len(A)))
-        rank = np.arange(len(rows)) - start[rows]
-        keep = rank < kk
-        return pd.DataFrame({"qid": qid[rows[keep]], "rid": rid[cols[keep]], "dist": exact[keep]})
+        return _nearest(*_vectors(te), *_vectors(tr), k).drop(columns="nn_rank")
     return run
 
 
+def _streamed(tr: DataFrame, te: DataFrame, k: int, n_test: int) -> DataFrame:
+    """Test rows past the broadcast train vectors."""
+    sc = tr.sparkSession.sparkContext
+    sent = sc.broadcast(_vectors(tr.toPandas()))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rid, B = sent.value
+        step = max(1, TILE_CELLS // len(B))
+        for pdf in batches:
+            for s in range(0, len(pdf), step):
+                yield _nearest(*_vectors(pdf.iloc[s:s + step]), rid, B, k)
+
+    parts = max(min(sc.defaultParallelism, n_test), math.ceil(n_test / (1 << 20)))
+    return te.repartition(parts, "id").mapInPandas(run, "qid long, nn_rank int, rid long, dist double")
+
+
 def knn_neighbors(train: DataFrame, test: DataFrame, features: list[str], train_id: str,
                   test_id: str, k: int = DEFAULT_K, block_rows: int = BLOCK_ROWS,
-                  n_train: int | None = None, n_test: int | None = None) -> DataFrame:
+                  n_train: int | None = None, n_test: int | None = None,
+                  broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``(qid, nn_rank, rid, dist)``: the k nearest train rows of every test row.
 
     Ids must be integral and unique per side; ties in distance go to the
@@ -65,15 +98,17 @@ def knn_neighbors(train: DataFrame, test: DataFrame, features: list[str], train_
     """
     n_train = train.count() if n_train is None else n_train
     n_test = test.count() if n_test is None else n_test
+    vec = F.array(*[F.col(f).cast("double") for f in features])
+    tr = train.select(F.col(train_id).cast("long").alias("id"), vec.alias("x"))
+    te = test.select(F.col(test_id).cast("long").alias("id"), vec.alias("x"))
+    if n_train and n_test and n_train * (8 * len(features) + 8) <= broadcast_bytes:
+        return _streamed(tr, te, k, n_test)
     R = max(1, math.ceil(n_train / block_rows))
     T = max(1, math.ceil(n_test / block_rows))
-    vec = F.array(*[F.col(f).cast("double") for f in features])
-    tr = train.select(F.col(train_id).cast("long").alias("id"), vec.alias("x")) \
-        .withColumn("rb", F.pmod(F.xxhash64("id"), F.lit(R)).cast("int")) \
+    tr = tr.withColumn("rb", F.pmod(F.xxhash64("id"), F.lit(R)).cast("int")) \
         .withColumn("tb", F.explode(F.sequence(F.lit(0), F.lit(T - 1)))) \
         .withColumn("side", F.lit(0))
-    te = test.select(F.col(test_id).cast("long").alias("id"), vec.alias("x")) \
-        .withColumn("tb", F.pmod(F.xxhash64("id"), F.lit(T)).cast("int")) \
+    te = te.withColumn("tb", F.pmod(F.xxhash64("id"), F.lit(T)).cast("int")) \
         .withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(R - 1)))) \
         .withColumn("side", F.lit(1))
     cols = ["tb", "rb", "side", "id", "x"]

@@ -4,8 +4,8 @@ Two primitives, both exact and both free of any global sort into one task:
 
 * :func:`cumulative_before` -- for one row per distinct ``(group, value)``
   with weights, the sum of each weight over strictly smaller values of the
-  same group.  Values are cut into order-preserving buckets (approximate
-  quantile cut points only decide *balance*, never the answer); a tiny
+  same group.  Values are range-partitioned into buckets (Spark's sampled
+  bounds only decide *balance*, never the answer); a tiny
   per-bucket table gives bucket offsets and a window inside each
   ``(group, bucket)`` finishes the job.  Average ranks, exact medians,
   dictionary codes and exact AUC are all built on it.
@@ -20,13 +20,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Rows a single window partition may hold before values are bucketed.
 ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 4096
 # Tables up to this many rows are broadcast; larger ones are shuffled (AQE may
 # still broadcast them after measuring their runtime size).
 BROADCAST_ROWS = 100_000
@@ -38,12 +36,6 @@ BOUNDARY_LIMIT = 2_000_000
 SMALL_ROWS = 100_000
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after checking its row count."""
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def materialize(df: DataFrame, small_rows: int = SMALL_ROWS, likely_large: bool = False) -> DataFrame:
     """Cut the lineage of a table derived from data it will be joined back to.
 
@@ -78,34 +70,13 @@ def join_on(left: DataFrame, right: DataFrame, cols: list[str], how: str = "inne
     return out.drop(*ren.values())
 
 
-def order_key(df: DataFrame, value_col: str) -> Column:
-    """A numeric key whose order agrees with the order of ``value_col``.
-
-    Used only for bucketing, so it may tie distinct values (same bucket);
-    it never inverts two values.
-    """
-    dt = df.schema[value_col].dataType
-    c = F.col(value_col)
-    if isinstance(dt, T.StringType):
-        # first 7 UTF-8 bytes, big-endian, right padded: monotone in byte order
-        hx = F.rpad(F.substring(F.hex(c), 1, 14), 14, "0")
-        return F.conv(hx, 16, 10).cast("long")
-    if isinstance(dt, T.BooleanType):
-        return c.cast("int")
-    if isinstance(dt, T.DateType):
-        return F.unix_date(c)
-    if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(c.cast("timestamp"))
-    return c.cast("double")
-
-
 def _n_buckets(agg: DataFrame, group_cols: list[str], rows_per_bucket: int) -> int:
-    if group_cols:
-        mx = agg.groupBy(*group_cols).count().agg(F.max("count")).first()[0]
-    else:
-        mx = agg.count()
-    mx = mx or 0
-    return max(1, min(MAX_BUCKETS, math.ceil(mx / max(1, rows_per_bucket))))
+    """1 if every group fits one window task, else buckets of about ``rows_per_bucket`` rows."""
+    sizes = agg.groupBy(*group_cols).count() if group_cols else agg.agg(F.count(F.lit(1)).alias("count"))
+    largest, total = sizes.agg(F.max("count"), F.sum("count")).first()
+    if (largest or 0) <= rows_per_bucket:
+        return 1
+    return math.ceil(total / max(1, rows_per_bucket))
 
 
 def cumulative_before(agg: DataFrame, group_cols: list[str], value_col: str,
@@ -113,7 +84,9 @@ def cumulative_before(agg: DataFrame, group_cols: list[str], value_col: str,
                       n_buckets: int | None = None) -> DataFrame:
     """Add ``<w>_before`` = sum of ``w`` over smaller values of the same group.
 
-    ``agg`` holds one row per distinct ``(group_cols, value_col)``.
+    ``agg`` holds one row per distinct ``(group_cols, value_col)``.  Beyond one
+    bucket the rows are range-partitioned by group and whole value, of any
+    type, so strings with a long common prefix part like any others.
     """
     g = list(group_cols)
     B = n_buckets if n_buckets is not None else _n_buckets(agg, g, rows_per_bucket)
@@ -121,28 +94,18 @@ def cumulative_before(agg: DataFrame, group_cols: list[str], value_col: str,
         w = Window.partitionBy(*g).orderBy(value_col).rowsBetween(Window.unboundedPreceding, -1)
         return agg.select("*", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"{c}_before")
                                  for c in weight_cols])
-    key = order_key(agg, value_col)
-    pcts = [i / B for i in range(1, B)]
-    acc = max(10_000, 8 * B)
-    keyed = agg.withColumn("__k", key)
-    gk = g if g else ["__g"]
-    if not g:
-        keyed = keyed.withColumn("__g", F.lit(0))
-    cuts = keyed.groupBy(*gk).agg(F.percentile_approx("__k", pcts, acc).alias("__cuts"))
-    withb = join_on(keyed, materialize(cuts), gk, "left") \
-        .withColumn("__b", F.size(F.filter("__cuts", lambda c: c < F.col("__k")))) \
-        .drop("__cuts", "__k")
-    bsum = withb.groupBy(*gk, "__b").agg(*[F.sum(c).alias(f"__s_{c}") for c in weight_cols])
-    wb = Window.partitionBy(*gk).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offs = bsum.select(*gk, "__b", *[F.coalesce(F.sum(f"__s_{c}").over(wb), F.lit(0))
-                                     .alias(f"__o_{c}") for c in weight_cols])
-    j = join_on(withb, materialize(offs), gk + ["__b"], "inner")
-    wv = Window.partitionBy(*gk, "__b").orderBy(value_col) \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    out = j.select(*agg.columns, *[
+    # checkpointed: read twice, and both readers must see the same buckets
+    ranged = agg.repartitionByRange(B, *g, value_col).withColumn("__b", F.spark_partition_id()) \
+        .checkpoint(eager=True)
+    # a group spans neighbouring buckets, so this has at most groups + B rows
+    sums = ranged.groupBy(*g, "__b").agg(*[F.sum(c).alias(f"__s_{c}") for c in weight_cols])
+    wb = Window.partitionBy(*g).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*g, "__b", *[F.coalesce(F.sum(f"__s_{c}").over(wb), F.lit(0)).alias(f"__o_{c}")
+                                       for c in weight_cols])
+    wv = Window.partitionBy(*g, "__b").orderBy(value_col).rowsBetween(Window.unboundedPreceding, -1)
+    return join_on(ranged, materialize(offsets), [*g, "__b"]).select(*agg.columns, *[
         (F.col(f"__o_{c}") + F.coalesce(F.sum(c).over(wv), F.lit(0))).alias(f"{c}_before")
         for c in weight_cols])
-    return out
 
 
 def average_ranks(df: DataFrame, group_cols: list[str], value_col: str,
@@ -152,10 +115,11 @@ def average_ranks(df: DataFrame, group_cols: list[str], value_col: str,
     agg = df.where(F.col(value_col).isNotNull()).groupBy(*group_cols, value_col) \
         .agg(F.count(F.lit(1)).alias("cnt"))
     cum = cumulative_before(agg, group_cols, value_col, ["cnt"], rows_per_bucket)
-    wn = Window.partitionBy(*group_cols) if group_cols else Window.partitionBy(F.lit(0))
-    return cum.select(*group_cols, value_col, "cnt",
-                      (F.col("cnt_before") + (F.col("cnt") - 1) / 2.0).alias("rank0"),
-                      F.sum("cnt").over(wn).alias("n"))
+    # one total per group, joined back: no task holds a whole group
+    one = F.lit(0).alias("__one")
+    totals = materialize(agg.groupBy(*group_cols, one).agg(F.sum("cnt").alias("n")))
+    return join_on(cum.withColumn("__one", F.lit(0)), totals, [*group_cols, "__one"]).select(
+        *group_cols, value_col, "cnt", (F.col("cnt_before") + (F.col("cnt") - 1) / 2.0).alias("rank0"), "n")
 
 
 def hash_thresholds(df: DataFrame, group_cols: list[str], h_col: str, need: DataFrame,

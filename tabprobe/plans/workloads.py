@@ -1006,6 +1006,19 @@ def q_knn_predict(spark, sf):
     return j.select("qid", "label", r6(p_true).alias("p_true"), pred.alias("pred"))
 
 
+SQL["knn_regression"] = f"""
+WITH {KNN_SQL_CTE}
+SELECT nb.qid, round(avg(s.label::DOUBLE), 6) AS pred FROM nb JOIN s ON s.vec_id = nb.rid
+WHERE nn_rank <= 10 GROUP BY nb.qid"""
+
+
+@register("knn_regression")
+def q_knn_regression(spark, sf):
+    tr, te = train_test(emb_split(spark, sf))
+    pr = knn_predict(tr, te, _FS, "vec_id", "vec_id", "label", "regression", k=10)
+    return pr.select("qid", r6(F.col("pred")).alias("pred"))
+
+
 # --------------------------------------------------------------------------- #
 # Phase 7: models
 # --------------------------------------------------------------------------- #
@@ -1429,3 +1442,65 @@ def q_linear_profile(spark, sf):
     out = enc.transform(s.select("o_orderkey", "is_test", *feats))
     return out.select("o_orderkey", "is_test", *[r6(F.col(c)).alias(c) for c in _LIN_NUM],
                       *[c for c in out.columns if "__" in c])
+
+
+SQL["tree_profile"] = f"""
+WITH s AS {OC_SPLIT},{_ord_sql('o_orderpriority', 'TRUE')},{_ord_sql('c_mktsegment', 'TRUE')}
+SELECT o_orderkey, is_test, round(o_totalprice, 6) AS o_totalprice, round(c_acctbal, 6) AS c_acctbal,
+       {_ord_expr('o_orderpriority')} AS o_orderpriority, {_ord_expr('c_mktsegment')} AS c_mktsegment FROM s"""
+
+
+@register("tree_profile")
+def q_tree_profile(spark, sf):
+    s = oc_split(spark, sf)
+    feats = _LIN_NUM + _LIN_CAT
+    enc = E.fit_tree_encoder(train_test(s)[0], feats)
+    out = enc.transform(s.select("o_orderkey", "is_test", *feats))
+    return out.select("o_orderkey", "is_test", *[r6(F.col(c)).alias(c) for c in _LIN_NUM], *_LIN_CAT)
+
+
+_TE_OC = _te_sql(OC_SPLIT, "o_orderkey", "o_totalprice", _LIN_CAT)
+SQL["tree_profile_target"] = f"""
+SELECT e.*, round(a.c_acctbal, 6) AS c_acctbal
+FROM ({_TE_OC}) e JOIN ({OC_SQL}) a USING (o_orderkey)"""
+
+
+@register("tree_profile_target")
+def q_tree_profile_target(spark, sf):
+    s = oc_split(spark, sf)
+    feats = ["c_acctbal", *_LIN_CAT]
+    enc = E.fit_tree_encoder(train_test(s)[0].select("o_totalprice", *feats), feats, "o_totalprice",
+                             "regression", "target")
+    out = enc.transform(s.select("o_orderkey", "is_test", *feats))
+    return out.select("o_orderkey", "is_test", *[r6(F.col(c)).alias(c) for c in feats])
+
+
+SQL["family_input_tree"] = f"""
+WITH s AS {LI_NULL_SPLIT}
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, is_test, round(l_quantity, 6) AS l_quantity,
+  round(l_discount, 6) AS l_discount, round(CASE WHEN isinf(r) OR isnan(r) THEN NULL ELSE r END, 6) AS ratio
+FROM (SELECT *, {RATIO_SQL.replace('l_discount = 0', 'coalesce(l_discount, 1) = 0')} AS r FROM s) x"""
+
+
+@register("family_input_tree")
+def q_family_input_tree(spark, sf):
+    s = li_split(spark, sf, nulls=True).withColumn("ratio", _ratio_col())
+    fam = E.fit_family_input("tree", train_test(s)[0], _FAM)
+    out = fam.transform(s.select(*LI_OUT, "is_test", *_FAM))
+    return out.select(*LI_OUT, "is_test", *[r6(F.col(c)).alias(c) for c in _FAM])
+
+
+SQL["label_coder"] = f"""
+WITH s AS {OC_SPLIT},
+  c AS (SELECT v, (row_number() OVER (ORDER BY v) - 1)::INTEGER AS code FROM (
+        SELECT DISTINCT o_orderpriority AS v FROM s
+        WHERE NOT is_test AND o_orderpriority IS NOT NULL AND {_SLICE}) x)
+SELECT o_orderkey, is_test, c.code FROM s LEFT JOIN c ON s.o_orderpriority = c.v"""
+
+
+@register("label_coder")
+def q_label_coder(spark, sf):
+    s = oc_split(spark, sf)
+    tr = train_test(s)[0].where(~F.col("o_orderpriority").eqNullSafe("5-LOW"))
+    coder = E.fit_label_coder(tr, "o_orderpriority")
+    return s.select("o_orderkey", "is_test", coder.code(F.col("o_orderpriority")).alias("code"))

@@ -82,6 +82,15 @@ def test_cumulative_before_bucketed_equals_plain(spark):
     assert got == {"a": 0, "ab": 2, "b": 3, "é": 4}
 
 
+def test_long_common_prefixes_part_like_any_values(spark):
+    urls = sorted(f"https://example.org/a/very/long/path/{i:05d}" for i in range(600))
+    agg = spark.createDataFrame([("u", u, 1) for u in urls], "g string, v string, w int")
+    out = cumulative_before(agg, ["g"], "v", ["w"], rows_per_bucket=100)
+    assert {r.v: r.w_before for r in out.collect()} == {u: i for i, u in enumerate(urls)}
+    lines = average_ranks(agg, ["g"], "v", rows_per_bucket=100).collect()
+    assert {(r.rank0, r.n) for r in lines} == {(float(i), 600) for i in range(600)}
+
+
 def test_average_ranks_ties(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (2.0,), (3.0,)], "x double")
     r = {row.x: row.rank0 for row in average_ranks(df, [], "x").collect()}

@@ -55,15 +55,16 @@ def test_r2_mae(spark):
     assert r.r2 == pytest.approx(1 - 0.5 / 2.0) and r.mae == pytest.approx(1 / 3)
 
 
-def test_blocked_knn_equals_brute_force(spark):
+@pytest.mark.parametrize("broadcast_bytes", [1 << 20, 0])
+def test_knn_equals_brute_force(spark, broadcast_bytes):
     rng = random.Random(5)
-    tr = [(i, rng.random(), rng.random()) for i in range(120)]
-    te = [(1000 + i, rng.random(), rng.random()) for i in range(30)]
+    tr = [(i, rng.random(), rng.random()) for i in range(120)] + [(200 + i, 0.5, 0.5) for i in range(9)]
+    te = [(1000 + i, rng.random(), rng.random()) for i in range(30)] + [(2000, 0.5, 0.5)]
     trd = spark.createDataFrame(tr, "id long, a double, b double")
     ted = spark.createDataFrame(te, "id long, a double, b double")
-    got = knn_neighbors(trd, ted, ["a", "b"], "id", "id", k=5, block_rows=16)
-    got = {(r.qid, r.nn_rank): r.rid for r in got.collect()}
-    for q, qa, qb in te:
-        d = sorted((math.dist((qa, qb), (a, b)), i) for i, a, b in tr)[:5]
-        for rank, (_, i) in enumerate(d, 1):
-            assert got[(q, rank)] == i
+    got = knn_neighbors(trd, ted, ["a", "b"], "id", "id", k=5, block_rows=16, broadcast_bytes=broadcast_bytes)
+    want = [(q, rank, i) for q, qa, qb in te for rank, (_, i) in
+            enumerate(sorted((math.dist((qa, qb), (a, b)), i) for i, a, b in tr)[:5], 1)]
+    assert sorted((r.qid, r.nn_rank, r.rid) for r in got.collect()) == want
+    none = knn_neighbors(trd.limit(0), ted, ["a", "b"], "id", "id", broadcast_bytes=broadcast_bytes)
+    assert none.columns == got.columns and none.count() == 0
