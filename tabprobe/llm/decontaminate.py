@@ -1,14 +1,15 @@
-"""Benchmark decontamination: rare n-gram seeds, then local alignment.
+"""Benchmark decontamination: n-gram seeds, then local alignment.
 
 Texts and test items become lower-case words.  A pass over the documents finds
 every place where four words in a row are also in a test item, and keeps the
-passage around it that the item would cover.  The document frequency of these
-n-grams, counted over all documents, says which are rare: an item's seeds are
-the rarer half of its own n-grams (ties included), so every item keeps seeds
-however often it was copied.  Passages that an equality join connects with a
-seed of the item are aligned by Smith-Waterman on words (match 1, mismatch and
-gap -1); the score over the item's length is the share of the item that the
-passage repeats, edits counted against it.
+passage around it that the item would cover.  All shared n-grams are seeds,
+however frequent: an edited copy keeps n-grams that other copies of the item
+have too, so choosing seeds by document frequency would let verbatim copies
+hide edited ones.  Every passage is aligned by Smith-Waterman on words (match 1,
+mismatch and gap -1), unless it has too few of the item's words for the least
+score at all (a score is at most the number of matched words); the score over
+the item's length is the share of the item that the passage repeats, edits
+counted against it.
 
 Test items are handled in blocks of ``block_words`` words, each sent to all
 tasks and compared with all documents, so a test set of any size takes
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabprobe.llm.common import text_key, written
@@ -75,14 +76,20 @@ class Items:
         order = np.argsort(np.array(keys, np.uint64), kind="stable")
         self.keys = np.array(keys, np.uint64)[order]
         self.where = np.array(where, np.int64).reshape(-1, 3)[order]
+        self.counts = [np.unique(x, return_counts=True) for x in self.items]
 
-    def grams(self) -> list[tuple[int, int]]:
-        """(item index, n-gram key as a long)"""
-        return sorted({(int(i), int(k)) for k, (i, _, _) in zip(self.keys.view(np.int64), self.where)})
+    def common_words(self, i: int, passage: np.ndarray) -> int:
+        """How many words item and passage share (repeated words as often as
+        both have them): at least the score of any alignment."""
+        names, times = self.counts[i]
+        at = np.searchsorted(names, passage)
+        at[at == len(names)] = 0
+        here = np.bincount(at[names[at] == passage], minlength=len(names))
+        return int(np.minimum(times, here).sum())
 
     def passages(self, text: str | None):
-        """(item index, first word, word ids, n-gram keys) of the passages that
-        share an n-gram with an item."""
+        """(item index, first word, word ids) of the passages that share an
+        n-gram with an item."""
         found = words(text)
         if not found:
             return
@@ -100,19 +107,17 @@ class Items:
                         length = len(self.items[i])
                         slack = length // 2 + 2  # room for inserted words on either side
                         spans.setdefault(i, []).append((
-                            max(0, at - place - slack), min(len(ids), at + length - place + slack),
-                            int(keys[at].view(np.int64))))
+                            max(0, at - place - slack), min(len(ids), at + length - place + slack)))
         for i, hits in spans.items():
             hits.sort()
-            start, end, grams = hits[0][0], hits[0][1], {hits[0][2]}
-            for a, b, g in hits[1:]:
+            start, end = hits[0]
+            for a, b in hits[1:]:
                 if a < end:
                     end = max(end, b)
-                    grams.add(g)
                 else:
-                    yield i, start, ids[start:end], grams
-                    start, end, grams = a, b, {g}
-            yield i, start, ids[start:end], grams
+                    yield i, start, ids[start:end]
+                    start, end = a, b
+            yield i, start, ids[start:end]
 
 
 def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
@@ -139,39 +144,47 @@ def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
     return list(zip(best[np.arange(len(pairs)), end].tolist(), end.tolist()))
 
 
-_FOUND = pa.schema([("doc_id", pa.int64()), ("doc", pa.int64()), ("item", pa.int32()),
-                    ("first_word", pa.int64()), ("passage", pa.binary()), ("grams", pa.list_(pa.int64()))])
-
-
-def _find(batches: Iterator[pa.RecordBatch], items: Items) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for d, k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-            for i, first, ids, grams in items.passages(text.as_py()):
-                rows.append((d, k, i, first, ids.astype("<i4").tobytes(), sorted(grams)))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _FOUND.types)],
-                                             schema=_FOUND)
-
-
-def _score(batches: Iterator[pa.RecordBatch], items: Items, min_share: float, min_score: int,
-           at_once: int = 256) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "doc", "item_id", "score", "share", "end_word"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64()]
-    for batch in batches:
-        cells = list(zip(*(batch.column(c).to_pylist() for c in range(4)), batch.column(4)))
-        cells = [(d, k, i, f, np.frombuffer(p.as_py(), "<i4").astype(np.int64)) for d, k, i, f, p in cells]
-        cells.sort(key=lambda c: len(c[4]))  # passages of like length are padded least
-        out = []
-        for s in range(0, len(cells), at_once):
-            some = cells[s:s + at_once]
+_FOUND = pa.schema([("doc_id", pa.int64()), ("doc", pa.int64()), ("item_id", pa.int64()),
+                    ("score", pa.int64()), ("share", pa.float64()), ("end_word", pa.int64())])
+#: passages, and words of them, that are aligned at once
+AT_ONCE, WORDS_AT_ONCE = 256, 1 << 20
+
+
+def _score(batches: Iterator[pa.RecordBatch], items: Items, min_share: float,
+           min_score: int) -> Iterator[pa.RecordBatch]:
+    """The rows of every passage of the documents that scores enough."""
+    def enough(i, score):
+        size = len(items.items[i])
+        return score / size >= min_share and score >= min(min_score, size)
+
+    def scored(held):
+        held.sort(key=lambda c: len(c[4]))  # passages of like length are padded least
+        s, out = 0, []
+        while s < len(held):
+            e = s + 1
+            while e < len(held) and e - s < AT_ONCE and (e - s + 1) * len(held[e][4]) <= WORDS_AT_ONCE:
+                e += 1
+            some = held[s:e]
+            s = e
             for (d, k, i, first, _), (score, end) in zip(
                     some, align([(items.items[i], p) for _, _, i, _, p in some])):
-                share = score / len(items.items[i])
-                if share >= min_share and score >= min(min_score, len(items.items[i])):
-                    out.append((d, k, items.item_ids[i], score, share, first + end))
+                if enough(i, score):
+                    out.append((d, k, items.item_ids[i], score, score / len(items.items[i]), first + end))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _FOUND.types)],
+                                             schema=_FOUND)
+
+    held, size = [], 0
+    for batch in batches:
+        for d, k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            for i, first, ids in items.passages(text.as_py()):
+                if enough(i, items.common_words(i, ids)):
+                    held.append((d, k, i, first, ids.copy()))
+                    size += len(ids)
+            if size > 4 * WORDS_AT_ONCE:
+                yield from scored(held)
+                held, size = [], 0
+    yield from scored(held)
 
 
 def _item_blocks(benchmark: DataFrame, block_words: int):
@@ -203,23 +216,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, min_share: float = 0.
         if not items.items:
             continue
         sent = spark.sparkContext.broadcast(items)
-        found = written(source.mapInArrow(
-            lambda batches, sent=sent: _find(batches, sent.value),
-            "doc_id bigint, doc bigint, item int, first_word bigint, passage binary, grams array<bigint>"))
-        frequency = found.select("doc", F.explode("grams").alias("gram")).distinct() \
-            .groupBy("gram").agg(F.count(F.lit(1)).alias("n_docs"))
-        grams = spark.createDataFrame(items.grams(), "item int, gram bigint")
-        rarity = Window.partitionBy("item").orderBy("n_docs")
-        seeds = grams.join(frequency, "gram") \
-            .withColumn("rank", F.rank().over(rarity)) \
-            .withColumn("of", F.count(F.lit(1)).over(Window.partitionBy("item"))) \
-            .where("2 * (rank - 1) <= of").select("item", "gram")
-        keyed = found.select("doc_id", "doc", "item", "first_word", "passage", F.explode("grams").alias("gram"))
-        seeded = keyed.join(F.broadcast(seeds), ["item", "gram"], "left_semi") \
-            .groupBy("doc_id", "doc", "item", "first_word").agg(F.first("passage").alias("passage"))
-        parts.append(seeded.mapInArrow(
+        parts.append(written(source.mapInArrow(
             lambda batches, sent=sent: _score(batches, sent.value, min_share, min_score),
-            "doc_id bigint, doc bigint, item_id bigint, score bigint, share double, end_word bigint"))
+            "doc_id bigint, doc bigint, item_id bigint, score bigint, share double, end_word bigint")))
+        sent.unpersist()
     if not parts:
         return spark.createDataFrame(
             [], "doc_id bigint, doc bigint, item_id bigint, score bigint, share double, end_word bigint")

@@ -79,3 +79,17 @@ def test_edited_copies_odd_rows_and_blocks(spark, make_docs):
     assert left == sorted(str(d) for d, t in rows if d not in flagged or (d == 2000 and t != rows[20][1]))
     assert texts and dc.contaminated(make_docs([]), bench).collect() == []
     assert dc.contaminated(docs, bench.limit(0)).collect() == [] and dc.clean(docs, bench.limit(0)).count() == len(rows)
+
+
+def test_verbatim_copies_do_not_hide_edited_ones(spark, make_docs):
+    item = [f"w{i}" for i in range(41)]
+    edited = [f"x{i}" if i % 7 == 6 else w for i, w in enumerate(item)]
+    half = [f"y{i}" if i >= 20 and i % 4 == 3 else w for i, w in enumerate(item)]
+    rows = [(1, " ".join(item)), (2, "so " + " ".join(edited) + " on"), (3, " ".join(half))]
+    rows += [(100 + k, f"quote{k} " + " ".join(item[:20])) for k in range(200)]  # below half of the item
+    rows += [(400 + k, f"note{k} " + " ".join(item[:24])) for k in range(200)]  # above it
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id bigint, text string")
+    for some in (rows[:2], rows):
+        got = dc.report(dc.contaminated(make_docs(some), bench)).collect()
+        assert {(r.doc_id, r.item_id): r.score for r in got} == brute(some, [(7, " ".join(item))])
+        assert {1, 2} <= {r.doc_id for r in got}
