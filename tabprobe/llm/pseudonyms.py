@@ -129,11 +129,12 @@ def _email(f, m, undo):
 
 
 def _iban(f, m, undo):
-    value = m[0]
+    value = m[0].replace(" ", "")
     if iban_remainder(value) != 1:
         return None
     account = _permute_classes(f, "iban" + value[:2], value[4:], undo)
-    return f"{value[:2]}{98 - iban_remainder(value[:2] + '00' + account):02d}{account}"
+    it = iter(f"{value[:2]}{98 - iban_remainder(value[:2] + '00' + account):02d}{account}")
+    return "".join(c if c == " " else next(it) for c in m[0])
 
 
 def _ip(f, m, undo):
@@ -176,7 +177,7 @@ def _ssn(f, m, undo):
 
 
 def _phone(f, m, undo):
-    code, rest = m["code"] or "", m["rest"]
+    code, rest = m["code"] or m["one"] or "", m["rest"]
     digits = _digits(rest)
     if not 6 <= len(digits) <= 13 or len(_digits(code)) + len(digits) < 10:
         return None
@@ -191,15 +192,53 @@ def _card(f, m, undo):
     return _in_layout(m[0], payload + luhn_digit(payload))
 
 
+#: characters of an IBAN by country
+IBAN_LENGTHS = {c: int(n) for c, n in (x.split(":") for x in (
+    "AD:24 AE:23 AL:28 AT:20 AZ:28 BA:20 BE:16 BG:22 BH:22 BI:27 BR:29 BY:28 CH:21 CR:22 CY:28 CZ:24 DE:22 DJ:27 "
+    "DK:18 DO:28 EE:20 EG:29 ES:24 FI:18 FK:18 FO:18 FR:27 GB:22 GE:22 GI:23 GL:18 GR:27 GT:28 HN:28 HR:21 HU:28 "
+    "IE:22 IL:23 IQ:23 IS:26 IT:27 JO:30 KW:30 KZ:20 LB:28 LC:32 LI:21 LT:20 LU:20 LV:21 LY:25 MC:27 MD:24 ME:22 "
+    "MK:19 MN:20 MR:27 MT:31 MU:30 NI:28 NL:18 NO:15 OM:23 PK:24 PL:28 PS:29 PT:25 QA:29 RO:24 RS:22 RU:33 SA:24 "
+    "SC:31 SD:18 SE:24 SI:19 SK:24 SM:27 SO:23 ST:25 SV:28 TL:23 TN:24 TR:26 UA:29 VA:22 VG:24 XK:20 YE:30").split())}
+
+
+class Ibans:
+    """Finds IBANs in one piece and with single spaces.  A spaced one ends where
+    its country's length is reached (in groups of four, where these end, if the
+    country isn't known), so that words after it aren't taken for a part of it."""
+
+    start = re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}")
+    piece = re.compile(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?!\w)")
+    spaced = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
+    fours = re.compile(r"[A-Z]{2}[0-9]{2}(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?(?!\w)")
+
+    def finditer(self, text: str):
+        for m in self.start.finditer(text):
+            found = self.piece.match(text, m.start())
+            length = IBAN_LENGTHS.get(m[0][:2])
+            if not found and length:
+                end = m.end()
+                for _ in range(length - 4):
+                    end += text[end:end + 1] == " "
+                    end += 1
+                if not re.match(r"\w", text[end:end + 1]):
+                    found = self.spaced.fullmatch(text, m.start(), end)
+            elif not found:
+                found = self.fours.match(text, m.start())
+            if found:
+                yield found
+
+
 _D = "[0-9]"
 PATTERNS = {
     "email": (re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"), _email),
-    "iban": (re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?!\w)"), _iban),
+    "iban": (Ibans(), _iban),
     "ip": (re.compile(r"(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\w|\.[0-9])"), _ip),
     "date": (re.compile(r"(?<![\w/.-])(?P<d1>[0-9]{4}(?=[-/.][0-9]{2}[-/.][0-9]{2}(?![0-9]))|[0-9]{1,2})(?P<mark>[-/.])"
-                        r"(?P<d2>[0-9]{1,2})(?P=mark)(?P<d3>(?:[0-9]{4}|(?<=[0-9]{4}[-/.][0-9]{2}[-/.])[0-9]{2}))(?!\w|[-/.][0-9])"), _date),
+                        r"(?P<d2>[0-9]{1,2})(?P=mark)(?P<d3>(?:[0-9]{4}|(?<=[0-9]{4}[-/.][0-9]{2}[-/.])[0-9]{2}))"
+                        # T and a time may follow
+                        r"(?:(?!\w|[-/.][0-9])|(?=[Tt][0-9]{2}(?::?[0-9]{2}|[Zz]|(?!\w))))"), _date),
     "ssn": (re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"), _ssn),
-    "phone": (re.compile(r"(?<![\w.+-])(?P<code>\+[0-9]{1,3}[ .-]?)?"
+    "phone": (re.compile(r"(?<![\w.+-])(?:(?P<code>\+[0-9]{1,3}[ .-]?)|(?P<one>1(?:[ .-]|(?=\())))?"
                          r"(?P<rest>(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?!\w|[.-][0-9])"
                          r"|(?(code)\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,8}){1,4}|(?!)))(?!\w|[.-][0-9])"), _phone),
     "card": (re.compile(r"(?<![\w.-])[0-9](?:[ -]?[0-9]){12,18}(?!\w|[.-][0-9])"), _card),

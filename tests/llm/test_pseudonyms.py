@@ -80,3 +80,44 @@ def test_query_and_odd_rows(spark, sample, make_docs):
     back = ps.pseudonymised(ps.pseudonymised(docs, key=b"k"), key=b"k", undo=True).collect()
     assert sorted((str(r.doc_id), str(r.text)) for r in back) == sorted((str(d), str(t)) for d, t in ODD_ROWS + values)
     assert ps.pseudonymised(make_docs([]), key=b"k").collect() == []
+
+
+def changed(value, kind, lead="x ", tail=" y"):
+    out, counts = ps.replace_values(lead + value + tail, F)
+    assert {k: n for k, n in zip(ps.KINDS, counts) if n} == {kind: 1}
+    assert out.startswith(lead) and out.endswith(tail) and out != lead + value + tail
+    assert ps.replace_values(out, F, undo=True)[0] == lead + value + tail
+    return out[len(lead):len(out) - len(tail)]
+
+
+def test_dates_before_t_and_a_time():
+    day = changed("2021-03-05", "date")
+    for tail in ("T10:00:00Z", "T10:00", "t10:00:00+02:00", "T100000Z", "T10Z", " 10:00"):
+        assert changed("2021-03-05", "date", tail=tail) == day
+    changed("05.03.2021", "date", tail="T10:00")
+    for text in ("2021-03-05Total", "2021-03-05T1"):
+        assert ps.replace_values(text, F) == (text, [0] * len(ps.KINDS))
+
+
+def test_printed_ibans():
+    one = changed("GB82WEST12345698765432", "iban")
+    for value in ("GB82 WEST 1234 5698 7654 32", "GB82 WEST 123456 98765432"):
+        for tail in (" y", ", BIC", " EUR 100", " ABCD 1234", "."):
+            out = changed(value, "iban", tail=tail)
+            assert out.replace(" ", "") == one and [c == " " for c in out] == [c == " " for c in value]
+    austrian = changed("AT61 1904 3002 3457 3201", "iban", tail=" EUR")
+    assert austrian.replace(" ", "") == changed("AT611904300234573201", "iban")
+    body = "ABCD1234567"
+    value = f"ZZ{98 - ps.iban_remainder('ZZ00' + body):02d}{body}"
+    assert changed(" ".join(value[i:i + 4] for i in range(0, 15, 4)), "iban").replace(" ", "") == changed(value, "iban")
+    text = "GB82 WEST 1234 5698 7654 3"
+    assert ps.replace_values(text, F)[1][ps.KINDS.index("iban")] == 0
+
+
+def test_phones_with_a_leading_one():
+    digits = re.findall("[0-9]", changed("743-555-3824", "phone"))
+    for value in ("1-743-555-3824", "1.743.555.3824", "1 743 555 3824", "1-(743) 555-3824", "1(743) 555-3824",
+                  "1 (743) 555-3824"):
+        out = changed(value, "phone")
+        assert out[0] == "1" and re.findall("[0-9]", out)[1:] == digits
+        assert re.sub("[0-9]", "0", out) == re.sub("[0-9]", "0", value)
