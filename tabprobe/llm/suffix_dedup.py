@@ -20,8 +20,13 @@ anchors, and the ``anchor`` bytes there name a bucket.  About one position in
    that repeat there or in another block, and the buckets' index families
    answer with spans.  A block sends equal contexts once, with its least id; its
    other holders are covered at once, so a passage that a third of all documents
-   share reaches its bucket once per block.  Of equal contexts in a bucket, again
+   share reaches its bucket once per block.  Equal contexts of one document are one
+   row with the stretches where it lies.  Of equal contexts in a bucket, again
    only those of the least id need their windows looked up.
+   An anchor that occurs more than ``HOT`` times in all (a title or a rule of
+   dashes between differing texts) would bring one bucket a context per document:
+   its contexts are taken apart, and each window goes to a bucket of its own
+   content, where equal windows meet; again a block sends each once.
 3. Each block cuts its texts.
 
 The three steps read one shuffle of the documents by block.  The arrays compare
@@ -48,6 +53,9 @@ LEFT = CHOICES - 1                    # bytes of context before an anchor
 WIDTH = LEFT + MATCH                  # context bytes
 NO_ID = (1 << 63) - 1
 CHUNK_ANCHORS, TILE = 400_000, 1 << 16
+#: occurrences beyond which an anchor's windows are dealt one by one, and how many
+#: contexts are taken apart at once
+HOT, HOT_AT_ONCE = 1 << 14, 1 << 13
 #: bytes are kept plus one, so that 0 can stand for "outside the document"
 #: (UTF-8 has no byte 255)
 _PLUS = bytes(range(1, 256)) + b"\xff"
@@ -198,27 +206,83 @@ def _send_codes(table: pa.Table, buckets: int) -> pa.Table:
     block = Block(table, buckets)
     block.find_anchors()
     number = table["block"][0].as_py()
-    return _table([(b, number, _pack(block.codes[i:j].astype(np.uint32)))
+    times = np.minimum(np.bincount(block.code_of, minlength=len(block.codes)), 65535).astype(np.uint16)
+    return _table([(b, number, _pack(block.codes[i:j].astype(np.uint32), times[i:j]))
                    for b, i, j in block.bucket_slices()], _CODES)
 
 
 def _shared_codes(table: pa.Table) -> pa.Table:
-    """For each block, a bit for each of its codes: whether another block has it."""
-    codes = [np.frombuffer(_unpack(c.as_py())[0], np.uint32) for c in table["cell"]]
+    """For each block, two bits for each of its codes: whether another block has
+    it, and whether it occurs more than ``HOT`` times."""
+    cells = [_unpack(c.as_py()) for c in table["cell"]]
+    codes = [np.frombuffer(c, np.uint32) for c, _ in cells]
+    counts = np.concatenate([np.frombuffer(n, np.uint16) for _, n in cells])
     _, which, times = np.unique(np.concatenate(codes), return_inverse=True, return_counts=True)
-    shared = times[which] > 1
+    shared, hot = times[which] > 1, (np.bincount(which, weights=counts) > HOT)[which]
     rows, at = [], 0
     for bucket, block, c in zip(table["bucket"].to_pylist(), table["block"].to_pylist(), codes):
-        own = shared[at:at + len(c)]
+        own, often = shared[at:at + len(c)], hot[at:at + len(c)]
         at += len(c)
-        if own.any():
-            rows.append((bucket, block, np.packbits(own).tobytes()))
+        if own.any() or often.any():
+            rows.append((bucket, block, np.packbits(own).tobytes() + np.packbits(often).tobytes()))
     return _table(rows, _CODES)
 
 
 _DEALT = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("spans", pa.bool_()), ("cell", pa.binary())])
 
 
+def _deal(number: int, bucket: np.ndarray, context: np.ndarray, doc: np.ndarray, of: np.ndarray,
+          row: np.ndarray, pos: np.ndarray, last: np.ndarray) -> list[tuple]:
+    """Cells of contexts by bucket; stretch k lies in ``row`` and has context
+    ``of`` at every position from ``pos`` to ``last`` or within ``MATCH`` of the
+    one before."""
+    by = np.argsort(bucket, kind="stable")
+    place = np.empty(len(by), np.int64)
+    place[by] = np.arange(len(by))
+    to = place[of]
+    stretch = np.argsort(to, kind="stable")
+    to, bucket = to[stretch], bucket[by]
+    first = np.flatnonzero(np.diff(bucket, prepend=-1))
+    end = np.append(first[1:], len(by))
+    out = []
+    for i, j, a, b in zip(first.tolist(), end.tolist(), np.searchsorted(to, first).tolist(),
+                          np.searchsorted(to, end).tolist()):
+        some, which = by[i:j], stretch[a:b]
+        out.append((int(bucket[i]), number, False, _pack(
+            context[some], doc[some], (to[a:b] - i).astype(np.uint32), row[which].astype(np.uint32),
+            pos[which].astype(np.uint32), last[which].astype(np.uint32))))
+    return out
+
+
+def _windows_apart(context: np.ndarray, doc: np.ndarray, of: np.ndarray, row: np.ndarray, pos: np.ndarray,
+                   last: np.ndarray):
+    """The different windows of contexts, as contexts that begin with them,
+    with their hashes, documents and stretches; and the spans (row, start, end)
+    of windows that a smaller document here has too."""
+    left, right = _sides(context)
+    offsets = np.arange(CHOICES)
+    r, o = np.nonzero((offsets <= left[:, None]) & (MATCH - offsets <= right[:, None]))
+    window = np.zeros((len(r), WIDTH), np.uint8)
+    window[:, LEFT:] = np.lib.stride_tricks.sliding_window_view(context, MATCH, axis=1)[r, LEFT - o]
+    h = _hash_rows(window)
+    order = np.lexsort((doc[r], h))
+    head = np.diff(h[order], prepend=h[order][:1] + np.uint64(1)) != 0
+    name = np.empty(len(r), np.int64)
+    name[order] = np.cumsum(head) - 1
+    first = order[head]
+    least = doc[r][first]
+    # every stretch of a context is one of each of its windows
+    times = np.bincount(r, minlength=len(context))
+    begin = np.cumsum(times) - times
+    each = np.repeat(np.arange(len(of)), times[of])
+    at = begin[of][each] + np.arange(len(each)) - np.repeat(np.cumsum(times[of]) - times[of], times[of])
+    start, end, row = pos[each] - o[at], last[each] - o[at] + MATCH, row[each]
+    late = doc[r][at] > least[name[at]]
+    of, own_row, start_own, end_own = merged_spans(name[at][~late], row[~late], start[~late], end[~late])
+    return (window[first], h[first], least, of, own_row, start_own, end_own - MATCH,
+            (row[late], start[late], end[late]))
+
+
 def _send_contexts(table: pa.Table, replies: pa.Table, buckets: int) -> pa.Table:
     """Contexts for the buckets, and spans known already."""
     if not table.num_rows:
@@ -226,37 +290,58 @@ def _send_contexts(table: pa.Table, replies: pa.Table, buckets: int) -> pa.Table
     block = Block(table, buckets)
     block.find_anchors()
     number = table["block"][0].as_py()
-    wanted = block.several_documents()
+    wanted, hot = block.several_documents(), np.zeros(len(block.codes), bool)
     cells = dict(zip(replies["bucket"].to_pylist(), replies["cell"].to_pylist()))
     for b, i, j in block.bucket_slices():
         if b in cells:
-            wanted[i:j] |= np.unpackbits(np.frombuffer(cells[b], np.uint8), count=j - i).astype(bool)
+            bits, size = np.frombuffer(cells[b], np.uint8), -(-(j - i) // 8)
+            wanted[i:j] |= np.unpackbits(bits[:size], count=j - i).astype(bool)
+            hot[i:j] = np.unpackbits(bits[size:], count=j - i).astype(bool)
     chosen = np.flatnonzero(wanted[block.code_of])
     view = np.lib.stride_tricks.sliding_window_view(block.data, WIDTH)
     out = []
+
+    def known(row, start, end):
+        if len(row):
+            _, key, start, end = merged_spans(row, row, start, end)
+            out.append((number % buckets, number, True, _pack(key, start, end)))
+
     for s in range(0, len(chosen), CHUNK_ANCHORS):
         some = chosen[s:s + CHUNK_ANCHORS]
         at, row = block.at[some], block.row[some]
         context, doc = view[at - LEFT], block.doc[row]
         pos = at - block.begin[row]
         h = _hash_rows(context)
-        order = np.argsort(h, kind="stable")  # rows, and so ids, ascend within
+        order = np.argsort(h, kind="stable")  # rows, and so ids, ascend within, and positions
         head = np.diff(h[order], prepend=h[order][:1] + np.uint64(1)) != 0
-        least = doc[order[head]][np.cumsum(head) - 1]
-        late = doc[order] > least
-        later, own = order[late], order[~late]
-        if len(later):
-            left, right = _sides(context[later])
-            _, key, start, end = merged_spans(row[later], row[later], pos[later] - left, pos[later] + right)
-            out.append((number % buckets, number, True, _pack(key, start, end)))
-        bucket = (block.codes[block.code_of[some[own]]] >> np.uint64(32)).astype(np.int64)
-        by = np.argsort(bucket, kind="stable")
-        own, bucket = own[by], bucket[by]
-        for part in np.split(np.arange(len(own)), np.flatnonzero(np.diff(bucket)) + 1):
-            if len(part):
-                rows = own[part]
-                out.append((int(bucket[part[0]]), number, False, _pack(
-                    context[rows], doc[rows], row[rows].astype(np.uint32), pos[rows].astype(np.uint32))))
+        group, one = np.cumsum(head) - 1, order[head]
+        late = doc[order] > doc[one][group]
+        later, own, of = order[late], order[~late], group[~late]
+        left, right = _sides(context[later])
+        known(row[later], pos[later] - left, pos[later] + right)
+        new = np.ones(len(own), bool)
+        new[1:] = (of[1:] != of[:-1]) | (row[own][1:] != row[own][:-1]) | (np.diff(pos[own]) > MATCH)
+        first = np.flatnonzero(new)
+        of, rows, last = of[first], row[own[first]], pos[own[np.append(first[1:], len(own)) - 1]]
+        pos = pos[own[first]]
+        code = block.code_of[some[one]]
+        often = hot[code]
+        bucket = (block.codes[code] >> np.uint64(32)).astype(np.int64)
+        for apart, groups in [(False, np.flatnonzero(~often))] + [
+                (True, part) for part in np.split(np.flatnonzero(often), range(
+                    HOT_AT_ONCE, np.count_nonzero(often), HOT_AT_ONCE))]:
+            if not len(groups):
+                continue
+            place = np.full(len(one), -1, np.int64)
+            place[groups] = np.arange(len(groups))
+            here = np.flatnonzero(place[of] >= 0)
+            given = (context[one[groups]], doc[one[groups]], place[of[here]], rows[here], pos[here], last[here])
+            if apart:
+                window, name, least, *stretches, spans = _windows_apart(*given)
+                known(*spans)
+                out += _deal(number, (name % np.uint64(buckets)).astype(np.int64), window, least, *stretches)
+            else:
+                out += _deal(number, bucket[groups], *given)
     return _table(out, _DEALT)
 
 
@@ -304,9 +389,10 @@ class SuffixLevels:
         return repeated
 
 
-def bucket_spans(context: np.ndarray, doc: np.ndarray, key: np.ndarray, pos: np.ndarray,
-                 batch: int = 4096):
-    """Spans to remove that the contexts of one bucket show."""
+def bucket_spans(context: np.ndarray, doc: np.ndarray, of: np.ndarray, key: np.ndarray, pos: np.ndarray,
+                 last: np.ndarray, batch: int = 4096):
+    """Spans to remove that the contexts of one bucket show; stretches (``of``,
+    ``key``, ``pos``, ``last``) as in ``_deal``."""
     none = tuple(np.empty(0, np.int64) for _ in range(4))
     if not len(doc):
         return none
@@ -317,19 +403,25 @@ def bucket_spans(context: np.ndarray, doc: np.ndarray, key: np.ndarray, pos: np.
     head = np.ones(len(order), bool)
     head[1:] = anchor[1:] != anchor[:-1]
     first = np.flatnonzero(head)
-    last = np.append(first[1:], len(order)) - 1
-    shared = (doc[order[first]] != doc[order[last]])[np.cumsum(head) - 1]
+    final = np.append(first[1:], len(order)) - 1
+    shared = (doc[order[first]] != doc[order[final]])[np.cumsum(head) - 1]
     rows = order[shared]
     if not len(rows):
         return none
-    context, doc, key, pos = context[rows], doc[rows], key[rows], pos[rows].astype(np.int64)
+    place = np.full(len(doc), -1, np.int64)
+    place[rows] = np.arange(len(rows))
+    here = place[of] >= 0
+    of, key, pos, last = place[of[here]], key[here], pos[here].astype(np.int64), last[here].astype(np.int64)
+    context, doc = context[rows], doc[rows]
     left, right = _sides(context)
     # of equal contexts, those after the least document are covered whole
     same, which = np.unique(_hash_rows(context), return_inverse=True)
     least = np.full(len(same), NO_ID, np.int64)
     np.minimum.at(least, which, doc)
     later = doc > least[which]
-    spans = [(doc[later], key[later], pos[later] - left[later], pos[later] + right[later])]
+    covered = later[of]
+    whole = of[covered]
+    spans = [(doc[whole], key[covered], pos[covered] - left[whole], last[covered] + right[whole])]
     # the windows of each different context, once, in document order; an anchor
     # with one context has no window elsewhere
     own = np.flatnonzero(~later)
@@ -348,9 +440,10 @@ def bucket_spans(context: np.ndarray, doc: np.ndarray, key: np.ndarray, pos: np.
         suffixes = np.ascontiguousarray(windows).view(f"S{MATCH}").ravel()
         hit = family.add(suffixes, doc[some][r])
         repeated[which[some][r[hit]], o[hit]] = True
-    r, o = np.nonzero(repeated[which[own]])
-    r = own[r]
-    spans.append((doc[r], key[r], pos[r] - o, pos[r] - o + MATCH))
+    rest = np.flatnonzero(~covered)
+    r, o = np.nonzero(repeated[which[of[rest]]])
+    r = rest[r]
+    spans.append((doc[of[r]], key[r], pos[r] - o, last[r] - o + MATCH))
     return merged_spans(*(np.concatenate(c) for c in zip(*spans)))
 
 
@@ -359,16 +452,18 @@ _SPANS = pa.schema([("block", pa.int64()), ("cell", pa.binary())])
 
 def _bucket(table: pa.Table) -> pa.Table:
     """Per block, the (row, start, end) spans that a bucket finds."""
-    rows, found, numbers = [], [], []
+    rows, found, numbers, n = [], [], [], 0
     for block, is_spans, cell in zip(table["block"].to_pylist(), table["spans"].to_pylist(), table["cell"]):
         if is_spans:
             rows.append((block, cell.as_py()))
             continue
-        a, b, c, d = _unpack(cell.as_py())
-        key = np.frombuffer(c, np.uint32).astype(np.int64) | len(numbers) << 32
+        context, doc, of, key, pos, last = _unpack(cell.as_py())
+        key = np.frombuffer(key, np.uint32).astype(np.int64) | len(numbers) << 32
         numbers.append(block)
-        found.append((np.frombuffer(a, np.uint8).reshape(-1, WIDTH), np.frombuffer(b, np.int64), key,
-                      np.frombuffer(d, np.uint32)))
+        found.append((np.frombuffer(context, np.uint8).reshape(-1, WIDTH), np.frombuffer(doc, np.int64),
+                      np.frombuffer(of, np.uint32).astype(np.int64) + n, key, np.frombuffer(pos, np.uint32),
+                      np.frombuffer(last, np.uint32)))
+        n += len(found[-1][1])
     if found:
         _, key, start, end = bucket_spans(*(np.concatenate(c) for c in zip(*found)))
         order = np.argsort(key, kind="stable")

@@ -2,6 +2,8 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -97,3 +99,57 @@ def test_levels_grow_geometrically():
             seen[s] = min(d, seen.get(s, d))
         assert got.tolist() == [seen[s] < d for s, d in zip(items.tolist(), docs.tolist())]
     assert [x is not None for x in family.levels] == [bool(37 >> k & 1) for k in range(6)]
+
+
+def by_hand(rows, buckets, blocks):
+    """The operator's steps without Spark: its rows, and the contexts in each bucket."""
+    def grouped(table, column):
+        return {k: table.filter(pc.equal(table[column], k)) for k in pc.unique(table[column]).to_pylist()}
+
+    docs = pa.table({"doc_id": pa.array([d for d, _ in rows], pa.int64()),
+                     "text": pa.array([None if t is None else t.encode() for _, t in rows], pa.binary()),
+                     "block": pa.array([k % blocks for k in range(len(rows))], pa.int64())})
+    parts = grouped(docs, "block")
+    codes = pa.concat_tables([suffix_dedup._send_codes(t, buckets) for t in parts.values()])
+    replies = pa.concat_tables([suffix_dedup._shared_codes(t) for t in grouped(codes, "bucket").values()])
+    dealt = pa.concat_tables([suffix_dedup._send_contexts(t, replies.filter(pc.equal(replies["block"], k)), buckets)
+                              for k, t in parts.items()])
+    load = [0] * buckets
+    for b, known, cell in zip(dealt["bucket"].to_pylist(), dealt["spans"].to_pylist(), dealt["cell"].to_pylist()):
+        load[b] += 0 if known else len(suffix_dedup._unpack(cell)[0]) // suffix_dedup.WIDTH
+    spans = pa.concat_tables([suffix_dedup._bucket(t) for t in grouped(dealt, "bucket").values()])
+    out = []
+    for k, t in parts.items():
+        done = suffix_dedup._cut(t, spans.filter(pc.equal(spans["block"], k)))
+        out += [(suffix_dedup.NO_ID if r["doc_id"] is None else r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"],
+                 hashlib.sha256(r["kept"]).hexdigest()) for r in done.to_pylist()]
+    return sorted(out, key=str), load
+
+
+def test_hot_phrase_is_spread_over_buckets(monkeypatch):
+    rng = random.Random(8)
+    monkeypatch.setattr(suffix_dedup, "HOT", 50, raising=False)
+    monkeypatch.setattr(suffix_dedup, "HOT_AT_ONCE", 64, raising=False)
+
+    def prose(n):
+        return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+
+    for size in (40, 69):
+        phrase = prose(size)
+        rows = [(k, prose(100) + (phrase if k % 3 == 0 else "") + prose(100)) for k in range(1500)]
+        rows += [(2000 + k, rows[3 * k][1][60:200]) for k in range(40)]  # a part with the phrase in it
+        got, load = by_hand(rows, 16, 4)
+        assert got == brute(rows)
+        assert max(load) < 3 * sum(load) / len(load)
+
+
+def test_all_anchors_hot_and_runs_of_one_byte(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT", 1, raising=False)
+    rows = [(d, t) for d, t in passages() if d is not None or t is None or len(t) < 60]
+    got, _ = by_hand(rows, 5, 3)
+    assert got == brute([(suffix_dedup.NO_ID if d is None else d, t) for d, t in rows])
+    rows = [(1, "x" + "-" * 5000 + "y"), (2, "-" * 3000), (3, "ab" * 2000), (4, "c" + "ab" * 100 + "d" + "-" * 60)]
+    for hot in (1, 1 << 14):
+        monkeypatch.setattr(suffix_dedup, "HOT", hot, raising=False)
+        got, load = by_hand(rows, 3, 2)
+        assert got == brute(rows) and sum(load) < 1000
