@@ -13,8 +13,8 @@ text.  Nothing is broadcast by hand.
 
 Edge cases: a null text has no words and no lines; a null host is a host of its
 own; repeated rows get equal results; empty tables give no row; other columns
-are ignored.  Hashes have 64 bits; two windows of a document are taken as equal
-if their 64-bit hashes agree in the bits that a position leaves free.
+are ignored.  Lines and texts are told apart by 64-bit hashes; windows of a
+document by their words.
 """
 
 from __future__ import annotations
@@ -41,17 +41,16 @@ def base_measures(docs: DataFrame, keep: list[str]) -> DataFrame:
     df = docs.select(*keep, F.col("text").alias("t"))
     df = df.select(*keep, "t", _words(F.col("t")).alias("w"))
     df = df.withColumn("n", F.size("w"))
-    # a window's hash above its position, so that sorting puts equal windows together
-    df = df.withColumn("b", F.expr("length(bin(n))"))
+    # windows by hash and position, so that sorting puts equal windows together;
+    # neighbours of one hash are compared word by word
     df = df.withColumn("k", F.expr(
-        "CASE WHEN n < 3 THEN CAST(array() AS ARRAY<BIGINT>) ELSE sort_array(transform("
-        "sequence(0, n - 3), i -> shiftleft(xxhash64(w[i], w[i + 1], w[i + 2]), b) | CAST(i AS BIGINT)))"
-        " END"))
+        "CASE WHEN n < 3 THEN CAST(array() AS ARRAY<STRUCT<h: BIGINT, i: INT>>) ELSE sort_array(transform("
+        "sequence(0, n - 3), i -> named_struct('h', xxhash64(w[i], w[i + 1], w[i + 2]), 'i', i))) END"))
+    same = ("coalesce(x.h = get(k, {j}).h AND w[x.i] = w[get(k, {j}).i] AND w[x.i + 1] = w[get(k, {j}).i + 1] "
+            "AND w[x.i + 2] = w[get(k, {j}).i + 2], false)")
     df = df.withColumn("p", F.expr(
-        "sort_array(transform(filter(k, (x, j) -> "
-        "shiftrightunsigned(x, b) = shiftrightunsigned(get(k, j - 1), b) OR "
-        "shiftrightunsigned(x, b) = shiftrightunsigned(get(k, j + 1), b)), "
-        "x -> x & (shiftleft(1L, b) - 1L)))"))
+        f"sort_array(transform(filter(k, (x, j) -> {same.format(j='j - 1')} OR {same.format(j='j + 1')}), "
+        "x -> CAST(x.i AS BIGINT)))"))
     lines = F.filter(F.split("t", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     df = df.withColumn("l", F.coalesce(lines, F.array().cast("array<string>")))
     df = df.select(

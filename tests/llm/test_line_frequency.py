@@ -64,3 +64,15 @@ def test_filter_on_the_verdict_stays_cheap(spark, make_docs):
 def test_no_python_in_plan(spark, make_docs):
     plan = line_frequency.verdicts(make_docs([(1, "a b c")]))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan.split("== Physical Plan ==")[1])
+
+
+def test_windows_that_share_most_bits_of_a_hash_differ(spark, make_docs):
+    # xxhash64 of these two windows agrees in its low 46 bits
+    one, two = spark.sql("SELECT xxhash64('c16189601', 'x', 'y'), xxhash64('c29038626', 'x', 'y')").first()
+    assert one != two and (one ^ two) & ((1 << 46) - 1) == 0
+    words = [f"a{i}" for i in range(1 << 17)]
+    words[100:103], words[50_000:50_003] = ["c16189601", "x", "y"], ["c29038626", "x", "y"]
+    repeat = words[200:204]
+    docs = make_docs([(1, " ".join(words)), (2, " ".join(words + repeat))])
+    got = {r.doc_id: r.n_repeat_words for r in line_frequency.verdicts(docs).collect()}
+    assert got == {1: 0, 2: 8}
