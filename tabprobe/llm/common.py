@@ -27,6 +27,31 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(fn, schema)
 
 
+#: text (in characters or bytes) after which rows leave a task
+FLUSH = 8 << 20
+
+
+def in_chunks(batches: Iterator[pa.RecordBatch], one: Callable, schema: pa.Schema,
+              flush: int = FLUSH) -> Iterator[pa.RecordBatch]:
+    """``one(*row)`` gives a result row and its size; results leave the task as
+    soon as they reach ``flush`` together."""
+    held, size = [], 0
+    for batch in batches:
+        for row in zip(*batch.columns):
+            done, weight = one(*(cell.as_py() for cell in row))
+            held.append(done)
+            size += weight
+            if size > flush:
+                yield as_batch(held, schema)
+                held, size = [], 0
+    if held:
+        yield as_batch(held, schema)
+
+
+def as_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+
+
 def id_crc(doc_id: str = "doc_id") -> Column:
     """crc32 of the id as text; a missing id counts as empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary"))

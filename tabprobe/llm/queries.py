@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabprobe.llm import (decontaminate, language_gru, line_frequency, pack_bestfit, pack_squares, pseudonyms,
-                          quality_ftrl, secrets_grammar, simhash, suffix_dedup)
+from tabprobe.llm import (bpe_merge, decontaminate, fill_middle, language_gru, line_frequency, pack_bestfit,
+                          pack_squares, pseudonyms, quality_ftrl, secrets_grammar, simhash, suffix_dedup, va_file)
 from tabprobe.llm.common import read
 
 #: the key of the registered query; real runs pass a secret of their own
@@ -57,7 +57,20 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(suffix_dedup.without_repeats(read(spark, sf_dir, "documents")))
 
 
+def op11_bpe_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_merge.digest(bpe_merge.decoded(bpe_merge.encoded(read(spark, sf_dir, "documents"))))
+
+
+def op12_va_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return va_file.digest(va_file.cluster(read(spark, sf_dir, "embeddings")))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digest(fill_middle.restored(fill_middle.transform(read(spark, sf_dir, "documents"))))
+
+
 SPARK = {f.__name__: f for f in (
     op1_pack_squares, op2_line_frequency, op3_pack_bestfit, op4_pseudonyms, op5_simhash, op6_decontaminate,
-    op7_secrets, op8_language, op9_quality, op10_suffix_dedup)}
-SQL = {"op2_line_frequency": line_frequency.ORACLE_SQL}
+    op7_secrets, op8_language, op9_quality, op10_suffix_dedup, op11_bpe_merge, op12_va_file, op13_fill_middle)}
+SQL = {"op2_line_frequency": line_frequency.ORACLE_SQL, "op12_va_file": va_file.ORACLE_SQL,
+       "op13_fill_middle": fill_middle.ORACLE_SQL}
