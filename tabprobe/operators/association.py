@@ -18,20 +18,18 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import finite_or_null
 from .encoders import long_form
-from .rank import cumulative_before, join_on, materialize
+from .rank import cumulative_before, join_hot
 
 EPS = 1e-9
 EFFICIENCY_THRESHOLD = 0.1
 
 
 def _ranked(agg: DataFrame, value_col: str, weight: str) -> DataFrame:
-    """(col, value) -> 0-based average rank and the column's n, from counts."""
-    per_value = agg.groupBy("col", value_col).agg(F.sum(weight).alias("cnt"))
+    """(col, value) -> 0-based average rank and number of ``agg`` rows, from counts."""
+    per_value = agg.groupBy("col", value_col).agg(F.sum(weight).alias("cnt"), F.count(F.lit(1)).alias("key_rows"))
     cum = cumulative_before(per_value, ["col"], value_col, ["cnt"])
-    # one total per column, joined back: no task holds a whole column
-    totals = per_value.groupBy("col").agg(F.sum("cnt").alias("n"))
-    return cum.join(totals, "col").select(
-        "col", value_col, (F.col("cnt_before") + (F.col("cnt") - 1) / 2.0).alias(f"r_{value_col}"), "n")
+    return cum.select("col", value_col, (F.col("cnt_before") + (F.col("cnt") - 1) / 2.0).alias(f"r_{value_col}"),
+                      "key_rows")
 
 
 def _zero_fill(stats: DataFrame, cols: list[str], name: str, cached: DataFrame) -> DataFrame:
@@ -42,9 +40,13 @@ def _zero_fill(stats: DataFrame, cols: list[str], name: str, cached: DataFrame)
     return stats.sparkSession.createDataFrame(rows, f"col string, pos int, {name} double")
 
 
-def spearman_abs(df: DataFrame, cols: list[str], target: str) -> DataFrame:
+def spearman_abs(df: DataFrame, cols: list[str], target: str, **hot) -> DataFrame:
     """(col, pos, association) = |Spearman(x, y)| per column.
 
+    Ranks return to the pairs by joins on the values; the few values that hold
+    many pairs are joined by broadcast, so a value of x or y in a third of all
+    rows fills no task (``hot``: bounds of :func:`~.rank.join_hot`).
+
     Ranks are taken over each column's own pairwise-complete rows.  Columns
     with no missing value where the target is present share one ranking of
     the target (computed once); only the others rank it per column.
@@ -60,19 +62,19 @@ def spearman_abs(df: DataFrame, cols: list[str], target: str) -> DataFrame:
         .where(F.col("value").isNotNull() & F.col("__y").isNotNull())
     # checkpointed: joined back to its own ranks below (see rank.materialize)
     pairs = lf.groupBy("col", "value", "__y").agg(F.count(F.lit(1)).alias("w")).checkpoint(eager=True)
-    rx = materialize(_ranked(pairs, "value", "w").drop("n"), likely_large=True)
-    jx = join_on(pairs, rx, ["col", "value"])
+    rx = _ranked(pairs, "value", "w").checkpoint()
+    jx = join_hot(pairs, rx, ["col", "value"], "key_rows", **hot)
     pieces = []
     if full:
+        # a target value has at most as many pairs as rows, in each column
         ycnt = base.where(F.col("__y").isNotNull()).groupBy("__y").agg(F.count(F.lit(1)).alias("cnt"))
         yr = cumulative_before(ycnt, [], "__y", ["cnt"]).select(
-            "__y", (F.col("cnt_before") + (F.col("cnt") - 1) / 2.0).alias("r___y"))
-        yr = materialize(yr, likely_large=True)
-        pieces.append(jx.where(F.col("col").isin(full)).join(yr, "__y"))
+            "__y", (F.col("cnt_before") + (F.col("cnt") - 1) / 2.0).alias("r___y"),
+            (F.col("cnt") * F.lit(len(full))).alias("key_rows"))
+        pieces.append(join_hot(jx.where(F.col("col").isin(full)), yr.checkpoint(), ["__y"], "key_rows", **hot))
     if part:
-        ry = materialize(_ranked(pairs.where(F.col("col").isin(part)), "__y", "w").drop("n"),
-                         likely_large=True)
-        pieces.append(join_on(jx.where(F.col("col").isin(part)), ry, ["col", "__y"]))
+        ry = _ranked(pairs.where(F.col("col").isin(part)), "__y", "w").checkpoint()
+        pieces.append(join_hot(jx.where(F.col("col").isin(part)), ry, ["col", "__y"], "key_rows", **hot))
     j = pieces[0] if len(pieces) == 1 else pieces[0].unionByName(pieces[1])
     w, a, b = F.col("w"), F.col("r_value"), F.col("r___y")
     s = j.groupBy("col").agg(
@@ -91,7 +93,7 @@ def spearman_abs(df: DataFrame, cols: list[str], target: str) -> DataFrame:
     return out
 
 
-def eta_ranks(df: DataFrame, cols: list[str], target: str) -> DataFrame:
+def eta_ranks(df: DataFrame, cols: list[str], target: str, **hot) -> DataFrame:
     """(col, pos, association) = correlation ratio of feature ranks across classes.
 
     A missing label is a class of its own (label codes are taken as given).
@@ -100,19 +102,19 @@ def eta_ranks(df: DataFrame, cols: list[str], target: str) -> DataFrame:
                      *[finite_or_null(F.col(c)).alias(c) for c in cols])
     lf = long_form(base, cols, "double", ["__c"]).where(F.col("value").isNotNull())
     agg = lf.groupBy("col", "value", "__c").agg(F.count(F.lit(1)).alias("w")).checkpoint(eager=True)
-    rx = materialize(_ranked(agg, "value", "w"), likely_large=True)
-    j = join_on(agg, rx, ["col", "value"])
-    r = F.col("r_value") / F.greatest(F.col("n") - 1, F.lit(1))
-    w = F.col("w")
-    per_cls = j.groupBy("col", "__c").agg(F.sum(w).alias("nk"), F.sum(w * r).alias("sk"),
-                                          F.sum(w * r * r).alias("qk"))
+    j = join_hot(agg, _ranked(agg, "value", "w").checkpoint(), ["col", "value"], "key_rows", **hot)
+    raw, w = F.col("r_value"), F.col("w")
+    # ranks are divided by n - 1 of the column after its classes are added up
+    per_cls = j.groupBy("col", "__c").agg(F.sum(w).alias("nk"), F.sum(w * raw).alias("sk"),
+                                          F.sum(w * raw * raw).alias("qk"))
     per_col = per_cls.groupBy("col").agg(
         F.sum("nk").alias("n"), F.sum("sk").alias("s"), F.sum("qk").alias("q"),
         F.sum(F.try_divide(F.col("sk") * F.col("sk"), F.col("nk"))).alias("sb_raw"))
     n = F.col("n")
     grand = F.try_divide(F.col("s"), n)
-    sst = F.col("q") - n * grand * grand
-    ssb = F.col("sb_raw") - n * grand * grand
+    scale = F.greatest(n - 1, F.lit(1))
+    sst = (F.col("q") - n * grand * grand) / (scale * scale)
+    ssb = (F.col("sb_raw") - n * grand * grand) / (scale * scale)
     eta = F.sqrt(F.try_divide(F.greatest(ssb, F.lit(0.0)), sst))
     assoc = F.when((n < 3) | (sst < EPS), F.lit(0.0)).otherwise(F.least(eta, F.lit(1.0)))
     return _zero_fill(per_col.select("col", assoc.alias("association")), cols, "association", agg)

@@ -2,8 +2,8 @@
 
 Every ``fit`` reads the training frame once (per statistic) and keeps its
 state either as a handful of literals (medians, means, modes: one value per
-column) or as a small dictionary DataFrame joined to the data (ordinal codes,
-target statistics), broadcast only after its size is checked.
+column) or as one table of entries for all columns (ordinal codes, target
+statistics; see :mod:`.lookup`), of which what fits a byte budget is broadcast.
 """
 
 from __future__ import annotations
@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalar import finite_or_null
-from .rank import BROADCAST_ROWS, cumulative_before, join_on, materialize
+from .lookup import BUDGET_BYTES, Lookup, build, entry_key
+from .rank import ROWS_PER_BUCKET, cumulative_before, join_on, materialize
 
 CATEGORICAL_TYPES = (T.StringType, T.BooleanType)
 UNKNOWN_CODE = -1
@@ -56,67 +57,60 @@ MEDIAN_SKETCH_ACCURACY = 10_000
 def exact_medians(df: DataFrame, cols: list[str]) -> dict[str, float | None]:
     """Exact median (midpoint of the two middle values for even n) per column.
 
-    Finite values only (NaN/inf count as missing).  Exact selection, not a
-    full ranking: one pass takes approximate quantiles just below and above
-    the middle (rank error <= n / accuracy) plus the count; a second pass
-    counts the values below that bracket and ranks only the values inside it
-    (a (col, value, count) table, so a hot value is one row).  If a bracket
-    misses the middle positions the column falls back to ranking all of its
-    distinct values.
+    Finite values only (NaN/inf count as missing).  Two passes over the columns
+    as they stand, no row is unpivoted.  The first takes each column's count and
+    a mergeable quantile sketch just below and above the middle (rank error
+    <= n / accuracy).  The second counts, by conditional sums, the values below
+    each bracket, and takes out those inside it (about 6 n / accuracy a column),
+    which are counted per value, so that a hot value is one row, and ranked.  If a
+    bracket misses the middle positions the column falls back to ranking all of
+    its distinct values.
     """
     if not cols:
         return {}
+    spark = df.sparkSession
     acc = MEDIAN_SKETCH_ACCURACY
     delta = 3.0 / acc
-    lf = df.select(*[finite_or_null(F.col(c)).alias(c) for c in cols])
-    lf = long_form(lf, cols, "double").where(F.col("value").isNotNull()).persist()
-    br = lf.groupBy("col").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile_approx("value", [max(0.0, 0.5 - delta), min(1.0, 0.5 + delta)], acc).alias("q"))
-    brackets = {r["col"]: (r["n"], r["q"][0], r["q"][1]) for r in br.collect()}
+    names = [f"v{i}" for i in range(len(cols))]
+    wide = df.select(*[finite_or_null(F.col(c)).alias(v) for c, v in zip(cols, names)])
+    row = wide.agg(*[F.count(v).alias(f"n_{v}") for v in names],
+                   *[F.percentile_approx(v, [max(0.0, 0.5 - delta), min(1.0, 0.5 + delta)], acc).alias(f"q_{v}")
+                     for v in names]).first()
+    found = {v: (row[f"n_{v}"], *row[f"q_{v}"]) for v in names if row[f"n_{v}"]}
     out: dict[str, float | None] = {c: None for c in cols}
-    if not brackets:
-        lf.unpersist()
+    if not found:
         return out
-    spark = df.sparkSession
-    btab = F.broadcast(spark.createDataFrame(
-        [(c, float(lo), float(hi)) for c, (_, lo, hi) in brackets.items()],
-        "col string, lo double, hi double"))
-    tagged = lf.join(btab, "col")
-    inb = (F.col("value") >= F.col("lo")) & (F.col("value") <= F.col("hi"))
-    # one pass: rows below the bracket, rows above it, and each value inside
-    # (small: the bracket holds ~6 n / accuracy rows per column)
-    parts = tagged.groupBy("col", F.when(inb, F.col("value")).alias("value"),
-                           (F.col("value") < F.col("lo")).alias("is_below")) \
-        .agg(F.count(F.lit(1)).alias("cnt")).persist()
-    below = {r["col"]: r["cnt"] for r in parts.where(F.col("value").isNull() & F.col("is_below"))
-             .select("col", "cnt").collect()}
-    inside = parts.where(F.col("value").isNotNull()).select("col", "value", "cnt")
+    below = wide.agg(*[F.sum((F.col(v) < lo).cast("long")).alias(v) for v, (_, lo, _) in found.items()]).first()
+    inside = wide.select(F.explode(F.filter(F.array(*[
+        F.when((F.col(v) >= lo) & (F.col(v) <= hi), F.struct(F.lit(v).alias("col"), F.col(v).alias("value")))
+        for v, (_, lo, hi) in found.items()]), lambda x: x.isNotNull())).alias("x")) \
+        .groupBy("x.col", "x.value").agg(F.count(F.lit(1)).alias("cnt"))
+
     def pick(cum, offsets):
         lo = F.floor((F.col("n") - 1) / 2) - F.col("off")
         hi = F.ceil((F.col("n") - 1) / 2) - F.col("off")
         hit_lo = (F.col("cnt_before") <= lo) & (lo < F.col("cnt_before") + F.col("cnt"))
         hit_hi = (F.col("cnt_before") <= hi) & (hi < F.col("cnt_before") + F.col("cnt"))
         meta = F.broadcast(spark.createDataFrame(
-            [(c, int(brackets[c][0]), int(offsets.get(c, 0))) for c in brackets],
+            [(v, int(n), int(offsets.get(v) or 0)) for v, (n, _, _) in found.items()],
             "col string, n long, off long"))
         res = cum.join(meta, "col").where(hit_lo | hit_hi).groupBy("col").agg(
             F.max(F.when(hit_lo, F.col("value"))).alias("v_lo"),
             F.max(F.when(hit_hi, F.col("value"))).alias("v_hi"))
         return {r["col"]: (r["v_lo"], r["v_hi"]) for r in res.collect()}
 
-    got = pick(cumulative_before(inside, ["col"], "value", ["cnt"]), below)
-    missing = [c for c in brackets if got.get(c, (None, None))[0] is None
-               or got.get(c, (None, None))[1] is None]
+    # the inside is some thousandths of each column: one window task a column up to a billion rows
+    most = 6 * max(n for n, _, _ in found.values()) // acc
+    got = pick(cumulative_before(inside, ["col"], "value", ["cnt"],
+                                 n_buckets=1 if most <= ROWS_PER_BUCKET // 2 else None), below.asDict())
+    missing = [v for v in found if None in got.get(v, (None, None))]
     if missing:   # sketch bracket missed the middle: rank every distinct value
-        allv = lf.where(F.col("col").isin(missing)).groupBy("col", "value") \
+        allv = long_form(wide, missing, "double").where(F.col("value").isNotNull()).groupBy("col", "value") \
             .agg(F.count(F.lit(1)).alias("cnt"))
         got.update(pick(cumulative_before(allv, ["col"], "value", ["cnt"]), {}))
-    lf.unpersist()
-    parts.unpersist()
-    for c, (v_lo, v_hi) in got.items():
-        if v_lo is not None and v_hi is not None:
-            out[c] = (v_lo + v_hi) / 2.0
+    for c, v in zip(cols, names):
+        if None not in got.get(v, (None, None)):
+            out[c] = sum(got[v]) / 2.0
     return out
 
 
@@ -139,39 +133,31 @@ def modes(df: DataFrame, cols: list[str]) -> dict[str, str | None]:
 @dataclass
 class OrdinalModel:
     cols: list[str]
-    dictionary: DataFrame            # col, value, code
-    sizes: dict[str, int]
+    codes: Lookup
     seen_null: dict[str, bool]
 
+    def _code(self, c: str, entry: Column) -> Column:
+        missing = F.lit(MISSING_CODE if self.seen_null.get(c) else UNKNOWN_CODE)
+        return F.when(F.col(c).isNull(), missing).otherwise(F.coalesce(entry["code"], F.lit(UNKNOWN_CODE)))
+
     def transform(self, df: DataFrame) -> DataFrame:
-        out = df
-        for c in self.cols:
-            d = self.dictionary.where(F.col("col") == c).select(
-                F.col("value").alias(f"__v_{c}"), F.col("code").alias(f"__code_{c}"))
-            if self.sizes.get(c, 0) <= BROADCAST_ROWS:
-                d = F.broadcast(d)
-            out = out.join(d, F.col(c).cast("string") == F.col(f"__v_{c}"), "left")
-            missing = F.lit(MISSING_CODE if self.seen_null.get(c) else UNKNOWN_CODE)
-            code = F.when(F.col(c).isNull(), missing) \
-                .otherwise(F.coalesce(F.col(f"__code_{c}"), F.lit(UNKNOWN_CODE)))
-            out = out.withColumn(c, code.cast("long")).drop(f"__v_{c}", f"__code_{c}")
-        return out.select(*df.columns)
-
-
-def fit_ordinal(train: DataFrame, cols: list[str]) -> OrdinalModel:
+        keys = {c: F.when(F.col(c).isNotNull(), entry_key(c, F.col(c))) for c in self.cols}
+        return self.codes.apply(df, keys, lambda c, e: [self._code(c, e).cast("long").alias(c)]).select(*df.columns)
+
+
+def fit_ordinal(train: DataFrame, cols: list[str], budget_bytes: int = BUDGET_BYTES) -> OrdinalModel:
     """Code = position of the value among the sorted distinct train values;
     unseen -> -1; missing -> -2 if missing was seen in train, else -1."""
     lf = long_form(train, cols, "string")
     # small (one row per distinct category) and read by three actions
     agg = lf.groupBy("col", "value").agg(F.count(F.lit(1)).alias("cnt")).persist()
-    seen = agg.where(F.col("value").isNull()).select("col").collect()
-    seen_null = {r["col"]: True for r in seen}
-    distinct = agg.where(F.col("value").isNotNull()).select("col", "value", F.lit(1).alias("one"))
-    dictionary = materialize(cumulative_before(distinct, ["col"], "value", ["one"])
-                             .select("col", "value", F.col("one_before").cast("long").alias("code")))
-    sizes = {r["col"]: r["count"] for r in dictionary.groupBy("col").count().collect()}
+    seen_null = {r["col"]: True for r in agg.where(F.col("value").isNull()).select("col").collect()}
+    distinct = agg.where(F.col("value").isNotNull()).withColumn("one", F.lit(1))
+    entries = cumulative_before(distinct, ["col"], "value", ["one"]).select(
+        entry_key(F.col("col"), F.col("value")).alias("key"), "cnt", F.col("one_before").cast("long").alias("code"))
+    codes = build(materialize(entries), ["code"], budget_bytes)
     agg.unpersist()
-    return OrdinalModel(list(cols), dictionary, sizes, seen_null)
+    return OrdinalModel(list(cols), codes, seen_null)
 
 
 # --------------------------------------------------------------------------- #
@@ -281,7 +267,7 @@ def target_columns(df: DataFrame, target: str, task: str,
     """Numeric target column(s): regression -> y; binary -> 1{y == 2nd class};
     multiclass -> one indicator per class."""
     if task == "regression":
-        return [F.col(target).cast("double").alias("__y0")], ["__y0"]
+        return [finite_or_null(F.col(target)).alias("__y0")], ["__y0"]
     if classes is None:
         raise ValueError("classification target encoding needs the train classes")
     if len(classes) <= 2:
@@ -296,37 +282,30 @@ def train_classes(train: DataFrame, target: str) -> list:
             .distinct().orderBy(target).collect()]
 
 
+def _encoded_names(c: str, ynames: list[str]) -> list[str]:
+    return [c] if len(ynames) == 1 else [f"{c}__te{y[3:]}" for y in ynames]
+
+
 @dataclass
 class TargetModel:
     cols: list[str]
     ynames: list[str]
-    stats: DataFrame                   # col, value, <y>_enc ...
+    stats: Lookup                      # <y>_enc per (column, value), a missing value too
     globals_: dict[str, float]
-    size: int
-
-    def out_name(self, c: str, y: str) -> str:
-        return c if len(self.ynames) == 1 else f"{c}__te{y[3:]}"
 
     def transform(self, df: DataFrame) -> DataFrame:
-        out = df
-        for c in self.cols:
-            d = self.stats.where(F.col("col") == c).select(
-                F.col("value").alias(f"__v_{c}"), *[F.col(f"{y}_enc").alias(f"__e_{c}_{y}")
-                                                    for y in self.ynames])
-            if self.size <= BROADCAST_ROWS:
-                d = F.broadcast(d)
-            out = out.join(d, F.col(c).cast("string").eqNullSafe(F.col(f"__v_{c}")), "left")
-            encs = [F.coalesce(F.col(f"__e_{c}_{y}"), F.lit(self.globals_[y])).alias(self.out_name(c, y))
-                    for y in self.ynames]
-            rest = [x for x in out.columns if x != c]
-            out = out.select(*rest, *encs).drop(f"__v_{c}", *[f"__e_{c}_{y}" for y in self.ynames])
-        names = [x for x in df.columns if x not in self.cols]
-        names += [self.out_name(c, y) for c in self.cols for y in self.ynames]
-        return out.select(*names)
+        def use(c, entry):
+            return [F.coalesce(entry[f"{y}_enc"], F.lit(self.globals_[y])).alias(name)
+                    for y, name in zip(self.ynames, _encoded_names(c, self.ynames))]
+
+        out = self.stats.apply(df, {c: entry_key(c, F.col(c)) for c in self.cols}, use)
+        return out.select(*[x for x in df.columns if x not in self.cols],
+                          *[n for c in self.cols for n in _encoded_names(c, self.ynames)])
 
 
 def fit_target_encoder(train: DataFrame, cols: list[str], target: str, task: str,
-                       classes: list | None = None) -> TargetModel:
+                       classes: list | None = None, budget_bytes: int = BUDGET_BYTES) -> TargetModel:
+    """Statistics of the rows with a label (for regression: a finite one)."""
     if target not in train.columns:
         raise ValueError("target encoding needs the target column")
     if task != "regression" and classes is None:
@@ -342,12 +321,12 @@ def fit_target_encoder(train: DataFrame, cols: list[str], target: str, task: str
         F.count(F.lit(1)).alias("n"),
         *[F.avg(y).alias(f"mean_{y}") for y in ynames],
         *[F.var_pop(y).alias(f"var_{y}") for y in ynames])
-    st = materialize(st.select("col", "value", *[
+    entries = materialize(st.select(entry_key(F.col("col"), F.col("value")).alias("key"), F.col("n").alias("cnt"), *[
         _shrunk(F.col("n"), F.col(f"mean_{y}"), F.col(f"var_{y}"),
                 F.lit(g[f"m_{y}"]), F.lit(g[f"v_{y}"])).alias(f"{y}_enc") for y in ynames]))
-    size = st.count()
+    stats = build(entries, [f"{y}_enc" for y in ynames], budget_bytes)
     base.unpersist()
-    return TargetModel(list(cols), ynames, st, globals_, size)
+    return TargetModel(list(cols), ynames, stats, globals_)
 
 
 def oof_fold(df: DataFrame, key_cols: list[str], n_folds: int = N_OOF_FOLDS) -> Column:
@@ -360,7 +339,7 @@ def oof_fold(df: DataFrame, key_cols: list[str], n_folds: int = N_OOF_FOLDS) ->
 
 def target_encode_oof(train: DataFrame, cols: list[str], target: str, task: str,
                       key_cols: list[str], classes: list | None = None,
-                      n_folds: int = N_OOF_FOLDS) -> DataFrame:
+                      n_folds: int = N_OOF_FOLDS, budget_bytes: int = BUDGET_BYTES) -> DataFrame:
     """Out-of-fold target encoding of the training rows themselves.
 
     Each row is encoded with statistics of the other folds only
@@ -417,27 +396,20 @@ def target_encode_oof(train: DataFrame, cols: list[str], target: str, task: str,
         gv = F.try_divide(g_of(f"q_{y}", F.col("__fold")), gn) - gm * gm
         enc = F.when(n > 0, _shrunk(n, mean, var_w, gm, gv)).otherwise(gm)
         out_cols.append((enc + F.lit(centre[y])).alias(f"{y}_enc"))
-    enc_tab = materialize(stats.select("col", "value", "__fold", *out_cols))
+    entries = materialize(stats.select(
+        entry_key(F.col("col"), F.col("value"), F.col("__fold")).alias("key"), F.col("f_n").alias("cnt"), *out_cols))
+    table = build(entries, [f"{y}_enc" for y in ynames], budget_bytes)
     yb.unpersist()
-    out = base
-    for c in cols:
-        d = enc_tab.where(F.col("col") == c).select(
-            F.col("value").alias(f"__v_{c}"), F.col("__fold").alias(f"__f_{c}"),
-            *[F.col(f"{y}_enc").alias(f"__e_{c}_{y}") for y in ynames])
-        out = out.join(d, F.col(c).cast("string").eqNullSafe(F.col(f"__v_{c}"))
-                       & (F.col("__fold") == F.col(f"__f_{c}")), "left")
-        gm_default = {}
-        for y in ynames:
-            gn = g_of("n", F.col("__fold"))
-            gm_default[y] = F.try_divide(g_of(f"s_{y}", F.col("__fold")), gn) + F.lit(centre[y])
-        name = (lambda y: c if len(ynames) == 1 else f"{c}__te{y[3:]}")
-        rest = [x for x in out.columns if x != c]
-        out = out.select(*rest, *[F.coalesce(F.col(f"__e_{c}_{y}"), gm_default[y]).alias(name(y))
-                                  for y in ynames]) \
-            .drop(f"__v_{c}", f"__f_{c}", *[f"__e_{c}_{y}" for y in ynames])
-    names = [x for x in train.columns if x not in cols]
-    names += [(c if len(ynames) == 1 else f"{c}__te{y[3:]}") for c in cols for y in ynames]
-    return out.select(*names)
+    unseen = {y: F.try_divide(g_of(f"s_{y}", F.col("__fold")), g_of("n", F.col("__fold"))) + F.lit(centre[y])
+              for y in ynames}
+
+    def use(c, entry):
+        return [F.coalesce(entry[f"{y}_enc"], unseen[y]).alias(name)
+                for y, name in zip(ynames, _encoded_names(c, ynames))]
+
+    out = table.apply(base, {c: entry_key(c, F.col(c), F.col("__fold")) for c in cols}, use)
+    return out.select(*[x for x in train.columns if x not in cols],
+                      *[n for c in cols for n in _encoded_names(c, ynames)])
 
 
 # --------------------------------------------------------------------------- #

@@ -4,11 +4,22 @@ Train vectors of at most ``BROADCAST_BYTES`` (counted first) are sent to every
 task and the test rows stream past them: no row of either side is copied, and
 nothing but the test rows is shuffled.
 
-Beyond that bound the train rows are hashed into R blocks and the test rows
-into T blocks of about ``block_rows``; each (test block, train block) pair is
-one group, scored with one matrix product in ``applyInPandas``.  A group emits
-only its k best train rows per test row; a window over the (at most R*k)
-candidates of each test row keeps the final k.
+Beyond that bound the train rows are laid out by pivots, a few of their own
+vectors.  A row belongs to its nearest pivot, there to a ring of distances from
+it, and a ring of many rows is dealt over several units by hash, so that a unit
+holds about ``block_rows`` rows even where all vectors are equal.  A test row
+
+1. visits one unit of the ring around its nearest pivot that lies closest, which
+   gives it k train rows and their largest distance t (pivots and rings alone
+   give an upper bound too, and the smaller one counts);
+2. then only the units that may hold a row within t: by the triangle inequality
+   a row of a ring (lo, hi) around pivot p is no nearer than ``d(q, p) - hi`` and
+   ``lo - d(q, p)``, and as it is nearer to p than to the test row's own pivot a,
+   no nearer than ``(d(q, p)^2 - d(q, a)^2) / (2 d(a, p))``.
+
+A unit that many test rows visit is read once per ``block_rows`` of them.  Each
+(unit, part of its visitors) is one matrix product in ``applyInPandas``, emitting
+at most k rows per visitor; a window over these keeps the final k.
 
 Both ways give the same rows; ties go to the smaller train id.  No row pair is
 ever a Spark row, and work per task is bounded.
@@ -30,7 +41,11 @@ BLOCK_ROWS = 2048
 BROADCAST_BYTES = 64 << 20
 #: distances held at once
 TILE_CELLS = 1 << 22
-_OUT_SCHEMA = "qid long, rid long, dist double"
+#: bounds of what is sent to every task: pivots (also by ``PIVOT_BYTES``), rings of
+#: each, and units of all (beyond that, units of more rows)
+MAX_PIVOTS, PIVOT_BYTES, RINGS, MAX_UNITS = 1024, 8 << 20, 16, 1 << 15
+_LOCATED = "id long, x array<double>, pivot int, d double"
+_CANDIDATE = "qid long, rid long, dist double"
 
 
 def _nearest(qid: np.ndarray, A: np.ndarray, rid: np.ndarray, B: np.ndarray, k: int) -> pd.DataFrame:
@@ -59,18 +74,6 @@ def _vectors(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return pdf["id"].to_numpy().astype("int64"), np.stack(pdf["x"].to_numpy()).astype("float64")
 
 
-def _block_topk(k: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        tr = pdf[pdf["side"] == 0]
-        te = pdf[pdf["side"] == 1]
-        if tr.empty or te.empty:
-            return pd.DataFrame({"qid": pd.Series([], dtype="int64"),
-                                 "rid": pd.Series([], dtype="int64"),
-                                 "dist": pd.Series([], dtype="float64")})
-        return _nearest(*_vectors(te), *_vectors(tr), k).drop(columns="nn_rank")
-    return run
-
-
 def _streamed(tr: DataFrame, te: DataFrame, k: int, n_test: int) -> DataFrame:
     """Test rows past the broadcast train vectors."""
     sc = tr.sparkSession.sparkContext
@@ -87,36 +90,215 @@ def _streamed(tr: DataFrame, te: DataFrame, k: int, n_test: int) -> DataFrame:
     return te.repartition(parts, "id").mapInPandas(run, "qid long, nn_rank int, rid long, dist double")
 
 
+def _distances(A: np.ndarray, B: np.ndarray) -> np.ndarray:
+    """Distances of all rows of A to all of B, to rounding of the fast formula."""
+    d2 = (A * A).sum(1)[:, None] + (B * B).sum(1)[None, :] - 2.0 * (A @ B.T)
+    return np.sqrt(np.maximum(d2, 0.0))
+
+
+def _exact(A: np.ndarray, B: np.ndarray) -> np.ndarray:
+    return np.sqrt(((A - B) ** 2).sum(1))
+
+
+def _pivots(tr: DataFrame, want: int) -> np.ndarray:
+    """Different train vectors, the first by hash."""
+    rows = tr.select("id", "x").orderBy(F.xxhash64("id"), "id").limit(want).collect()
+    return np.unique(np.array([r["x"] for r in rows], np.float64), axis=0)
+
+
+def _located(side: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """Nearest pivot of every row and the distance to it."""
+    sent = side.sparkSession.sparkContext.broadcast(pivots)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        P = sent.value
+        step = max(1, TILE_CELLS // len(P))
+        for pdf in batches:
+            for s in range(0, len(pdf), step):
+                part = pdf.iloc[s:s + step]
+                ids, X = _vectors(part)
+                at = _distances(X, P).argmin(axis=1)
+                yield pd.DataFrame({"id": ids, "x": part["x"].to_numpy(), "pivot": at.astype("int32"),
+                                    "d": _exact(X, P[at])})
+
+    return side.mapInPandas(run, _LOCATED)
+
+
+class Layout:
+    """Units of the train rows: pivot, ring bounds and number of rows of each,
+    and what they say about a test row."""
+
+    def __init__(self, pivots: np.ndarray, units: np.ndarray, k: int):
+        self.pivots, self.k = pivots, k
+        self.pivot = units[:, 0].astype(int)
+        self.lo, self.hi, self.rows = units[:, 1], units[:, 2], units[:, 3]
+        between = _distances(pivots, pivots)
+        np.fill_diagonal(between, 1.0)
+        self.between = np.maximum(between, 1e-300)
+        # per pivot: a radius that holds k of its rows
+        self.radius = np.full(len(pivots), np.inf)
+        for p in range(len(pivots)):
+            of = np.flatnonzero(self.pivot == p)
+            of = of[np.argsort(self.hi[of])]
+            enough = np.flatnonzero(np.cumsum(self.rows[of]) >= k)
+            if len(enough):
+                self.radius[p] = self.hi[of[enough[0]]]
+
+    def bounds(self, X: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Per row: an upper bound of its k-th distance, and for every unit a
+        lower bound of the distance to its rows (both with a rounding margin)."""
+        to = _distances(X, self.pivots)
+        a = to.argmin(axis=1)
+        own = to[np.arange(len(X)), a]
+        slack = 1e-6 * (np.sqrt((X * X).sum(1)) + np.sqrt((self.pivots ** 2).sum(1)).max()) + 1e-12
+        upper = (to + self.radius[None, :]).min(axis=1) + slack
+        plane = (to ** 2 - own[:, None] ** 2) / (2 * self.between[a])
+        plane[np.arange(len(X)), a] = 0.0
+        here = to[:, self.pivot]
+        lower = np.maximum(np.maximum(here - self.hi, self.lo - here), plane[:, self.pivot])
+        return upper, lower - slack[:, None]
+
+
+def _layout(tr: DataFrame, pivots: np.ndarray, k: int, block_rows: int) -> tuple[DataFrame, Layout]:
+    """Train rows with their unit, and the units."""
+    spark = tr.sparkSession
+    located = _located(tr, pivots).checkpoint()
+    cells = located.groupBy("pivot").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.percentile_approx("d", [i / RINGS for i in range(1, RINGS)], 1000).alias("cuts")).collect()
+    # as many rings as the cell has units of block_rows, of even numbers of rows
+    cuts = [(c["pivot"], [c["cuts"][i * RINGS // m - 1] for i in range(1, m)])
+            for c in cells for m in [min(RINGS, math.ceil(c["n"] / block_rows))]]
+    cuts = F.broadcast(spark.createDataFrame(cuts, "pivot int, cuts array<double>"))
+    ringed = located.join(cuts, "pivot") \
+        .withColumn("ring", F.size(F.filter("cuts", lambda c: c < F.col("d")))).drop("cuts")
+    rings = ringed.groupBy("pivot", "ring").agg(
+        F.count(F.lit(1)).alias("n"), F.min("d").alias("lo"), F.max("d").alias("hi")) \
+        .orderBy("pivot", "ring").collect()
+    units, first = [], []
+    for r in rings:
+        parts = math.ceil(r["n"] / block_rows)
+        first.append((r["pivot"], r["ring"], len(units), parts))
+        units += [(r["pivot"], r["lo"], r["hi"], r["n"] / parts)] * parts
+    table = F.broadcast(spark.createDataFrame(first, "pivot int, ring int, first int, parts int"))
+    placed = ringed.join(table, ["pivot", "ring"]).select(
+        "id", "x", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int").alias("unit"))
+    # rows of a unit aren't exactly equal in number: an even share is no promise of k rows
+    counted = placed.groupBy("unit").count().collect()
+    units = np.array(units, np.float64)
+    units[:, 3] = 0
+    for r in counted:
+        units[r["unit"], 3] = r["count"]
+    return placed, Layout(pivots, units, k)
+
+
+def _visits(placed: DataFrame, rows: np.ndarray, visitors: DataFrame, k: int,
+            block_rows: int) -> tuple[DataFrame, dict[str, int]]:
+    """(qid, rid, dist): the k nearest rows of the unit to each (id, x, unit)
+    visitor, and how many rows were copied for it."""
+    spark = placed.sparkSession
+    counts = {r["unit"]: (r["count"], math.ceil(r["count"] / block_rows))
+              for r in visitors.groupBy("unit").count().collect()}
+    schema = "unit int, visits long, parts int"
+    parts = F.broadcast(spark.createDataFrame([(u, n, p) for u, (n, p) in counts.items()], schema)
+                        if counts else spark.createDataFrame([], schema))
+    train = placed.join(parts, "unit").select(
+        "unit", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"), "id", "x")
+    test = visitors.join(parts, "unit").select(
+        "unit", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("side"), "id", "x")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        tr, te = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        if tr.empty or te.empty:
+            return pd.DataFrame({"qid": pd.Series([], dtype="int64"), "rid": pd.Series([], dtype="int64"),
+                                 "dist": pd.Series([], dtype="float64")})
+        return _nearest(*_vectors(te), *_vectors(tr), k).drop(columns="nn_rank")
+
+    found = train.unionByName(test).groupBy("unit", "part").applyInPandas(run, _CANDIDATE)
+    return found, {"train": int(sum(rows[u] * p for u, (_, p) in counts.items())),
+                   "test": sum(n for n, _ in counts.values())}
+
+
+def _by_pivots(tr: DataFrame, te: DataFrame, k: int, n_train: int, n_features: int, block_rows: int,
+               log: dict | None) -> DataFrame:
+    sc = tr.sparkSession.sparkContext
+    block_rows = max(block_rows, math.ceil(n_train / MAX_UNITS))
+    want = min(max(1, math.ceil(n_train / block_rows)), MAX_PIVOTS, max(1, PIVOT_BYTES // (8 * n_features)))
+    placed, layout = _layout(tr, _pivots(tr, want), k, block_rows)
+    placed = placed.checkpoint()
+    sent = sc.broadcast(layout)
+
+    def first_unit(batches):
+        """The unit each test row visits first, and the bound known without it."""
+        lay = sent.value
+        step = max(1, TILE_CELLS // len(lay.pivot))
+        for pdf in batches:
+            for s in range(0, len(pdf), step):
+                part = pdf.iloc[s:s + step]
+                ids, X = _vectors(part)
+                upper, lower = lay.bounds(X)
+                # a unit with k rows if there is one; equally near ones are dealt by id
+                lower = np.where(lay.rows >= k, lower, lower + lower.max(initial=0.0) - lower.min(initial=0.0) + 1.0)
+                near = lower <= lower.min(axis=1, keepdims=True)
+                turn = ids % near.sum(axis=1)
+                unit = (near.cumsum(axis=1) > turn[:, None]).argmax(axis=1)
+                yield pd.DataFrame({"id": ids, "x": part["x"].to_numpy(), "unit": unit.astype("int32"),
+                                    "upper": upper})
+
+    home = te.mapInPandas(first_unit, "id long, x array<double>, unit int, upper double").checkpoint()
+    found, copied = _visits(placed, layout.rows, home.select("id", "x", "unit"), k, block_rows)
+    found = found.checkpoint()
+    reached = found.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("far")) \
+        .where(F.col("n") >= k).select(F.col("qid").alias("id"), "far")
+    open_rows = home.join(reached, "id", "left").withColumn("upper", F.least("upper", F.col("far"))).drop("far")
+
+    def others(batches):
+        """A row per further unit that may hold a neighbour."""
+        lay = sent.value
+        step = max(1, TILE_CELLS // len(lay.pivot))
+        for pdf in batches:
+            for s in range(0, len(pdf), step):
+                part = pdf.iloc[s:s + step]
+                ids, X = _vectors(part)
+                _, lower = lay.bounds(X)
+                visit = lower <= part["upper"].to_numpy()[:, None] * (1 + 1e-9)
+                visit[np.arange(len(part)), part["unit"].to_numpy()] = False
+                row, unit = np.nonzero(visit)
+                xs = part["x"].to_numpy()
+                for a in range(0, len(row), 10_000):
+                    r = row[a:a + 10_000]
+                    yield pd.DataFrame({"id": ids[r], "x": xs[r], "unit": unit[a:a + 10_000].astype("int32")})
+
+    further = open_rows.mapInPandas(others, "id long, x array<double>, unit int").checkpoint()
+    more, copied_too = _visits(placed, layout.rows, further, k, block_rows)
+    if log is not None:
+        log.update(units=len(layout.pivot), train_copies=copied["train"] + copied_too["train"],
+                   test_copies=copied["test"] + copied_too["test"])
+    w = Window.partitionBy("qid").orderBy("dist", "rid")
+    return found.unionByName(more).withColumn("nn_rank", F.row_number().over(w)).where(F.col("nn_rank") <= k) \
+        .select("qid", "nn_rank", "rid", "dist")
+
+
 def knn_neighbors(train: DataFrame, test: DataFrame, features: list[str], train_id: str,
                   test_id: str, k: int = DEFAULT_K, block_rows: int = BLOCK_ROWS,
                   n_train: int | None = None, n_test: int | None = None,
-                  broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+                  broadcast_bytes: int = BROADCAST_BYTES, log: dict | None = None) -> DataFrame:
     """``(qid, nn_rank, rid, dist)``: the k nearest train rows of every test row.
 
     Ids must be integral and unique per side; ties in distance go to the
-    smaller train id.
+    smaller train id.  ``log`` gets the number of units and of rows that were
+    sent to them, where the search goes by pivots.
     """
     n_train = train.count() if n_train is None else n_train
     n_test = test.count() if n_test is None else n_test
     vec = F.array(*[F.col(f).cast("double") for f in features])
     tr = train.select(F.col(train_id).cast("long").alias("id"), vec.alias("x"))
     te = test.select(F.col(test_id).cast("long").alias("id"), vec.alias("x"))
-    if n_train and n_test and n_train * (8 * len(features) + 8) <= broadcast_bytes:
+    if not n_train or not n_test:
+        return tr.sparkSession.createDataFrame([], "qid long, nn_rank int, rid long, dist double")
+    if n_train * (8 * len(features) + 8) <= broadcast_bytes:
         return _streamed(tr, te, k, n_test)
-    R = max(1, math.ceil(n_train / block_rows))
-    T = max(1, math.ceil(n_test / block_rows))
-    tr = tr.withColumn("rb", F.pmod(F.xxhash64("id"), F.lit(R)).cast("int")) \
-        .withColumn("tb", F.explode(F.sequence(F.lit(0), F.lit(T - 1)))) \
-        .withColumn("side", F.lit(0))
-    te = te.withColumn("tb", F.pmod(F.xxhash64("id"), F.lit(T)).cast("int")) \
-        .withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(R - 1)))) \
-        .withColumn("side", F.lit(1))
-    cols = ["tb", "rb", "side", "id", "x"]
-    both = tr.select(*cols).unionByName(te.select(*cols))
-    cand = both.groupBy("tb", "rb").applyInPandas(_block_topk(k), _OUT_SCHEMA)
-    w = Window.partitionBy("qid").orderBy("dist", "rid")
-    return cand.withColumn("nn_rank", F.row_number().over(w)).where(F.col("nn_rank") <= k) \
-        .select("qid", "nn_rank", "rid", "dist")
+    return _by_pivots(tr, te, k, n_train, len(features), block_rows, log)
 
 
 def knn_predict(train: DataFrame, test: DataFrame, features: list[str], train_id: str,

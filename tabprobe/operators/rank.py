@@ -70,6 +70,35 @@ def join_on(left: DataFrame, right: DataFrame, cols: list[str], how: str = "inne
     return out.drop(*ren.values())
 
 
+#: keys of more rows than one in ``HOT_KEYS`` of a table, and more than ``HOT_ROWS``,
+#: are joined by broadcast: at most ``HOT_KEYS`` of them
+HOT_KEYS, HOT_ROWS = 2000, 10_000
+
+
+def join_hot(big: DataFrame, table: DataFrame, cols: list[str], key_rows: str,
+             hot_rows: int = HOT_ROWS, small_rows: int = SMALL_ROWS) -> DataFrame:
+    """``big`` joined with ``table`` (checkpointed, one row per key), whose column
+    ``key_rows`` counts the key's rows in ``big``, or bounds them.
+
+    A table of at most ``small_rows`` is broadcast.  Of a larger one, the keys that
+    hold the most rows are few and are sent to all tasks, so that their rows stay
+    where they are; only the others are shuffled, and no key among these holds more
+    than one in ``HOT_KEYS`` of all rows (or ``hot_rows``).
+    """
+    payload = [c for c in table.columns if c != key_rows]
+    n, total = table.agg(F.count(F.lit(1)), F.sum(key_rows)).first()
+    if n <= small_rows:
+        return join_on(big, F.broadcast(table.select(*payload)), cols)
+    limit = max(hot_rows, total // HOT_KEYS)
+    hot = table.where(F.col(key_rows) > limit).select(*payload).collect()
+    table = table.where(F.col(key_rows) <= limit).select(*payload)
+    if not hot:
+        return join_on(big, table, cols)
+    sent = F.broadcast(big.sparkSession.createDataFrame(hot, table.schema))
+    rest = join_on(big, sent.select(*cols), cols, "left_anti")
+    return join_on(big, sent, cols).unionByName(join_on(rest, table, cols))
+
+
 def _n_buckets(agg: DataFrame, group_cols: list[str], rows_per_bucket: int) -> int:
     """1 if every group fits one window task, else buckets of about ``rows_per_bucket`` rows."""
     sizes = agg.groupBy(*group_cols).count() if group_cols else agg.agg(F.count(F.lit(1)).alias("count"))

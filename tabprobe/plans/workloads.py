@@ -1504,3 +1504,15 @@ def q_label_coder(spark, sf):
     tr = train_test(s)[0].where(~F.col("o_orderpriority").eqNullSafe("5-LOW"))
     coder = E.fit_label_coder(tr, "o_orderpriority")
     return s.select("o_orderkey", "is_test", coder.code(F.col("o_orderpriority")).alias("code"))
+
+
+SQL["knn_topk_pivots"] = SQL["knn_topk"]
+
+
+@register("knn_topk_pivots")
+def q_knn_topk_pivots(spark, sf):
+    """The search past the broadcast bound: by pivots, units and distance bounds."""
+    tr, te = train_test(emb_split(spark, sf))
+    nb = knn_neighbors(tr, te, _FS, "vec_id", "vec_id", k=10, block_rows=64, broadcast_bytes=0)
+    return nb.select("qid", F.col("nn_rank").cast("long").alias("nn_rank"), "rid",
+                     r6(F.col("dist")).alias("dist"))
