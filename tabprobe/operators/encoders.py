@@ -253,6 +253,45 @@ def fit_one_hot(train: DataFrame, cols: list[str]) -> OneHotModel:
     return OneHotModel(cats)
 
 
+@dataclass
+class SparseOneHotModel:
+    """One sparse vector column ``<c>__onehot`` per categorical column."""
+    cols: list[str]
+    codes: Lookup
+    sizes: dict[str, int]
+
+    def output_columns(self) -> list[str]:
+        return [f"{c}__onehot" for c in self.cols]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        from pyspark.ml.feature import OneHotEncoder
+
+        def use(c, entry):
+            size = self.sizes.get(c, 0)
+            # an unseen or missing value has the number after the last: a slot no train row fills
+            nominal = {"ml_attr": {"type": "nominal", "name": c, "num_vals": size + 1}}
+            return [F.coalesce(entry["code"], F.lit(size)).cast("double").alias(f"__slot_{c}", metadata=nominal)]
+
+        keys = {c: F.when(F.col(c).isNotNull(), entry_key(c, F.col(c))) for c in self.cols}
+        slots = self.codes.apply(df, keys, use)
+        hot = OneHotEncoder(inputCols=[f"__slot_{c}" for c in self.cols], outputCols=self.output_columns(),
+                            dropLast=False).fit(slots)
+        return hot.transform(slots).drop(*[f"__slot_{c}" for c in self.cols])
+
+
+def fit_one_hot_sparse(train: DataFrame, cols: list[str], budget_bytes: int = BUDGET_BYTES) -> SparseOneHotModel:
+    """One-hot coding of any number of categories: a category is a position in a
+    sparse vector, found by lookup, so no column, expression or driver row is spent
+    on it.  All train categories kept; an unseen value fills a position of its own
+    that is zero in every train row."""
+    model = fit_ordinal(train, cols, budget_bytes)
+    entries = model.codes.hot if model.codes.cold is None else model.codes.hot.unionByName(model.codes.cold)
+    # a number per column
+    name = F.element_at(F.split("key", "\x1f"), 1)
+    sizes = {r[0]: r[1] + 1 for r in entries.groupBy(name).agg(F.max("code")).collect()}
+    return SparseOneHotModel(list(cols), model.codes, sizes)
+
+
 # --------------------------------------------------------------------------- #
 # E6 target encoding (empirical-Bayes shrinkage to the global mean)
 # --------------------------------------------------------------------------- #
@@ -277,9 +316,17 @@ def target_columns(df: DataFrame, target: str, task: str,
     return ys, [f"__y{i}" for i in range(len(classes))]
 
 
+#: classes of a classification; each has an output of its own
+MAX_CLASSES = 10_000
+
+
 def train_classes(train: DataFrame, target: str) -> list:
-    return [r[0] for r in train.select(target).where(F.col(target).isNotNull())
-            .distinct().orderBy(target).collect()]
+    """The sorted labels; more than ``MAX_CLASSES`` of them are an error."""
+    found = [r[0] for r in train.select(target).where(F.col(target).isNotNull()).distinct()
+             .limit(MAX_CLASSES + 1).collect()]
+    if len(found) > MAX_CLASSES:
+        raise ValueError(f"{target} has more than {MAX_CLASSES} classes")
+    return sorted(found)
 
 
 def _encoded_names(c: str, ynames: list[str]) -> list[str]:
@@ -415,6 +462,36 @@ def target_encode_oof(train: DataFrame, cols: list[str], target: str, task: str,
 # --------------------------------------------------------------------------- #
 # E7-E10 composites
 # --------------------------------------------------------------------------- #
+@dataclass
+class CrossFitted:
+    """Target codes: those of the training rows come from the other folds, all other
+    rows' from the whole training fold."""
+    model: TargetModel
+    target: str
+    task: str
+    key_cols: list[str]
+    classes: list | None
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.model.transform(df)
+
+    def transform_train(self, df: DataFrame) -> DataFrame:
+        return target_encode_oof(df, self.model.cols, self.target, self.task, self.key_cols, self.classes)
+
+
+def _target_step(train: DataFrame, cat: list[str], target: str | None, task: str, encoding: str,
+                 key_cols: list[str] | None):
+    if target is None:
+        raise ValueError(f"{encoding} encoding needs the target")
+    classes = None if task == "regression" else train_classes(train, target)
+    model = fit_target_encoder(train, cat, target, task, classes)
+    if encoding == "target":
+        return model
+    if not key_cols:
+        raise ValueError("cross-fitted target encoding needs the row key")
+    return CrossFitted(model, target, task, list(key_cols), classes)
+
+
 @dataclass
 class Chain:
     steps: list = field(default_factory=list)
@@ -425,6 +502,12 @@ class Chain:
             df = s.transform(df)
         return df
 
+    def transform_train(self, df: DataFrame) -> DataFrame:
+        """The training rows themselves: as ``transform``, but for cross-fitted codes."""
+        for s in self.steps:
+            df = getattr(s, "transform_train", s.transform)(df)
+        return df
+
     @property
     def categorical_columns(self) -> tuple[str, ...]:
         return tuple(self.categorical)
@@ -461,17 +544,24 @@ def fit_prep_for_generation(train: DataFrame, features: list[str], categorical:
 
 
 def fit_tree_encoder(train: DataFrame, features: list[str], target: str | None = None,
-                     task: str = "classification", categorical_encoding: str = "ordinal") -> Chain:
+                     task: str = "classification", categorical_encoding: str = "ordinal",
+                     key_cols: list[str] | None = None) -> Chain:
+    """``categorical_encoding``: ordinal, target or target_oof."""
     cat, _ = split_columns(train.select(*features))
-    if categorical_encoding == "target":
-        if target is None:
-            raise ValueError("tree encoder with target encoding needs the target")
-        return Chain([fit_target_encoder(train, cat, target, task)] if cat else [], cat)
-    return Chain([fit_ordinal(train, cat)] if cat else [], cat)
+    if categorical_encoding == "ordinal":
+        return Chain([fit_ordinal(train, cat)] if cat else [], cat)
+    if categorical_encoding not in ("target", "target_oof"):
+        raise ValueError(f"unknown categorical encoding {categorical_encoding!r}")
+    if target is None:
+        raise ValueError(f"{categorical_encoding} encoding needs the target")
+    return Chain([_target_step(train, cat, target, task, categorical_encoding, key_cols)] if cat else [], cat)
 
 
 def fit_linear_encoder(train: DataFrame, features: list[str], target: str | None = None,
-                       task: str = "classification", categorical_encoding: str = "onehot") -> Chain:
+                       task: str = "classification", categorical_encoding: str = "onehot",
+                       key_cols: list[str] | None = None) -> Chain:
+    """``categorical_encoding``: onehot (a column per category), onehot_sparse (a sparse
+    vector per column), target or target_oof."""
     cat, num = split_columns(train.select(*features))
     steps = []
     if num:
@@ -482,12 +572,14 @@ def fit_linear_encoder(train: DataFrame, features: list[str], target: str | None
         mode = fit_mode_imputer(train, cat)
         steps.append(mode)
         filled = mode.transform(train.select(*cat, *([target] if target else [])))
-        if categorical_encoding == "target":
-            if target is None:
-                raise ValueError("linear encoder with target encoding needs the target")
-            steps.append(fit_target_encoder(filled, cat, target, task))
-        else:
+        if categorical_encoding == "onehot":
             steps.append(fit_one_hot(filled, cat))
+        elif categorical_encoding == "onehot_sparse":
+            steps.append(fit_one_hot_sparse(filled, cat))
+        elif categorical_encoding in ("target", "target_oof"):
+            steps.append(_target_step(filled, cat, target, task, categorical_encoding, key_cols))
+        else:
+            raise ValueError(f"unknown categorical encoding {categorical_encoding!r}")
     return Chain(steps, cat)
 
 
@@ -509,10 +601,9 @@ class LabelCoder:
     classes: list
 
     def code(self, c: Column) -> Column:
-        e = F.lit(None).cast("int")
-        for i, k in reversed(list(enumerate(self.classes))):
-            e = F.when(c == F.lit(k), F.lit(i)).otherwise(e)
-        return e
+        """Position of the label among the classes, NULL if it is none of them."""
+        at = F.array_position(F.array(*[F.lit(k) for k in self.classes]), c) if self.classes else F.lit(0)
+        return F.when(at > 0, (at - 1).cast("int"))
 
 
 def fit_label_coder(train: DataFrame, target: str) -> LabelCoder:

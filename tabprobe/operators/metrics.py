@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import finite_or_null
 from .rank import cumulative_before
 
 
@@ -56,14 +57,20 @@ def auc_ovr_macro(df: DataFrame, label: Column, scores: Column, classes_col: Col
 
 
 def regression_scores(df: DataFrame, y: Column, pred: Column, group_cols: list[str] = ()) -> DataFrame:
-    """R^2 = 1 - SS_res / SS_tot (may be very negative) and MAE, per group."""
+    """R^2 = 1 - SS_res / SS_tot (may be very negative) and MAE, per group.
+
+    A NaN or infinite label or prediction is missing like a NULL one: its row isn't
+    scored.  ``n_missing`` counts rows with a label and no prediction, so that a
+    caller can refuse a model that leaves test rows out.
+    """
     g = list(group_cols)
-    base = df.select(*g, y.cast("double").alias("__y"), pred.cast("double").alias("__p")) \
-        .where(F.col("__y").isNotNull() & F.col("__p").isNotNull())
-    aggs = [F.count(F.lit(1)).alias("n"),
+    labelled = df.select(*g, finite_or_null(y).alias("__y"), finite_or_null(pred).alias("__all")) \
+        .where(F.col("__y").isNotNull())
+    base = labelled.select(*g, F.when(F.col("__all").isNotNull(), F.col("__y")).alias("__y"), F.col("__all").alias("__p"))
+    aggs = [F.count("__p").alias("n"), F.sum(F.col("__p").isNull().cast("long")).alias("n_missing"),
             F.sum((F.col("__y") - F.col("__p")) ** 2).alias("ss_res"),
-            (F.var_pop("__y") * F.count(F.lit(1))).alias("ss_tot"),
+            (F.var_pop("__y") * F.count("__p")).alias("ss_tot"),
             F.avg(F.abs(F.col("__y") - F.col("__p"))).alias("mae")]
     red = base.groupBy(*g).agg(*aggs) if g else base.agg(*aggs)
     r2 = F.lit(1.0) - F.try_divide(F.col("ss_res"), F.col("ss_tot"))
-    return red.select(*g, "n", r2.alias("r2"), "mae")
+    return red.select(*g, "n", r2.alias("r2"), "mae", "n_missing")

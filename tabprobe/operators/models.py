@@ -60,6 +60,10 @@ def _assemble(df: DataFrame, features: list[str], n_rows: int | None = None) ->
     return out
 
 
+def _has_vectors(df: DataFrame, features: list[str]) -> bool:
+    return any(df.schema[f].dataType.typeName() == "vectorudt" for f in features)
+
+
 def _knn_sides(train: DataFrame, test: DataFrame, row_id: str, max_train_rows: int | None):
     """Both sides with a number per row; the train side whole, or, for a
     classifier, a hash sample of ``max_train_rows`` labelled rows if asked for."""
@@ -71,6 +75,19 @@ def _knn_sides(train: DataFrame, test: DataFrame, row_id: str, max_train_rows: i
     return tuple(side.withColumn("__nid", number).checkpoint() for side in (train, test))
 
 
+def logistic_estimator(n_rows: int) -> LogisticRegression:
+    """The protocol's logistic regression (sum of losses, squared weights over 2C)."""
+    return LogisticRegression(featuresCol="__features", labelCol="__c", regParam=1.0 / (LOGISTIC_C * max(n_rows, 1)),
+                              elasticNetParam=0.0, standardization=False, maxIter=LOGISTIC_MAX_ITER, tol=1e-9)
+
+
+def _regression_row(scored: DataFrame, pred: str) -> dict:
+    r = regression_scores(scored, F.col("__y"), F.col(pred)).first()
+    if r["n_missing"]:
+        raise ValueError(f"no finite prediction for {r['n_missing']} test rows")
+    return {"metric": "r2", "value": r["r2"], "mae": r["mae"]}
+
+
 def fit_and_score(family: str, task: str, train: DataFrame, test: DataFrame,
                   features: list[str], label: str, row_id: str, seed: int = 0,
                   tree_rounds: int = TREE_ROUNDS, knn_train_rows: int | None = None) -> dict:
@@ -91,8 +108,7 @@ def fit_and_score(family: str, task: str, train: DataFrame, test: DataFrame,
             pred = knn_predict(trs, tes, features, "__nid", "__nid", label, task, k=KNN_K)
             scored = tes.select(F.col("__nid").alias("qid"), y.alias("__y")) \
                 .join(pred, "qid", "left")
-            r = regression_scores(scored, F.col("__y"), F.col("pred")).first()
-            return {"metric": "r2", "value": r["r2"], "mae": r["mae"]}
+            return _regression_row(scored, "pred")
         if family == "tree":
             trn, tst, feats = _tree_ready(train, test, features)
             est = GBTRegressor(featuresCol="__features", labelCol="__y", maxIter=tree_rounds,
@@ -102,13 +118,13 @@ def fit_and_score(family: str, task: str, train: DataFrame, test: DataFrame,
             st = trn.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(y).alias("sd")).first()
             reg = RIDGE_ALPHA * (st["sd"] or 0.0) / max(st["n"], 1)
             est = LinearRegression(featuresCol="__features", labelCol="__y", regParam=reg,
-                                   elasticNetParam=0.0, standardization=False, solver="normal")
+                                   elasticNetParam=0.0, standardization=False,
+                                   # the normal equations are for few columns
+                                   solver="l-bfgs" if _has_vectors(trn, feats) else "normal")
         tr_v = _assemble(trn.withColumn("__y", y), feats, trn.count())
         te_v = _assemble(tst.withColumn("__y", y), feats)
         model = est.fit(tr_v)
-        scored = model.transform(te_v)
-        r = regression_scores(scored, F.col("__y"), F.col("prediction")).first()
-        return {"metric": "r2", "value": r["r2"], "mae": r["mae"]}
+        return _regression_row(model.transform(te_v), "prediction")
 
     coder = fit_label_coder(train, label)
     classes = coder.classes
@@ -129,10 +145,7 @@ def fit_and_score(family: str, task: str, train: DataFrame, test: DataFrame,
                                                labelCol="__c", parallelism=len(classes))
         else:
             trn, tst, feats = train, test, features
-            n = trn.count()
-            est = LogisticRegression(featuresCol="__features", labelCol="__c",
-                                     regParam=1.0 / (LOGISTIC_C * max(n, 1)), elasticNetParam=0.0,
-                                     standardization=False, maxIter=LOGISTIC_MAX_ITER)
+            est = logistic_estimator(trn.count())
         tr_v = _assemble(trn.withColumn("__c", code.cast("double")), feats, trn.count())
         te_v = _assemble(tst.withColumn("__c", code), feats)
         out = est.fit(tr_v).transform(te_v)

@@ -19,12 +19,6 @@ FOLD_ID = "split0"
 PROTOCOL = "holdout"
 
 
-def split_plan_row(key: str, task: str, test_size: float = HOLDOUT_TEST_SIZE) -> dict:
-    """The frozen recipe for one dataset (protocol, seed, size, stratify)."""
-    return {"key": key, "protocol": PROTOCOL, "seed": seed_for_py(key),
-            "test_size": float(test_size), "stratify": task != "regression"}
-
-
 def _class_need(hashed: DataFrame, label: str, test_size: float) -> DataFrame:
     counts = hashed.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     return counts.where(F.col(label).isNotNull()).select(

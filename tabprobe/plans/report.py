@@ -14,7 +14,7 @@ import itertools
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import fmt_before_after, fmt_score, fmt_seconds, initials
+from ..functions.scalar import first_error_line, fmt_before_after, fmt_score, fmt_seconds, initials
 
 
 def ok_rows(res: DataFrame) -> DataFrame:
@@ -167,6 +167,23 @@ def summary_table(res: DataFrame) -> DataFrame:
         GROUP BY GROUPING SETS ((model_family, key, method), (model_family, method))""")
 
 
+def summary_with_failures(res: DataFrame) -> DataFrame:
+    """``summary_table`` with status ``ok``, and a row per failed (dataset, method,
+    status) with its number."""
+    nothing = F.lit(None)
+    scores = summary_table(res).select("model_family", "key", "method", "value", F.lit("ok").alias("status"),
+                                       nothing.cast("long").alias("count"))
+    failed = failure_counts(res).select(nothing.cast("string").alias("model_family"), "key", "method",
+                                        nothing.cast("double").alias("value"), "status", "count")
+    return scores.unionByName(failed)
+
+
+def failure_details(res: DataFrame) -> DataFrame:
+    """Failures by the first line of their message: how many, of how many pairs."""
+    return fail_rows(res).groupBy("status", first_error_line(F.col("error")).alias("message")).agg(
+        F.count(F.lit(1)).alias("count"), F.count_distinct("key", "method").alias("n_pairs"))
+
+
 def build_report(res: DataFrame, registry: DataFrame | None = None) -> dict[str, DataFrame]:
     """All report tables by name."""
     return {
@@ -178,4 +195,5 @@ def build_report(res: DataFrame, registry: DataFrame | None = None) -> dict[str,
         "feature_counts": feature_counts(res),
         "grouped": grouped_scores(res, registry),
         "failures": failure_counts(res),
+        "failure_details": failure_details(res),
     }

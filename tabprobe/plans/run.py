@@ -14,6 +14,7 @@ import time
 import uuid
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
@@ -24,7 +25,7 @@ from ..operators.models import MODEL_FAMILIES, TREE_ROUNDS, fit_and_score
 from ..operators.splits import FOLD_ID, PROTOCOL, add_split, hash_sample, train_test
 from ..sources.results import append_results, pending_pairs, read_results, rows_to_frame
 from ..sources.tables import Dataset, keyless_dataset
-from .methods import method_task, resolve_method
+from .methods import resolve_method
 
 DEFAULT_BUDGET_SECONDS = 300
 ROW_ID = "__rid"
@@ -48,7 +49,10 @@ class Fold:
 def iter_folds(ds: Dataset, encoding: str = "tree", categorical_encoding: str | None = None):
     """Split -> fresh encoder fitted on the training rows only -> applied to
     both folds.  ``encoding`` is "tree" (ordinal or target codes, missing
-    passed through) or "linear" (imputed, scaled, one-hot or target)."""
+    passed through) or "linear" (imputed, scaled, one-hot or target).
+    ``categorical_encoding``: the profile's default, ``target``, ``target_oof``
+    (target codes, the training rows' from the other folds) or, for linear ones,
+    ``onehot_sparse`` (a sparse vector per column)."""
     from ..operators.encoders import fit_linear_encoder, fit_tree_encoder
 
     task = ds.resolved_task()
@@ -56,12 +60,12 @@ def iter_folds(ds: Dataset, encoding: str = "tree", categorical_encoding: str |
     train, test = train_test(split)
     cols = [*ds.key_cols, ds.target]
     if encoding == "tree":
-        enc = fit_tree_encoder(train, ds.features, ds.target, task, categorical_encoding or "ordinal")
+        enc = fit_tree_encoder(train, ds.features, ds.target, task, categorical_encoding or "ordinal", ds.key_cols)
     elif encoding == "linear":
-        enc = fit_linear_encoder(train, ds.features, ds.target, task, categorical_encoding or "onehot")
+        enc = fit_linear_encoder(train, ds.features, ds.target, task, categorical_encoding or "onehot", ds.key_cols)
     else:
         raise KeyError(f"unknown encoding {encoding!r}; use 'tree' or 'linear'")
-    tr = enc.transform(train.select(*cols, *ds.features))
+    tr = enc.transform_train(train.select(*cols, *ds.features))
     te = enc.transform(test.select(*cols, *ds.features))
     feats = [c for c in tr.columns if c not in cols]
     yield Fold(FOLD_ID, tr, te, feats, enc.categorical_columns)
@@ -87,7 +91,7 @@ def run_with_budget(spark: SparkSession, fn, budget_seconds: float | None):
         except BaseException as exc:  # noqa: BLE001
             box["err"] = exc
 
-    t = threading.Thread(target=work, daemon=True)
+    t = threading.Thread(target=inheritable_thread_target(spark)(work), daemon=True)
     t.start()
     t.join(budget_seconds)
     if t.is_alive():
@@ -172,7 +176,8 @@ def run_dataset(spark: SparkSession, ds: Dataset, methods, model_families=MODEL_
             def generate():
                 t0 = time.time()
                 sample = fit_sample()
-                fitted = method.fit(sample, ds.target, method_task(task))
+                # methods know two tasks; classes beyond two don't concern them
+                fitted = method.fit(sample, ds.target, task if task == "regression" else "classification")
                 t1 = time.time()
                 # checkpoint: generated folds are re-read by every family and
                 # joined to their own derivatives; this cuts lineage and
@@ -242,7 +247,8 @@ def _score_all(spark, scoring, task, target, tree_rounds, max_parallel) -> list[
     if not scoring:
         return []
     with ThreadPoolExecutor(max_workers=max(1, min(max_parallel, len(scoring)))) as pool:
-        return list(pool.map(one, scoring))
+        jobs = [pool.submit(inheritable_thread_target(spark)(one), item) for item in scoring]
+        return [job.result() for job in jobs]
 
 
 def _pending(spark: SparkSession, datasets: list[Dataset], methods, out_dir: str | None, resume: bool,
@@ -258,19 +264,45 @@ def _pending(spark: SparkSession, datasets: list[Dataset], methods, out_dir: str
     return {ds.name: [m for name, m in named if (ds.name, name) in left] for ds in datasets}
 
 
+#: datasets of a sweep that run at the same time
+DATASETS_AT_ONCE = 2
+
+
+def _sweep(spark: SparkSession, todo: list[Dataset], run_one, at_once: int) -> list[list[dict]]:
+    """``run_one(ds)`` for all datasets in order, ``at_once`` at a time, the jobs of each
+    in a scheduler pool of its own (with ``spark.scheduler.mode=FAIR`` pools share the
+    cores evenly, so that a large dataset doesn't hold up the small ones)."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    def pooled(ds: Dataset):
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"dataset-{ds.name}")
+        try:
+            return run_one(ds)
+        finally:
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
+
+    if at_once <= 1 or len(todo) <= 1:
+        return [run_one(ds) for ds in todo]
+    with ThreadPoolExecutor(max_workers=min(at_once, len(todo))) as pool:
+        # wrapped one by one: each thread has local properties of its own
+        jobs = [pool.submit(inheritable_thread_target(spark)(pooled), ds) for ds in todo]
+        return [job.result() for job in jobs]
+
+
 def run_benchmark(spark: SparkSession, datasets: list[Dataset], methods, out_dir: str,
                   model_families=MODEL_FAMILIES, resume: bool = True, retry_failed: bool = False,
-                  **kw) -> tuple[int, str]:
+                  datasets_at_once: int = DATASETS_AT_ONCE, **kw) -> tuple[int, str]:
     """Every pending (dataset, method) pair: one split and preparation per
-    dataset, rows appended per pair."""
+    dataset, rows stored per pair."""
     pending = _pending(spark, datasets, methods, out_dir, resume, retry_failed)
-    n = 0
-    for ds in datasets:
-        if pending[ds.name]:
-            n += len(run_dataset(
-                spark, ds, pending[ds.name], model_families,
-                on_rows=lambda rows: append_results(rows_to_frame(spark, rows), out_dir), **kw))
-    return n, out_dir
+
+    def one(ds: Dataset) -> list[dict]:
+        return run_dataset(
+            spark, ds, pending[ds.name], model_families,
+            on_rows=lambda rows: append_results(rows_to_frame(spark, rows), out_dir), **kw)
+
+    todo = [ds for ds in datasets if pending[ds.name]]
+    return sum(map(len, _sweep(spark, todo, one, datasets_at_once))), out_dir
 
 
 @dataclass
@@ -282,15 +314,22 @@ class CompareResult:
         return rows_to_frame(self.spark, self.rows)
 
     def summary(self) -> DataFrame:
-        from .report import summary_table
+        """Scores by family, dataset and method with a mean row (no key) per family and
+        method, status ``ok``; then the failures: dataset, method, status and ``count``."""
+        from .report import summary_with_failures
 
-        return summary_table(self.to_frame())
+        return summary_with_failures(self.to_frame())
 
     def __repr__(self) -> str:
-        rows = self.summary().orderBy("model_family", F.col("key").isNull(), "key", "method").collect()
-        return "\n".join([f"{'family':8} {'dataset':24} {'method':20} score"] + [
-            f"{r['model_family'] or '':8} {r['key'] or '(mean)':24} {r['method']:20} "
-            f"{'' if r['value'] is None else format(r['value'], '.4f')}" for r in rows])
+        rows = self.summary().orderBy("model_family", F.col("key").isNull(), "key", "method", "status").collect()
+        scores = [r for r in rows if r["status"] == "ok"]
+        failed = [r for r in rows if r["status"] != "ok"]
+        out = [f"{'family':8} {'dataset':24} {'method':20} score"] if scores else ["No pair has a score."]
+        out += [f"{r['model_family'] or '':8} {r['key'] or '(mean)':24} {r['method']:20} "
+                f"{'' if r['value'] is None else format(r['value'], '.4f')}" for r in scores]
+        if failed:
+            out += ["Failures"] + [f"{r['key']:24} {r['method']:20} {r['status']}, {r['count']} times" for r in failed]
+        return "\n".join(out)
 
 
 def _as_dataset(item) -> Dataset:
@@ -304,19 +343,18 @@ def _as_dataset(item) -> Dataset:
 def compare(spark: SparkSession, methods, datasets: list | None = None,
             model_families=MODEL_FAMILIES, budget_seconds: float | None = None,
             out_dir: str | None = None, resume: bool = True, retry_failed: bool = False,
-            **kw) -> CompareResult:
-    """Run methods on user datasets: :class:`Dataset` objects, or
-    ``(name, df, target[, task])`` tuples for tables without a row key."""
+            datasets_at_once: int = DATASETS_AT_ONCE, **kw) -> CompareResult:
+    """Run methods (or ``(name, method)`` pairs) on user datasets: :class:`Dataset`
+    objects, or ``(name, df, target[, task])`` tuples for tables without a row key."""
     if not datasets:
         raise ValueError("compare() needs at least one dataset")
     datasets = [_as_dataset(d) for d in datasets]
     pending = _pending(spark, datasets, methods, out_dir, resume, retry_failed)
     store = (lambda rows: append_results(rows_to_frame(spark, rows), out_dir)) if out_dir else None
-    rows: list[dict] = []
-    for ds in datasets:
-        if pending[ds.name]:
-            rows += run_dataset(spark, ds, pending[ds.name], model_families,
-                                budget_seconds=budget_seconds, narrow=True, on_rows=store, **kw)
+    found = _sweep(spark, [ds for ds in datasets if pending[ds.name]], lambda ds: run_dataset(
+        spark, ds, pending[ds.name], model_families, budget_seconds=budget_seconds, narrow=True, on_rows=store,
+        **kw), datasets_at_once)
+    rows = [r for part in found for r in part]
     if out_dir:
         rows = [r.asDict() for r in read_results(spark, out_dir).collect()]
     return CompareResult(rows, spark)

@@ -899,6 +899,11 @@ def _doc_dataset(spark, sf):
     return Dataset("documents", d, "quality", ["doc_id"], task="classification", sector="text")
 
 
+SQL["method_error_rows"] = """
+SELECT 'documents' AS key, r.* FROM (VALUES ('baseline', 'ok', 'linear', NULL), ('raises', 'error', NULL, 'boom'))
+  r(method, status, model_family, error) WHERE EXISTS (SELECT 1 FROM documents)"""
+
+
 @register("method_error_rows")
 def q_method_error_rows(spark, sf):
     from ..sources.results import rows_to_frame
@@ -1331,8 +1336,7 @@ SELECT l_orderkey, l_linenumber, count(*) AS count FROM lineitem GROUP BY l_orde
 
 @register("key_duplicates")
 def q_key_duplicates(spark, sf):
-    li = read_table(spark, sf, "lineitem")
-    return li.groupBy("l_orderkey", "l_linenumber").count().where(F.col("count") > 1)
+    return C.key_duplicates(read_table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
 # --------------------------------------------------------------------------- #
@@ -1516,3 +1520,186 @@ def q_knn_topk_pivots(spark, sf):
     nb = knn_neighbors(tr, te, _FS, "vec_id", "vec_id", k=10, block_rows=64, broadcast_bytes=0)
     return nb.select("qid", F.col("nn_rank").cast("long").alias("nn_rank"), "rid",
                      r6(F.col("dist")).alias("dist"))
+
+
+# --------------------------------------------------------------------------- #
+# Missing values as NaN: the results of NULLs
+# --------------------------------------------------------------------------- #
+_NAN_COLS = ["flag", "few", "l_discount", "l_linenumber"]
+_LI_NAN_SQL = """SELECT CASE WHEN l_linenumber % 7 = 0 THEN NULL ELSE (l_linenumber % 2)::DOUBLE END AS flag,
+  CASE WHEN l_orderkey % 5 = 0 THEN NULL ELSE (l_orderkey % 3)::DOUBLE END AS few, l_discount, l_linenumber FROM lineitem"""
+SQL["infer_task_nan"] = " UNION ALL ".join(
+    f"SELECT '{c}' AS col, count(DISTINCT {c}) AS n_distinct, count(*) AS n_rows, "
+    f"{_task_case(c, 'int' if c == 'l_linenumber' else 'float')} AS task FROM ({_LI_NAN_SQL}) t" for c in _NAN_COLS)
+
+
+@register("infer_task_nan")
+def q_infer_task_nan(spark, sf):
+    nan = F.lit(float("nan"))
+    li = read_table(spark, sf, "lineitem").select(
+        F.when(F.col("l_linenumber") % 7 == 0, nan).otherwise((F.col("l_linenumber") % 2).cast("double")).alias("flag"),
+        F.when(F.col("l_orderkey") % 5 == 0, nan).otherwise((F.col("l_orderkey") % 3).cast("double")).alias("few"),
+        "l_discount", "l_linenumber")
+    return infer_task_columns(li, _NAN_COLS)
+
+
+_PRICE_GAPS = "CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE p_retailprice END"
+SQL["target_encode_nan"] = _te_sql(PART_SPLIT, "p_partkey", _PRICE_GAPS, ["p_brand", "p_type"])
+
+
+@register("target_encode_nan")
+def q_target_encode_nan(spark, sf):
+    s = add_split(read_table(spark, sf, "part"), ["p_partkey"], "part")
+    s = s.withColumn("p_retailprice", F.when(F.col("p_partkey") % 9 == 0, F.lit(float("nan")))
+                     .otherwise(F.col("p_retailprice")))
+    m = E.fit_target_encoder(train_test(s)[0], ["p_brand", "p_type"], "p_retailprice", "regression")
+    out = m.transform(s.select("p_partkey", "is_test", "p_brand", "p_type"))
+    return out.select("p_partkey", "is_test", r6(F.col("p_brand")).alias("p_brand"), r6(F.col("p_type")).alias("p_type"))
+
+
+SQL["r2_mae_nan"] = """
+SELECT l_returnflag, count(p) AS n, count(*) - count(p) AS n_missing,
+  round(1 - sum((y - p) ^ 2) / (var_pop(y) FILTER (p IS NOT NULL) * count(p)), 6) AS r2, round(avg(abs(y - p)), 6) AS mae
+FROM (SELECT l_returnflag, CASE WHEN l_orderkey % 11 = 0 THEN NULL ELSE l_extendedprice END AS y,
+        CASE WHEN l_linenumber = 3 THEN NULL ELSE 950 * l_quantity + 1000 * l_tax END AS p FROM lineitem) t
+WHERE y IS NOT NULL GROUP BY l_returnflag"""
+
+
+@register("r2_mae_nan")
+def q_r2_mae_nan(spark, sf):
+    nan = F.lit(float("nan"))
+    y = F.when(F.col("l_orderkey") % 11 == 0, nan).otherwise(F.col("l_extendedprice"))
+    pred = F.when(F.col("l_linenumber") == 3, nan).otherwise(950 * F.col("l_quantity") + 1000 * F.col("l_tax"))
+    r = regression_scores(read_table(spark, sf, "lineitem"), y, pred, ["l_returnflag"])
+    return r.select("l_returnflag", "n", "n_missing", r6(F.col("r2")).alias("r2"), r6(F.col("mae")).alias("mae"))
+
+
+# --------------------------------------------------------------------------- #
+# Catalogue keys, metadata, failures by message, the result store
+# --------------------------------------------------------------------------- #
+SQL["registry_lookup"] = f"SELECT key, display, task, n_rows FROM ({REG_SQL}) r ORDER BY key LIMIT 1"
+
+
+@register("registry_lookup")
+def q_registry_lookup(spark, sf):
+    reg = registry_table(spark, sf)
+    return C.lookup(reg, C.list_keys(reg)[0]).select("key", "display", "task", "n_rows")
+
+
+SQL["dataset_metadata"] = """
+SELECT 'part' AS name, count(*) AS n_rows, (SELECT count(*) FROM (DESCRIBE part)) AS n_cols,
+  (SELECT count(*) FROM (DESCRIBE part)) - 1 AS n_features, 'p_retailprice' AS target,
+  CASE WHEN count(DISTINCT p_retailprice) <= 2 THEN 'classification' ELSE 'regression' END AS task,
+  'retail' AS sector, 'Parts' AS display, 'files' AS source, 'part.parquet' AS fetch_key, 'small' AS scale,
+  'synthetic' AS license FROM part"""
+
+
+@register("dataset_metadata")
+def q_dataset_metadata(spark, sf):
+    from ..sources.tables import metadata
+
+    ds = Dataset("part", read_table(spark, sf, "part"), "p_retailprice", ["p_partkey"], sector="retail", meta=dict(
+        display="Parts", source="files", fetch_key="part.parquet", scale="small", license="synthetic"))
+    return metadata(ds).select("name", "n_rows", "n_cols", "n_features", "target", "task", "sector", "display",
+                               "source", "fetch_key", "scale", "license")
+
+
+SQL["failure_details"] = f"""WITH res AS ({RES_SQL})
+SELECT status, substr(string_split(error, chr(10))[1], 1, 120) AS message, count(*) AS count,
+  count(DISTINCT (key, method)) AS n_pairs
+FROM res WHERE status IS NULL OR status <> 'ok' GROUP BY 1, 2"""
+
+
+@register("failure_details")
+def q_failure_details(spark, sf):
+    return R.failure_details(_res(spark, sf))
+
+
+SQL["store_round_trip"] = SQL["family_scores"]
+
+
+@register("store_round_trip")
+def q_store_round_trip(spark, sf):
+    """Scores per pair, stored twice and compacted in between: every row is there once."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from ..sources.results import append_results, compact_results, read_results
+
+    scores = R.family_scores(_res(spark, sf)).select("key", "method", "model_family", "value")
+    folder = f"{ensure_checkpoint_dir(spark)}/store-{uuid.uuid4().hex}"
+    append_results(scores, folder)
+    compact_results(spark, folder)
+    append_results(scores, folder)
+    return read_results(spark, folder).select("key", "method", "model_family", r6(F.col("value")).alias("value"))
+
+
+SQL["timeout_rows"] = """
+SELECT 'documents' AS key, 'sleeps' AS method, 'timeout' AS status, 1.0::DOUBLE AS gen_elapsed_s
+WHERE EXISTS (SELECT 1 FROM documents)"""
+
+
+class SleepingMethod:
+    name = "sleeps"
+
+    def fit(self, train, target, task):
+        import time
+
+        time.sleep(20)
+
+
+@register("timeout_rows")
+def q_timeout_rows(spark, sf):
+    from ..sources.results import rows_to_frame
+    from .run import run_dataset
+
+    rows = run_dataset(spark, _doc_dataset(spark, sf), [SleepingMethod()], ["linear"], budget_seconds=1)
+    return rows_to_frame(spark, rows).select("key", "method", "status", "gen_elapsed_s")
+
+
+# --------------------------------------------------------------------------- #
+# Ready-to-train folds, logistic optimum
+# --------------------------------------------------------------------------- #
+SQL["ready_folds"] = SQL["tree_profile"]
+
+
+@register("ready_folds")
+def q_ready_folds(spark, sf):
+    from .run import iter_folds
+
+    oc = orders_customer(spark, sf).select("o_orderkey", "o_orderstatus", *_LIN_NUM, *_LIN_CAT)
+    ds = Dataset("orders", oc, "o_orderstatus", ["o_orderkey"], task="classification")
+    (fold,) = iter_folds(ds, "tree")
+    both = fold.train.withColumn("is_test", F.lit(False)).unionByName(fold.test.withColumn("is_test", F.lit(True)))
+    return both.select("o_orderkey", "is_test", *[r6(F.col(c)).alias(c) for c in _LIN_NUM], *_LIN_CAT)
+
+
+def _newton_sql(steps: int = 12) -> str:
+    """Newton's steps to the logistic optimum of one column, each a query over all rows."""
+    parts = [f"""tr AS MATERIALIZED (SELECT n_chars / 1000.0 AS x, (quality = 1)::DOUBLE AS y FROM {DL_SPLIT} t
+  WHERE NOT is_test AND quality IS NOT NULL)""", "b0 AS (SELECT 0::DOUBLE AS a, 0::DOUBLE AS w)"]
+    for i in range(steps):
+        parts.append(f"""b{i + 1} AS MATERIALIZED (
+  SELECT a - (hww * ga - haw * gw) / (haa * hww - haw * haw) AS a, w - (haa * gw - haw * ga) / (haa * hww - haw * haw) AS w
+  FROM (SELECT any_value(a) AS a, any_value(w) AS w, sum(p - y) AS ga, sum((p - y) * x) + any_value(w) AS gw,
+          sum(p * (1 - p)) AS haa, sum(p * (1 - p) * x) AS haw, sum(p * (1 - p) * x * x) + 1 AS hww
+        FROM (SELECT x, y, a, w, 1 / (1 + exp(-(a + w * x))) AS p FROM tr, b{i}) q) h)""")
+    return f"WITH {', '.join(parts)} SELECT round(w, 4) AS coef, round(a, 4) AS intercept FROM b{steps}"
+
+
+SQL["logistic_coeffs"] = _newton_sql()
+
+
+@register("logistic_coeffs")
+def q_logistic_coeffs(spark, sf):
+    from pyspark.ml.feature import VectorAssembler
+
+    from ..operators.models import logistic_estimator
+
+    tr, _ = train_test(dl_split(spark, sf))
+    tr = tr.where("quality IS NOT NULL").select((F.col("n_chars") / 1000.0).alias("x"),
+                                                F.col("quality").cast("double").alias("__c"))
+    v = VectorAssembler(inputCols=["x"], outputCol="__features").transform(tr)
+    model = logistic_estimator(v.count()).fit(v)
+    return spark.range(1).select(F.round(F.lit(float(model.coefficients[0])), 4).alias("coef"),
+                                 F.round(F.lit(float(model.intercept)), 4).alias("intercept"))

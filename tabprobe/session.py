@@ -72,7 +72,3 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="tabprobe-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(path)
     return path
-
-
-def is_ansi(spark: SparkSession) -> bool:
-    return str(spark.conf.get("spark.sql.ansi.enabled", "true")).lower() == "true"

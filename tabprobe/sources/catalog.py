@@ -34,11 +34,19 @@ def registry_frame(spark: SparkSession, rows: list[dict]) -> DataFrame:
     return spark.createDataFrame(data, REGISTRY_SCHEMA)
 
 
-def list_keys(registry: DataFrame) -> DataFrame:
-    return registry.select("key").orderBy("key")
+def list_keys(registry: DataFrame) -> list[str]:
+    """All keys, sorted; an empty key is an error."""
+    keys = [r[0] for r in registry.select("key").orderBy("key").collect()]
+    if any(not k for k in keys):
+        raise ValueError("the registry has an entry without a key")
+    return keys
 
 
 def lookup(registry: DataFrame, key: str) -> DataFrame:
+    """The entry of a key; an unknown one is an error."""
+    keys = list_keys(registry)
+    if key not in keys:
+        raise KeyError(f"unknown dataset {key!r}; known are {keys}")
     return registry.where(F.col("key") == F.lit(key))
 
 
@@ -64,18 +72,18 @@ def write_split_plan(plan: DataFrame, path: str) -> None:
 
 def load_split_plan(spark: SparkSession, path: str, registry: DataFrame | None = None) -> DataFrame:
     """Read the frozen plan; fall back to computing it from the registry."""
-    from .results import _exists
+    from .files import exists
 
-    if _exists(spark, path):
+    if exists(spark, path):
         return spark.read.schema(SPLIT_PLAN_SCHEMA).json(path)
     if registry is None:
         raise FileNotFoundError(path)
     return split_plan(registry)
 
 
-def key_duplicates(registry: DataFrame) -> DataFrame:
-    """Keys that occur more than once (must be empty)."""
-    return registry.groupBy("key").count().where(F.col("count") > 1)
+def key_duplicates(table: DataFrame, key: list[str] = ("key",)) -> DataFrame:
+    """Keys that occur more than once (none in a registry)."""
+    return table.groupBy(*key).count().where(F.col("count") > 1)
 
 
 def dataset_order(registry: DataFrame) -> DataFrame:
@@ -99,18 +107,20 @@ def build_corpus(members: DataFrame, exclusion: DataFrame, name: Column | str =
 
     ``members`` has ``suite_pos, pos`` and the name column; dedupe is an
     aggregation (min of the order key), so a name repeated in a third of
-    all rows is still one partial-aggregated group.
+    all rows is still one partial-aggregated group.  Members without a name aren't
+    duplicates of each other: all of them stay.
     """
     nm = F.col(name) if isinstance(name, str) else name
     others = [c for c in members.columns if c not in ("suite_pos", "pos")]
     keyed = members.withColumn("__lname", F.lower(nm)).withColumn("__k", F.sha2(F.col("__lname"), 256))
+    named = keyed.where(F.col("__k").isNotNull())
     # the order key alone is aggregated; names and bodies join back by it
-    first = keyed.groupBy("__k").agg(F.min(F.struct("suite_pos", "pos")).alias("__r")) \
+    first = named.groupBy("__k").agg(F.min(F.struct("suite_pos", "pos")).alias("__r")) \
         .select("__k", F.col("__r.suite_pos").alias("suite_pos"), F.col("__r.pos").alias("pos"))
-    first = keyed.join(first, ["__k", "suite_pos", "pos"]).dropDuplicates(["__k", "suite_pos", "pos"])
+    first = named.join(first, ["__k", "suite_pos", "pos"]).dropDuplicates(["__k", "suite_pos", "pos"])
     # left-anti on the exclusion names; AQE broadcasts it when it is small
     kept = first.join(exclusion.select(F.lower("name").alias("__lname")), "__lname", "left_anti")
-    out = kept.select("suite_pos", "pos", *others)
+    out = kept.unionByName(keyed.where(F.col("__k").isNull())).select("suite_pos", "pos", *others)
     out = out.orderBy("suite_pos", "pos") if cap is None else out.orderBy("suite_pos", "pos").limit(cap)
     if stubs is not None:
         out = out.unionByName(stubs, allowMissingColumns=True)

@@ -8,7 +8,6 @@ sparse triplets -- all as plain DataFrame operations.
 
 from __future__ import annotations
 
-import hashlib
 import json
 from dataclasses import dataclass, field
 from functools import reduce
@@ -20,6 +19,7 @@ from pyspark.sql import types as T
 from ..functions.scalar import finite_or_null, key_text
 from ..operators.encoders import split_columns
 from ..operators.rank import join_on
+from .files import list_files
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
@@ -88,18 +88,26 @@ def keyless_dataset(name: str, df: DataFrame, target: str, task: str | None = No
 # --------------------------------------------------------------------------- #
 # S2 / S3 / S4 / S5 / S6 / S7 assembly
 # --------------------------------------------------------------------------- #
-def read_csv_dir(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """CSV files whose name contains "train" (all of them), else every CSV."""
-    import glob
-    import os
-
-    files = sorted(glob.glob(os.path.join(path, "*.csv")))
-    pick = [f for f in files if "train" in os.path.basename(f).lower()] or files[:1]
+def read_csv_dir(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
+                 target: str | None = None) -> DataFrame:
+    """CSV files whose name contains "train" (all of them), else the first CSV, from
+    any file system Spark reads.  Files of like columns are one table; with a
+    ``target``, files of different columns are parts of it, joined on the columns
+    they share from the one that holds the target (:func:`assemble_on_shared`)."""
+    files = sorted((name, full) for name, full, _, _ in list_files(spark, path) if name.endswith(".csv"))
+    pick = [full for name, full in files if "train" in name.lower()] or [full for _, full in files[:1]]
     if not pick:
         raise FileNotFoundError(f"no CSV under {path}")
     r = spark.read.option("header", True)
     r = r.schema(schema) if schema is not None else r.option("inferSchema", True)
-    return r.csv(pick)
+    if target is None or len(pick) == 1:
+        return r.csv(pick)
+    parts: dict[tuple, list[str]] = {}
+    for f in pick:
+        header = tuple(spark.read.option("header", True).csv(f).columns)
+        parts.setdefault(header, []).append(f)
+    frames = [r.csv(fs) for fs in parts.values()]
+    return frames[0] if len(frames) == 1 else assemble_on_shared(frames, target)
 
 
 def assemble_on_shared(frames: list[DataFrame], target: str) -> DataFrame:
@@ -139,11 +147,18 @@ def union_parts(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
+MAX_DENSE_COLUMNS = 10_000
+
+
 def densify(triplets: DataFrame, row: str, feature: str, value: str,
             features: list | None = None, fill: float = 0.0) -> DataFrame:
-    """Sparse (row, feature, value) -> one column per feature, 0 where absent."""
+    """Sparse (row, feature, value) -> one column per feature, 0 where absent.
+    More than ``MAX_DENSE_COLUMNS`` different features are an error: name those wanted."""
     if features is None:
-        features = [r[0] for r in triplets.select(feature).distinct().orderBy(feature).collect()]
+        features = [r[0] for r in triplets.select(feature).distinct().limit(MAX_DENSE_COLUMNS + 1).collect()]
+        if len(features) > MAX_DENSE_COLUMNS:
+            raise ValueError(f"{feature} has more than {MAX_DENSE_COLUMNS} values; name the features wanted")
+        features = sorted((f for f in features if f is not None))
     wide = triplets.groupBy(row).pivot(feature, features).agg(F.sum(value))
     return wide.na.fill(fill, subset=[str(f) for f in features])
 
@@ -169,15 +184,22 @@ def infer_task(df: DataFrame, target: str) -> str:
     dt = df.schema[target].dataType
     if isinstance(dt, (T.StringType, T.BooleanType)):
         return "classification"
-    r = df.agg(F.approx_count_distinct(target, 0.01).alias("a"), F.count(F.lit(1)).alias("n")).first()
+    value = _counted(df, target)
+    r = df.agg(F.approx_count_distinct(value, 0.01).alias("a"), F.count(F.lit(1)).alias("n")).first()
     n = r["n"]
     limit = 2 if isinstance(dt, (T.FloatType, T.DoubleType, T.DecimalType)) else min(20, max(2, n // 20))
     if r["a"] > 4 * limit:
         return "regression"
-    d = df.agg(F.count_distinct(target)).first()[0]
+    d = df.agg(F.count_distinct(value)).first()[0]
     return task_rule(dt, d, n)
 
 
+def _counted(df: DataFrame, name: str):
+    """The column as its different values are counted: NaN is missing, not a value."""
+    c = F.col(name)
+    return F.when(~F.isnan(c), c) if isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)) else c
+
+
 def task_rule(dt: T.DataType, n_distinct: int, n: int) -> str:
     if isinstance(dt, (T.StringType, T.BooleanType)):
         return "classification"
@@ -190,17 +212,36 @@ def infer_task_columns(df: DataFrame, cols: list[str] | None = None) -> DataFram
     """The task each column would get as a target: one aggregation for all."""
     cols = cols or df.columns
     r = df.agg(F.count(F.lit(1)).alias("__n"),
-               *[F.count_distinct(c).alias(c) for c in cols]).first()
+               *[F.count_distinct(_counted(df, c)).alias(c) for c in cols]).first()
     rows = [(c, int(r[c]), int(r["__n"]), task_rule(df.schema[c].dataType, r[c], r["__n"]))
             for c in cols]
     return df.sparkSession.createDataFrame(rows, "col string, n_distinct long, n_rows long, task string")
 
 
+def metadata(ds: Dataset) -> DataFrame:
+    """One row: what ``profile`` and ``fingerprint`` tell of the table, its sector, and
+    where it comes from (``ds.meta``: display, source, fetch_key, scale, license)."""
+    feats = [c for c in ds.df.columns if c != ds.target]
+    cat, _ = _kinds(ds.df, feats)
+    known = [F.lit(ds.meta.get(k)).cast("string").alias(k)
+             for k in ("display", "source", "fetch_key", "scale", "license")]
+    return fingerprint(ds.df, ds.name).select(
+        "*", F.lit(len(feats)).cast("long").alias("n_features"), F.lit(len(cat)).cast("long").alias("n_categorical"),
+        F.lit(ds.target).alias("target"), F.lit(ds.resolved_task()).alias("task"), F.lit(ds.sector).alias("sector"),
+        *known)
+
+
+def _kinds(df: DataFrame, cols: list[str]) -> tuple[list[str], list[str]]:
+    """Categorical (text, boolean) and other columns."""
+    cat = [f.name for f in df.schema.fields
+           if f.name in cols and isinstance(f.dataType, (T.StringType, T.BooleanType))]
+    return cat, [c for c in cols if c not in cat]
+
+
 def profile(ds: Dataset) -> DataFrame:
     """One row: name, n_rows, n_features, n_categorical, target, task."""
     feats = [c for c in ds.df.columns if c != ds.target]
-    cat = [f.name for f in ds.df.schema.fields
-           if f.name in feats and isinstance(f.dataType, (T.StringType, T.BooleanType))]
+    cat, _ = _kinds(ds.df, feats)
     task = ds.resolved_task()
     return ds.df.agg(F.count(F.lit(1)).alias("n_rows")).select(
         F.lit(ds.name).alias("name"), "n_rows", F.lit(len(feats)).cast("long").alias("n_features"),
@@ -241,11 +282,6 @@ def fingerprint(df: DataFrame, name: str) -> DataFrame:
                            256), 1, 16).alias("fingerprint"))
 
 
-def fingerprint_py(n_rows: int, df: DataFrame) -> str:
-    txt = f"{n_rows}:{len(df.columns)}:{schema_text(df)}"
-    return hashlib.sha256(txt.encode()).hexdigest()[:16]
-
-
 def duplicate_fingerprints(fps: DataFrame) -> DataFrame:
     """Fingerprints shared by more than one table."""
     return fps.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"),

@@ -11,7 +11,7 @@ from tabprobe.operators.association import cap_columns, pearson_abs
 from tabprobe.operators.models import fit_and_score
 from tabprobe.operators.splits import add_split, hash_sample
 from tabprobe.plans import report, run
-from tabprobe.plans.methods import PandasMethod
+from tabprobe.plans.methods import SampledPandasMethod
 from tabprobe.sources.catalog import build_corpus
 from tabprobe.sources.tables import Dataset, attach_labels, column_profile, flatten_arrays, keyless_dataset
 
@@ -94,8 +94,8 @@ def test_nothing_is_cut_by_default(spark):
     left = spark.createDataFrame([(1,), (2,)], "k int")
     assert attach_labels(left, spark.createDataFrame([(1, 5)], "k int, y int"), ["k"]).count() == 2
     big = spark.range(200).select(F.col("id").cast("double").alias("x"), F.rand(1).alias("y"))
-    method = PandasMethod("p", lambda pdf, target, task: len(pdf), lambda pdf, n: pdf.assign(n=float(n)), ["n"],
-                          max_fit_rows=50)
+    method = SampledPandasMethod("p", lambda pdf, target, task: len(pdf), lambda pdf, n: pdf.assign(n=float(n)),
+                                 ["n"], fit_rows=50)
     assert method.fit(big, "y", "regression").transform(big).first()["n"] == 50
 
 

@@ -8,28 +8,50 @@ from tabprobe.sources.results import RESULT_SCHEMA, read_results, rows_to_frame
 from tabprobe.sources.tables import Dataset
 
 
-def _rows():
-    rows = []
-    for method, base in (("m_a", 0.5), ("m_b", 0.7)):
-        for fam in ("tree", "linear", "knn"):
-            for fold, add in (("f0", 0.0), ("f1", 0.2)):
-                rows.append(dict(key="german-credit", method=method, fold_id=fold, task="classification",
-                                 status="ok", model_family=fam, metric="auc", value=base + add,
-                                 gen_elapsed_s=10.0, n_features_generated=2, n_features_final=22))
-    rows.append(dict(key="german-credit", method="m_b", status="oom", error="killed"))
-    return rows
-
-
-def test_overview_golden_and_failures(spark):
-    res = rows_to_frame(spark, _rows())
-    ov = {r.method: (round(r.score, 3), r.is_best) for r in R.overview(res).collect()}
-    assert ov == {"m_a": (0.6, False), "m_b": (0.8, True)}
-    fails = R.failure_counts(res).collect()
-    assert [(f.method, f.status, f["count"]) for f in fails] == [("m_b", "oom", 1)]
-    table = R.overview_table(res).collect()
-    assert table[0]["GC"] == "0.600" and table[1]["GC"] == "**0.800**"
-    sp = R.speed_median(res).collect()
-    assert {r.method: r.median_txt for r in sp} == {"m_a": "10.0 s", "m_b": "10.0 s"}
+#: fold scores by dataset, method and family: eighths, so that means and ties are exact
+SCORES = {
+    ("harbor-traffic", "plain"): (4.0, {"tree": [0.25, 0.5, 0.75], "linear": [0.25]}),
+    ("harbor-traffic", "ratios"): (200.0, {"tree": [0.625], "linear": [0.125, 0.375], "knn": [0.25]}),
+    ("harbor-traffic", "bins"): (16.0, {"tree": [0.125]}),
+    ("bean-yield", "plain"): (2.0, {"knn": [0.875, 0.625]}),
+    ("bean-yield", "ratios"): (8.0, {"linear": [0.5]}),
+}
+FAILED = [("bean-yield", "bins", "timeout", "over 300 s"), ("bean-yield", "bins", "error", "bad bin\n  at line 3"),
+          ("harbor-traffic", "bins", "model_error", "bad bin\n  at line 9")]
+
+
+def _scored():
+    found = []
+    for (key, method), (seconds, families) in SCORES.items():
+        task = "regression" if key.startswith("harbor") else "classification"
+        found += [{"key": key, "method": method, "task": task, "status": "ok", "model_family": family,
+                   "fold_id": f"part{i}", "value": v, "gen_elapsed_s": seconds,
+                   "metric": "r2" if task == "regression" else "auc"}
+                  for family, folds in families.items() for i, v in enumerate(folds)]
+    return found + [{"key": k, "method": m, "status": st, "error": e} for k, m, st, e in FAILED]
+
+
+def test_report_cells(spark):
+    """Cells worked out by hand from ``SCORES``: a fold mean per family, their mean per cell."""
+    res = rows_to_frame(spark, _scored())
+    cells = {(r.key, r.method): (r.score, r.is_best) for r in R.overview(res).collect()}
+    assert cells == {
+        ("harbor-traffic", "plain"): (0.375, True), ("harbor-traffic", "ratios"): (0.375, True),  # a tie
+        ("harbor-traffic", "bins"): (0.125, False),
+        ("bean-yield", "plain"): (0.75, True), ("bean-yield", "ratios"): (0.5, False)}
+    table = {r.method: (r["HT"], r["BY"]) for r in R.overview_table(res).collect()}
+    assert table["plain"] == ("**0.375**", "**0.750**") and table["ratios"] == ("**0.375**", "0.500")
+    assert table["bins"][0] == "0.125"
+    assert {r.method: r.median_txt for r in R.speed_median(res).collect()} == {
+        "plain": "3.0 s", "ratios": "104.0 s", "bins": "16.0 s"}
+
+
+def test_failures_are_counted(spark):
+    res = rows_to_frame(spark, _scored())
+    assert {(r.key, r.method, r.status): r["count"] for r in R.failure_counts(res).collect()} == {
+        (k, m, st): 1 for k, m, st, _ in FAILED}
+    assert {(r.status, r.message, r["count"]) for r in R.failure_details(res).collect()} == {
+        ("timeout", "over 300 s", 1), ("error", "bad bin", 1), ("model_error", "bad bin", 1)}
 
 
 def test_narrow_rows_accepted(spark, tmp_path):
@@ -108,14 +130,14 @@ def test_status_stream(spark, tmp_path):
     from tabprobe.streaming.status import start_status
 
     out = str(tmp_path / "res")
-    append_results(rows_to_frame(spark, _rows()), out)
+    append_results(rows_to_frame(spark, _scored()), out)
     q = start_status(spark, out, str(tmp_path / "ck"), name="status_test")
     try:
         q.processAllAvailable()
         got = {r.status: r["count"] for r in spark.table("status_test").collect()}
     finally:
         q.stop()
-    assert got == {"ok": 12, "oom": 1}
+    assert got == {"ok": 12, "timeout": 1, "error": 1, "model_error": 1}
 
 
 def test_iter_folds_train_only_encoders(spark):
@@ -141,20 +163,43 @@ def test_unknown_family_is_model_error_row(spark):
     assert by["svm"]["status"] == "model_error" and "unknown model family" in by["svm"]["error"]
 
 
-def test_pandas_method(spark):
+def _centred():
+    """A mean as a mergeable state."""
     from tabprobe.plans.methods import PandasMethod
 
-    def fit(pdf, target, task):
-        return float(pdf["num_a"].mean())
+    return PandasMethod(
+        "centred", start=lambda: (0, 0.0), merge=lambda a, b: (a[0] + b[0], a[1] + b[1]),
+        add=lambda state, pdf, target, task: (state[0] + len(pdf), state[1] + float(pdf["num_a"].sum())),
+        finish=lambda state, target, task: state[1] / max(state[0], 1),
+        transform_pandas=lambda pdf, mean: pdf.assign(num_centred=pdf["num_a"] - mean), new_columns=["num_centred"])
 
-    def transform(pdf, mean):
-        return pdf.assign(num_centered=pdf["num_a"] - mean)
 
-    m = PandasMethod("centered", fit, transform, ["num_centered"])
-    rows = run_dataset(spark, _dataset(spark), [m], ["linear"], budget_seconds=None)
+def test_pandas_method(spark):
+    rows = run_dataset(spark, _dataset(spark), [_centred()], ["linear"], budget_seconds=None)
     assert rows[0]["status"] == "ok" and rows[0]["n_features_generated"] == 1
 
 
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_pandas_method_fits_on_every_row(spark, parts):
+    """States of any number of partitions merge into that of a single pass."""
+    n = 1_000_000
+    df = spark.range(n, numPartitions=parts).select((F.col("id") % 1000).cast("double").alias("num_a"),
+                                                    F.lit(0).alias("y"))
+    fitted = _centred().fit(df, "y", "regression")
+    assert fitted.state == 499.5
+    assert fitted.transform(df.limit(3)).columns == ["num_a", "y", "num_centred"]
+    assert _centred().fit(df.limit(0), "y", "regression").state == 0
+
+
+def test_pandas_states_merge_in_order(spark):
+    from tabprobe.plans.methods import PandasMethod
+
+    m = PandasMethod("order", start=list, merge=lambda a, b: a + b,
+                     add=lambda state, pdf, target, task: state + pdf["id"].tolist(),
+                     transform_pandas=lambda pdf, state: pdf, new_columns=[])
+    assert m.fit(spark.range(0, 100, numPartitions=50), "id", "regression").state == list(range(100))
+
+
 def test_csv_source_and_split_plan_roundtrip(spark, tmp_path):
     from tabprobe.sources import catalog as C
     from tabprobe.sources.tables import read_csv_dir
@@ -183,6 +228,68 @@ def test_compare_rows_and_summary(spark, tmp_path):
     assert len(res.rows) == 1 and res.rows[0]["status"] == "ok"
     assert res.rows[0].get("fold_id") is None          # compare() writes narrow rows
     summ = res.summary().collect()
-    assert {(r.key, r.method) for r in summ} == {("toy", "baseline"), (None, "baseline")}
+    assert {(r.key, r.method, r.status) for r in summ} == {("toy", "baseline", "ok"), (None, "baseline", "ok")}
     again = compare(spark, ["baseline"], [ds], ["linear"], out_dir=out)
     assert len(again.rows) == 1                          # resumed: nothing re-run
+
+
+def test_named_methods_and_failures_in_summary(spark):
+    noop = lambda tr, te, t, k: (tr, te)
+    res = compare(spark, [("my name", noop), ("mine too", BaselineMethod), Boom()], [_dataset(spark)], ["linear"])
+    assert {r["method"]: r["status"] for r in res.rows} == {"my name": "ok", "mine too": "ok", "boom": "error"}
+    failed = [r for r in res.summary().collect() if r.status != "ok"]
+    assert [(r.key, r.method, r.status, r["count"]) for r in failed] == [("toy", "boom", "error", 1)]
+    text = repr(res)
+    assert "my name" in text and "Failures" in text and "error, 1 times" in text
+    alone = compare(spark, [Boom()], [_dataset(spark)], ["linear"])
+    assert "No pair has a score" in repr(alone)
+
+
+def test_methods_see_two_tasks(spark):
+    seen = []
+
+    class Spy:
+        name = "spy"
+
+        def fit(self, train, target, task):
+            seen.append(task)
+            return BaselineMethod().fit(train, target, task)
+
+    ds = _dataset(spark)
+    run_dataset(spark, Dataset("m", ds.df, "target", ["id"], task="multiclass"), [Spy()], [], budget_seconds=None)
+    run_dataset(spark, Dataset("r", ds.df, "num_a", ["id"], task="regression"), [Spy()], [], budget_seconds=None)
+    assert seen == ["classification", "regression"]
+
+
+def test_datasets_of_a_sweep_overlap(spark, tmp_path):
+    """Two datasets at once, each in its pool, with the rows of the serial run."""
+    import threading
+    import time
+
+    met, together, pools = threading.Event(), [], set()
+    running = set()
+
+    class Meets:
+        name = "meets"
+
+        def fit(self, train, target, task):
+            pools.add(train.sparkSession.sparkContext.getLocalProperty("spark.scheduler.pool"))
+            running.add(threading.get_ident())
+            end = time.time() + 20
+            while len(running) < 2 and not met.is_set() and time.time() < end:
+                time.sleep(0.05)
+            met.set()
+            together.append(len(running))
+            return BaselineMethod().fit(train, target, task)
+
+    def sets(n):
+        return [Dataset(f"d{i}", _dataset(spark).df, "target", ["id"], task="classification") for i in range(n)]
+
+    def scores(folder):
+        return {(r.key, r.method, r.model_family): r.value for r in read_results(spark, folder).collect()}
+
+    out, serial = str(tmp_path / "two"), str(tmp_path / "one")
+    n, _ = run_benchmark(spark, sets(2), [Meets], out, ["linear"], budget_seconds=None, datasets_at_once=2)
+    assert n == 2 and max(together) == 2 and pools == {"dataset-d0", "dataset-d1"}
+    run_benchmark(spark, sets(2), [Meets], serial, ["linear"], budget_seconds=None, datasets_at_once=1)
+    assert scores(out) == scores(serial)
