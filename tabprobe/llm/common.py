@@ -22,9 +22,12 @@ def written(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
-              schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+def free_name(taken: list[str], name: str) -> str:
+    """``name``, with as many underscores as it takes to differ from all of ``taken``."""
+    lowered = {t.lower() for t in taken}
+    while name.lower() in lowered:
+        name += "_"
+    return name
 
 
 #: text (in characters or bytes) after which rows leave a task

@@ -8,14 +8,21 @@ Feistel network over exactly that many values (cycle walking keeps it in
 range), and the pseudonym is written back in the layout of the original: same
 length, separators and letter case, and again valid.  The permutation depends on
 the key and the kind only, so equal values have equal pseudonyms in every
-document, different values have different ones, and the key holder can undo it (a date
-whose month and day could change places is read month first).
+document, different values have different ones, and the key holder can undo it.
 
-Each text is rewritten where it lies; nothing is shuffled.
+A date whose month and day could change places is read month first, and stays one
+that is read so; one that can only be read day first stays such a one.  Dates
+written with one digit ("3/5/2021") are permuted among the dates that are written
+with as many.  Both have pseudonyms of their own, other than those of the same day
+in another form.
+
+Each text is rewritten where it lies, in time in proportion to its length; nothing
+is shuffled.
 
 Edge cases: a null text stays null; empty texts and texts without values stay
-as they are; repeated rows get equal results; other columns are kept by
-``pseudonymised`` and ignored by the query; an empty table gives no row.
+as they are; repeated rows get equal results; all other columns keep their values,
+and a count whose name is taken gets underscores after it; an empty table gives
+no row.
 """
 
 from __future__ import annotations
@@ -23,6 +30,7 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import re
+from bisect import bisect_left
 from functools import lru_cache
 from math import isqrt
 
@@ -30,6 +38,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabprobe.llm.common import free_name
+
 ROUNDS = 8
 KINDS = ("email", "iban", "ip", "date", "ssn", "phone", "card")
 FIRST_DAY, LAST_DAY = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).toordinal()
@@ -145,6 +155,18 @@ def _ip(f, m, undo):
     return ".".join(map(str, x.to_bytes(4, "big")))
 
 
+@lru_cache(maxsize=None)
+def _days(one_digit_month: bool, one_digit_day: bool, day_first: bool) -> list[int]:
+    """The days that a form of date can hold, in order: a month or day of one digit is
+    below 10, and a date that must be read day first has a day above 12."""
+    out = []
+    for n in range(FIRST_DAY, LAST_DAY + 1):
+        d = dt.date.fromordinal(n)
+        if not (one_digit_month and d.month > 9 or one_digit_day and d.day > 9 or day_first and d.day <= 12):
+            out.append(n)
+    return out
+
+
 def _date(f, m, undo):
     a, mark, b, c = m["d1"], m["mark"], m["d2"], m["d3"]
     orders = [("ymd", a, b, c)] if len(a) == 4 else [("mdy", c, a, b), ("dmy", c, b, a)]
@@ -157,9 +179,12 @@ def _date(f, m, undo):
             continue
         if not FIRST_DAY <= day_number <= LAST_DAY:
             return None
-        x = f.permute("date", LAST_DAY - FIRST_DAY + 1, day_number - FIRST_DAY, undo)
-        to = dt.date.fromordinal(FIRST_DAY + x)
-        parts = {"y": f"{to.year:04d}", "m": f"{to.month:02d}", "d": f"{to.day:02d}"}
+        short, day_first = (len(month) == 1, len(day) == 1), form == "dmy" and mark != "."
+        days = _days(*short, day_first)
+        kind = "date" + "".join(map(str, map(int, (*short, day_first)))) if any((*short, day_first)) else "date"
+        x = f.permute(kind, len(days), bisect_left(days, day_number), undo)
+        to = dt.date.fromordinal(days[x])
+        parts = {"y": f"{to.year:04d}", "m": f"{to.month:0{len(month)}d}", "d": f"{to.day:0{len(day)}d}"}
         return mark.join(parts[c] for c in form)
     return None
 
@@ -253,21 +278,20 @@ def replace_values(text: str, f: Feistel, undo: bool = False) -> tuple[str, list
     if not digit and not at:
         return text, counts
     spans: list[tuple[int, int, str]] = []
-    taken = bytearray(len(text)) if len(text) < 1 << 16 else None
+    taken = bytearray(len(text))
     for k, kind in enumerate(KINDS):
         if not (at if kind == "email" else digit):
             continue
         pattern, change = PATTERNS[kind]
         for m in pattern.finditer(text):
             a, b = m.span()
-            if any(taken[a:b]) if taken is not None else any(a < y and x < b for x, y, _ in spans):
+            if any(taken[a:b]):
                 continue
             new = change(f, m, undo)
             if new is not None:
                 counts[k] += 1
                 spans.append((a, b, new))
-                if taken is not None:
-                    taken[a:b] = b"\1" * (b - a)
+                taken[a:b] = b"\1" * (b - a)
     out, end = [], 0
     for a, b, new in sorted(spans):
         out += text[end:a], new
@@ -278,11 +302,12 @@ def replace_values(text: str, f: Feistel, undo: bool = False) -> tuple[str, list
 def pseudonymised(docs: DataFrame, *, key: bytes, undo: bool = False) -> DataFrame:
     """``docs`` with ``text`` rewritten (and ``n_chars`` adjusted where there is
     one) and a count column ``n_<kind>`` for each kind."""
-    names = [c for c in docs.columns if c not in {f"n_{k}" for k in KINDS}]
-    source = docs.select(*names).withColumn("text", F.col("text").cast("string"))
+    names = docs.columns
+    counts = [free_name(names, f"n_{k}") for k in KINDS]
+    source = docs.withColumn("text", F.col("text").cast("string"))
     at = names.index("text")
     fields = [f"`{x.name}` {x.dataType.simpleString()}" for x in source.schema.fields]
-    fields += [f"n_{k} bigint" for k in KINDS]
+    fields += [f"`{c}` bigint" for c in counts]
 
     def run(batches):
         f = Feistel(key)
@@ -294,7 +319,7 @@ def pseudonymised(docs: DataFrame, *, key: bytes, undo: bool = False) -> DataFra
                 columns = list(cut.columns)
                 columns[at] = pa.array([t for t, _ in done], columns[at].type)
                 columns += [pa.array(c, pa.int64()) for c in zip(*(n for _, n in done))]
-                return pa.RecordBatch.from_arrays(columns, [*names, *(f"n_{k}" for k in KINDS)])
+                return pa.RecordBatch.from_arrays(columns, [*names, *counts])
 
             for i, cell in enumerate(batch.column(at)):
                 text = cell.as_py()
