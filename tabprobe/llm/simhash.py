@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabprobe.llm.common import text_key, written
+from tabprobe.llm.common import free_name, text_key, written
 from tabprobe.llm.components import components
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -138,7 +138,8 @@ def one_per_component(docs: DataFrame, *, shingle: int = 3, max_bits: int = 3) -
         F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("first"))
     chosen = first.select(F.col("first.doc_id").alias("chosen_id"),
                           F.col("first.text_key").alias("chosen_key")).distinct()
-    keyed = docs.withColumn("__key", text_key())
+    key = free_name(docs.columns, "__key")
+    keyed = docs.withColumn(key, text_key())
     kept = keyed.join(chosen, keyed["doc_id"].eqNullSafe(chosen["chosen_id"])
-                      & (keyed["__key"] == chosen["chosen_key"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__key"]).drop("__key")
+                      & (keyed[key] == chosen["chosen_key"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", key]).drop(key)

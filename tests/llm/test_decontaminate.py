@@ -93,3 +93,57 @@ def test_verbatim_copies_do_not_hide_edited_ones(spark, make_docs):
         got = dc.report(dc.contaminated(make_docs(some), bench)).collect()
         assert {(r.doc_id, r.item_id): r.score for r in got} == brute(some, [(7, " ".join(item))])
         assert {1, 2} <= {r.doc_id for r in got}
+
+
+def test_common_phrases_fan_out_no_more_than_the_bound(spark, make_docs):
+    """20 000 items begin alike: a document with the phrase meets none of them, edited
+    and whole copies are found all the same."""
+    rng = random.Random(12)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    items = [(i, "which of the following " + " ".join(rng.choice(vocabulary) for _ in range(16))) for i in range(20_000)]
+    items += [(30_000 + i, "please pick the one right answer to it") for i in range(200)]  # equal and common throughout
+    built = dc.Items(items)
+    _, at, _, _ = built.found("He asked which of the following roads leads home. " * 50)
+    assert len(at) == 0
+    edited = items[77][1].split()
+    edited[9] = "changed"
+    rows = [(1, "which of the following was it " * 30), (2, "so " + " ".join(edited) + " end"), (3, items[5][1]),
+            (4, "please pick the one right answer to it")]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in dc.contaminated(make_docs(rows), bench).collect()}
+    assert got == {(2, 77), (3, 5)} | {(4, 30_000 + i) for i in range(200)}
+    seeds = np.unique(built.seeds[:2], axis=1, return_counts=True)
+    assert all(c <= 64 or n == 8 for n, c in zip(seeds[0][1], seeds[1]))  # whole items (8 words) aren't bounded
+
+
+def test_recall_on_paraphrased_copies(spark, make_docs):
+    """Against exhaustive alignment, for copies with every third to eighth word changed:
+    all but some of those in which hardly a run of three words is left."""
+    rng = random.Random(20)
+    vocabulary = [f"word{i}" for i in range(400)] + ["the", "of", "and", "to"] * 25
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(20, 60)))) for i in range(40)]
+    rows = []
+    for k in range(160):
+        text = items[k % 40][1].split()
+        step = 3 + k % 6
+        rows.append((k, " ".join(rng.choice(vocabulary) if i % step == step - 1 else w for i, w in enumerate(text))))
+    want = brute(rows, items)
+    got = {(r.doc_id, r.item_id): r.score for r in dc.report(dc.contaminated(
+        make_docs(rows), spark.createDataFrame(items, "item_id bigint, text string"))).collect()}
+    assert got.items() <= want.items() and len(got) >= 0.9 * len(want) and len(want) > 100
+
+
+def test_long_windows_are_cut_with_overlap():
+    hits = [(1, p, 0) for p in range(0, 3000, 3)]
+    parts = dc.windows(20, 4000, hits)
+    assert all(b - a <= 8 * 20 + 64 for a, b in parts)
+    covered = [any(a <= s and s + 40 <= b for a, b in parts) for s in range(0, 2900)]
+    assert all(covered)
+    assert dc.windows(10, 500, [(5, 100, 0), (1, 300, 2), (9, 400, 1)]) == [(93, 117), (291, 315)]
+
+
+def test_lone_words_and_taken_names(spark, make_docs):
+    docs = make_docs([(1, "yes it is"), (2, "no yes")]).withColumnsRenamed({"lang": "__key", "source": "__id"})
+    bench = spark.createDataFrame([(1, "Yes!")], "item_id bigint, text string")
+    assert dc.clean(docs, bench).count() == 2 and dc.clean(docs, bench).columns == docs.columns
+    assert dc.clean(docs, bench, min_item_words=1).count() == 0
