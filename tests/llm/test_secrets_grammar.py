@@ -78,3 +78,58 @@ def test_merging_generalises_and_probabilities_add_up():
         assert grammar.stop[s] + sum(grammar.hits[s].values()) == grammar.n[s]
     assert math.isfinite(grammar.log_likelihood("é"))
     assert grammar.n[0] >= len(values)
+
+
+HEX = "0123456789abcdef"
+MIXED = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+
+
+def text_of(rng, alphabet, n):
+    return "".join(rng.choice(alphabet) for _ in range(n))
+
+
+def test_automata_know_lengths_and_prefixes():
+    rng = random.Random(2)
+    grammar = sg.Automaton([text_of(rng, HEX, 32) for _ in range(130)])
+    assert len(grammar.n) == 33  # a state before each digit, and the end
+    assert grammar.accepts(text_of(rng, HEX, 32)) and not grammar.accepts(text_of(rng, HEX, 20))
+    assert not grammar.accepts(text_of(rng, HEX, 33)) and not grammar.accepts("g" * 32)
+    assert grammar.log_likelihood(text_of(rng, HEX, 20)) < grammar.log_likelihood(text_of(rng, HEX, 32)) - 20
+    two = sg.Automaton(["sk_" + text_of(rng, HEX, 20) for _ in range(90)] + ["ghp_" + text_of(rng, MIXED, 36) for _ in range(90)])
+    assert len(two.n) > 30
+    fresh = ["sk_" + text_of(rng, HEX, 20) for _ in range(50)] + ["ghp_" + text_of(rng, MIXED, 36) for _ in range(50)]
+    assert sum(map(two.accepts, fresh)) >= 90
+    for other in ("ghp_" + text_of(rng, HEX, 20), "sk_" + text_of(rng, HEX, 21), text_of(rng, HEX, 23), "identifier_42"):
+        assert not two.accepts(other)
+
+
+def test_unlabelled_keys_of_two_formats(spark, make_docs):
+    """Found with a recall above 0.9; identifiers and words are left alone."""
+    rng = random.Random(31)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 12))) for _ in range(500)]
+    prose = lambda: " ".join(rng.choice(words) for _ in range(30))
+    short = lambda: text_of(rng, "0123456789ABCDEFGHJKMNPQRSTVWXYZ", 12)
+    long = lambda: "tok-" + text_of(rng, HEX, 24)
+    rows = [(k, f"{prose()} token = {(short if k % 2 else long)()} {prose()}") for k in range(200)]
+    rows += [(1000 + k, f"{prose()} {(short if k % 2 else long)()} {prose()}") for k in range(100)]
+    clean = ["user_0042", "2024-05-17", "build-1.22.333", "ISBN978316148", "order/2291/item", "RC-2024-Q3", "tok-open",
+             "mail3.example.com", "4111111111111111", "deadbeef", "VERSION2"]
+    rows += [(2000 + k, f"{prose()} {clean[k % len(clean)]} {prose()}") for k in range(110)]
+    got = {r.doc_id: r for r in sg.find_secrets(make_docs(rows)).collect()}
+    assert sum(got[1000 + k].n_grammar == 1 for k in range(100)) >= 90
+    assert sum(got[2000 + k].n_grammar for k in range(110)) == 0
+    assert sum(got[k].n_grammar for k in range(200)) == 0  # labelled ones are base spans already
+
+
+def test_tokens_that_reach_beyond_a_base_match():
+    text = "x key0_" + "0123456789abcdef" * 2 + " y token=abcdefgh12 z abcdefgh"
+    base = sg.base_spans(text)
+    found = [v for _, _, v in sg.candidates(text, base)]
+    assert found == ["key0_" + "0123456789abcdef" * 2, "abcdefgh"]  # the labelled one lies within its match
+    assert [v for _, _, v in sg.candidates("a 12345678 b 1234567", [])] == ["12345678"]
+
+
+def test_automata_learned_from_the_tables_are_no_single_state(spark):
+    docs = spark.read.parquet(f"{SF.replace('0.001', '0.1')}/documents.parquet")
+    grammars, _ = sg.infer(docs, 1000, 0.05)
+    assert set(grammars) == {"assign", "hex"} and all(len(g.n) > 40 for g in grammars.values())
