@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabprobe.llm.common import id_crc
+from tabprobe.llm.common import free_name, id_crc
 
 WINDOW, PAD, TILE = 64, 256, 4096
 _LETTER = re.compile(r"[^\W\d_]")
@@ -200,9 +200,11 @@ def trained(docs: DataFrame, *, learn: Column | None = None, per_language: int =
 
 
 def identified(docs: DataFrame, model: ByteGRU | None) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``lang_score``."""
-    names = [c for c in docs.columns if c not in ("lang_pred", "lang_score")]
-    source = docs.select(*names)
+    """``docs`` with ``lang_pred`` and ``lang_score`` (with underscores after them if
+    these names are taken)."""
+    names = docs.columns
+    added = [free_name(names, c) for c in ("lang_pred", "lang_score")]
+    source = docs.withColumn("text", F.col("text").cast("string"))
     at = names.index("text")
     fields = [f"`{x.name}` {x.dataType.simpleString()}" for x in source.schema.fields]
 
@@ -221,7 +223,7 @@ def identified(docs: DataFrame, model: ByteGRU | None) -> DataFrame:
             pred, score = predict(texts)
             return pa.RecordBatch.from_arrays(
                 [*cut.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())],
-                [*names, "lang_pred", "lang_score"])
+                [*names, *added])
 
         for batch in batches:
             texts, s, held = [], 0, 0
@@ -234,7 +236,26 @@ def identified(docs: DataFrame, model: ByteGRU | None) -> DataFrame:
             if texts:
                 yield part(batch.slice(s, batch.num_rows - s), texts)
 
-    return source.mapInArrow(run, ", ".join([*fields, "lang_pred string", "lang_score double"]))
+    return source.mapInArrow(run, ", ".join([*fields, f"`{added[0]}` string", f"`{added[1]}` double"]))
+
+
+def in_a_language(docs: DataFrame, model: ByteGRU | None, min_evidence: float = 0.1) -> DataFrame:
+    """The documents that are in some language; columns as in ``docs``.
+
+    A document's evidence is the network's pooled probability of its best language,
+    times the share of letters among its characters that aren't space: the network
+    knows languages only, so what is hardly made of letters counts for less.
+    Documents below ``min_evidence`` go, as do null texts and texts without a
+    letter.  Without a network (no document is marked) the share of letters decides
+    alone, so a corpus without marks is kept.
+    """
+    pred, score = (free_name(docs.columns, c) for c in ("lang_pred", "lang_score"))
+    letters = F.length(F.regexp_replace("text", r"[^\p{L}]", ""))
+    share = F.try_divide(letters, F.length(F.regexp_replace("text", r"[\s]", "")))
+    if model is None:
+        return docs.where(F.coalesce(letters > 0, F.lit(False)) & (share >= min_evidence))
+    return identified(docs, model).where((F.col(pred) != "und") & (F.col(score) * share >= min_evidence)) \
+        .select(*docs.columns)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

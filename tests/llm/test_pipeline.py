@@ -50,3 +50,45 @@ def test_run_applies_all_stages(spark):
     assert 0 < len({r.doc_id for r in rows}) < total
     assert corpus_pipeline.ORACLE_SQL is None and [n for n, _ in corpus_pipeline.STAGES][-1] == "packing"
     assert re.match("op1_", next(iter(queries.SPARK)))
+
+
+def language_kept(rows, docs):
+    """The language stage by its definition: the network's score of each text by itself,
+    letters and blanks counted one by one."""
+    from tabprobe.llm import language_gru
+
+    model = language_gru.trained(docs)
+    out = set()
+    for d, text in rows:
+        solid = [c for c in text or "" if not c.isspace()]
+        letters = sum(c.isalpha() for c in solid)
+        if not letters:
+            continue
+        score = 1.0 if model is None else float(model.documents([text.encode()])[0].max())
+        if score * letters / len(solid) >= 0.1:
+            out.add(d)
+    return out
+
+
+JUNK = [(9001, "x9$ #%% 00"), (9002, "0101010101010 a"), (9003, "@@ ]] (( 3.14 2.71 e 1.41"), (9004, None), (9005, ""),
+        (9006, "12 34 ..."), (9007, "Hi"), (9008, "ein kurzer Satz"), (9009, "call 555-1234 or 555-9876, 10.2.3.4, now please"),
+        (9010, " \n a")]
+
+
+def test_language_stage_decides_by_score_and_letters(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    more = spark.createDataFrame([(d, t, None, "s", None) for d, t in JUNK], docs.schema)
+    docs = docs.unionAll(more)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, docs, SF).collect()}
+    assert kept == language_kept(rows, docs)
+    assert not kept & {9001, 9002, 9003, 9004, 9005, 9006} and {9007, 9008, 9009, 9010} <= kept
+
+
+def test_language_stage_without_marks_keeps_texts(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("lang", queries.F.lit(None).cast("string"))
+    more = spark.createDataFrame([(d, t, None, "s", None) for d, t in JUNK], docs.schema)
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, docs.unionAll(more), SF).collect()}
+    assert len(kept) == docs.count() + 5 and not kept & {9002, 9003, 9004, 9005, 9006}
+    taken = docs.withColumn("lang_pred", queries.F.lit("mine"))
+    assert {r.lang_pred for r in corpus_pipeline.language(spark, taken, SF).collect()} == {"mine"}
