@@ -21,10 +21,11 @@ PSEUDONYM_KEY = b"demonstration key, not a secret"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (no text or no letter in it) go.  The
-    network learns from the documents' own language marks."""
-    model = language_gru.trained(docs)
-    return language_gru.identified(docs, model).where("lang_pred <> 'und'").select(*docs.columns)
+    """Documents in no language go: those without a letter, and those whose evidence
+    (pooled probability of the best language times the share of letters) is below
+    0.1.  The network learns from the documents' own language marks; without marks
+    the share of letters decides alone."""
+    return language_gru.in_a_language(docs, language_gru.trained(docs), min_evidence=0.1)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +35,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that repeat half of a test item or more go."""
+    """Documents that repeat half of a test item or more go; items of one word take
+    none away, and without items all stay."""
     return decontaminate.clean(docs, read(spark, sf_dir, "benchmark"))
 
 
