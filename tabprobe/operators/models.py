@@ -1,22 +1,24 @@
 """The three-model panel (boosted trees, linear, kNN) and its scoring.
 
-Spark ML estimators fit distributed on the prepared training fold; metrics
-are aggregations over the scored test fold (see :mod:`.metrics`).
+Linear models are Spark ML estimators, trees those of :mod:`.trees`, neighbours
+those of :mod:`.knn`; metrics are aggregations over the scored test fold (see
+:mod:`.metrics`).
 """
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import finite_or_null
-from .encoders import exact_medians, fit_label_coder
+from .encoders import fit_label_coder
 from .knn import knn_predict
 from .metrics import auc_frame, auc_ovr_frame, regression_scores
+from .trees import fit_trees
 
 MODEL_FAMILIES = ("tree", "linear", "knn")
 # protocol values
@@ -32,23 +34,6 @@ KNN_SUBSAMPLE_SEED = 0
 MODEL_PARTITION_BYTES = 64 << 20
 
 
-def _tree_ready(train: DataFrame, test: DataFrame, features: list[str]):
-    """Spark trees have no missing branch: median-fill and add a missing
-    indicator for every column that has missing values in train."""
-    nulls = train.agg(*[F.sum(F.col(c).isNull().cast("long")).alias(c) for c in features]).first()
-    holes = [c for c in features if nulls[c]]
-    if not holes:
-        return train, test, list(features)
-    med = exact_medians(train, holes)
-
-    def fill(df):
-        extra = [F.col(c).isNull().cast("double").alias(f"{c}__missing") for c in holes]
-        cols = [F.coalesce(F.col(c), F.lit(med[c] if med[c] is not None else 0.0)).alias(c)
-                if c in holes else F.col(c) for c in df.columns]
-        return df.select(*cols, *extra)
-    return fill(train), fill(test), list(features) + [f"{c}__missing" for c in holes]
-
-
 def _assemble(df: DataFrame, features: list[str], n_rows: int | None = None) -> DataFrame:
     """Feature vector.  Iterative learners pass hundreds of times over the
     training input, so its partitions are sized by bytes."""
@@ -89,7 +74,7 @@ def _regression_row(scored: DataFrame, pred: str) -> dict:
 
 
 def fit_and_score(family: str, task: str, train: DataFrame, test: DataFrame,
-                  features: list[str], label: str, row_id: str, seed: int = 0,
+                  features: list[str], label: str, row_id: str,
                   tree_rounds: int = TREE_ROUNDS, knn_train_rows: int | None = None) -> dict:
     """Fit ``family`` on ``train``, score ``test``: ``{metric, value[, mae]}``.
 
@@ -110,21 +95,18 @@ def fit_and_score(family: str, task: str, train: DataFrame, test: DataFrame,
                 .join(pred, "qid", "left")
             return _regression_row(scored, "pred")
         if family == "tree":
-            trn, tst, feats = _tree_ready(train, test, features)
-            est = GBTRegressor(featuresCol="__features", labelCol="__y", maxIter=tree_rounds,
-                               maxDepth=TREE_DEPTH, stepSize=TREE_STEP, seed=seed)
-        else:
-            trn, tst, feats = train, test, features
-            st = trn.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(y).alias("sd")).first()
-            reg = RIDGE_ALPHA * (st["sd"] or 0.0) / max(st["n"], 1)
-            est = LinearRegression(featuresCol="__features", labelCol="__y", regParam=reg,
-                                   elasticNetParam=0.0, standardization=False,
-                                   # the normal equations are for few columns
-                                   solver="l-bfgs" if _has_vectors(trn, feats) else "normal")
-        tr_v = _assemble(trn.withColumn("__y", y), feats, trn.count())
-        te_v = _assemble(tst.withColumn("__y", y), feats)
-        model = est.fit(tr_v)
-        return _regression_row(model.transform(te_v), "prediction")
+            forest = fit_trees(train.withColumn("__y", y), features, "__y", task, rounds=tree_rounds,
+                               depth=TREE_DEPTH, rate=TREE_STEP)
+            return _regression_row(forest.scored(test.withColumn("__y", y), ["__y"], "prediction"), "prediction")
+        st = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(y).alias("sd")).first()
+        reg = RIDGE_ALPHA * (st["sd"] or 0.0) / max(st["n"], 1)
+        est = LinearRegression(featuresCol="__features", labelCol="__y", regParam=reg,
+                               elasticNetParam=0.0, standardization=False,
+                               # the normal equations are for few columns
+                               solver="l-bfgs" if _has_vectors(train, features) else "normal")
+        tr_v = _assemble(train.withColumn("__y", y), features, st["n"])
+        te_v = _assemble(test.withColumn("__y", y), features)
+        return _regression_row(est.fit(tr_v).transform(te_v), "prediction")
 
     coder = fit_label_coder(train, label)
     classes = coder.classes
@@ -136,21 +118,16 @@ def fit_and_score(family: str, task: str, train: DataFrame, test: DataFrame,
         pred = knn_predict(trs, tes, features, "__nid", "__nid", label, task, classes=classes, k=KNN_K)
         scored = tes.select(F.col("__nid").alias("qid"), code.alias("__c")) \
             .join(pred, "qid", "left").withColumn("__probs", F.col("probs"))
+    elif family == "tree":
+        forest = fit_trees(train.withColumn("__c", code), features, "__c", task, max(len(classes), 2),
+                           rounds=tree_rounds, depth=TREE_DEPTH, rate=TREE_STEP)
+        scored = forest.scored(test.withColumn("__c", code), ["__c"], "__probs")
     else:
-        if family == "tree":
-            trn, tst, feats = _tree_ready(train, test, features)
-            gbt = GBTClassifier(featuresCol="__features", labelCol="__c", maxIter=tree_rounds,
-                                maxDepth=TREE_DEPTH, stepSize=TREE_STEP, seed=seed)
-            est = gbt if binary else OneVsRest(classifier=gbt, featuresCol="__features",
-                                               labelCol="__c", parallelism=len(classes))
-        else:
-            trn, tst, feats = train, test, features
-            est = logistic_estimator(trn.count())
-        tr_v = _assemble(trn.withColumn("__c", code.cast("double")), feats, trn.count())
-        te_v = _assemble(tst.withColumn("__c", code), feats)
-        out = est.fit(tr_v).transform(te_v)
-        col = "probability" if "probability" in out.columns else "rawPrediction"
-        scored = out.withColumn("__probs", vector_to_array(F.col(col)))
+        n = train.count()
+        tr_v = _assemble(train.withColumn("__c", code.cast("double")), features, n)
+        te_v = _assemble(test.withColumn("__c", code), features)
+        out = logistic_estimator(n).fit(tr_v).transform(te_v)
+        scored = out.withColumn("__probs", vector_to_array(F.col("probability")))
     scored = scored.where(F.col("__c").isNotNull())
     if binary:
         pos = F.element_at("__probs", 2) if len(classes) == 2 else F.lit(0.0)
