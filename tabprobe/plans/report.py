@@ -48,24 +48,31 @@ def dataset_info(res: DataFrame, registry: DataFrame | None = None) -> DataFrame
 def legend(res: DataFrame, registry: DataFrame | None = None) -> DataFrame:
     """Datasets in report order (task, sector, key) with unique abbreviations:
     initials of the hyphenated key, repeats numbered 2, 3, ... in order."""
-    info = dataset_info(res, registry)
-    pos = F.row_number().over(Window.orderBy("task", "sector", "key"))
-    info = info.withColumn("pos", pos)
-    return info.join(abbreviations(info), "key").select("pos", "abbrev", "key", "task", "sector", "metric")
+    rows = dataset_info(res, registry).withColumn("base", initials(F.col("key"))) \
+        .orderBy("task", "sector", "key").collect()
+    labels = _numbered([r["base"] for r in rows])
+    return res.sparkSession.createDataFrame(
+        [(i, label, r["key"], r["task"], r["sector"], r["metric"]) for i, (r, label) in enumerate(zip(rows, labels), 1)],
+        "pos int, abbrev string, key string, task string, sector string, metric string")
 
 
-def abbreviations(keys: DataFrame) -> DataFrame:
-    """(key, abbrev) for ``(key, pos)`` rows: initials, and for taken labels the
-    first free number from 2 on, in ``pos`` order.  One row per report column,
-    read by the driver."""
+def _numbered(labels: list[str]) -> list[str]:
+    """Labels made unique: a taken one gets the first free number from 2 on."""
     taken: set[str] = set()
     out = []
-    for r in keys.select("key", initials(F.col("key")).alias("base")).orderBy(keys["pos"]).collect():
-        numbered = itertools.chain([r["base"]], (f"{r['base']}{i}" for i in itertools.count(2)))
-        label = next(x for x in numbered if x not in taken)
-        taken.add(label)
-        out.append((r["key"], label))
-    return keys.sparkSession.createDataFrame(out, "key string, abbrev string")
+    for base in labels:
+        numbered = itertools.chain([base], (f"{base}{i}" for i in itertools.count(2)))
+        out.append(next(x for x in numbered if x not in taken))
+        taken.add(out[-1])
+    return out
+
+
+def abbreviations(keys: DataFrame) -> DataFrame:
+    """(key, abbrev) for ``(key, pos)`` rows: initials, numbered where taken, in
+    ``pos`` order.  One row per report column, read by the driver."""
+    rows = keys.select("key", initials(F.col("key")).alias("base")).orderBy(keys["pos"]).collect()
+    return keys.sparkSession.createDataFrame(
+        list(zip([r["key"] for r in rows], _numbered([r["base"] for r in rows]))), "key string, abbrev string")
 
 
 def overview(res: DataFrame) -> DataFrame:
