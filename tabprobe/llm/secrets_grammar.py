@@ -53,8 +53,8 @@ KINDS = tuple(k for k, *_ in BASE)
 #: least length of a candidate: the least of a labelled value
 MIN_TOKEN = 8
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{%d,}" % MIN_TOKEN)
-#: tokens from which ordinary text is learned
-SHORT = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{2,%d}(?![A-Za-z0-9+/_=.-])" % (MIN_TOKEN - 1))
+#: ordinary text is learned from the shorter ones
+TOKEN = re.compile(r"[A-Za-z0-9+/_=.-]+")
 #: character classes and their sizes; any other character is a class of its own
 CLASSES = {"d": "0123456789", "f": "abcdef", "l": "ghijklmnopqrstuvwxyz",
            "F": "ABCDEF", "L": "GHIJKLMNOPQRSTUVWXYZ"}
@@ -65,7 +65,7 @@ _ALPHABET = 68
 FEW = 30
 #: probability of a step that a state hasn't seen
 UNSEEN = 1e-30
-#: tokens whose score a task remembers
+#: tokens whose number or score a task remembers
 REMEMBERED = 1 << 16
 
 
@@ -247,16 +247,25 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The values of base matches by kind, and (kind ``pair``) how often characters
     follow each other in short tokens."""
     pairs: Counter = Counter()
+    tokens: Counter = Counter()
+
+    def spend():
+        for token, n in tokens.items():
+            for two in zip((" ", *token), token):
+                pairs["".join(two)] += n
+        tokens.clear()
+
     for batch in batches:
         values: Counter = Counter()
         for cell in batch.column(0):
             text = cell.as_py() or ""
             values.update((kind, value) for kind, _, _, value in base_spans(text))
-            for token, n in Counter(SHORT.findall(text)).items():
-                for two in zip((" ", *token), token):
-                    pairs["".join(two)] += n
+            tokens.update([t for t in TOKEN.findall(text) if 1 < len(t) < MIN_TOKEN])
+            if len(tokens) > REMEMBERED:
+                spend()
         if values:
             yield as_batch([(*v, n) for v, n in values.items()], _LEARNED)
+    spend()
     if pairs:
         yield as_batch([("pair", p, n) for p, n in pairs.items()], _LEARNED)
 
