@@ -122,7 +122,10 @@ def _rows(batches, first_id: int, width: int, end_id: int, pad_id: int, dtype: s
 
     for batch in batches:
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            ids = np.append(enc.ids(text.as_py()), np.uint32(end_id)).astype(dtype)
+            ids = np.append(enc.ids(text.as_py()), np.uint32(end_id))
+            if ids.max() > np.iinfo(dtype).max:
+                raise ValueError(f"id {ids.max()} doesn't fit {dtype}; use <u4")
+            ids = ids.astype(dtype)
             full = len(ids) - len(ids) % width
             for s in range(0, full, width):
                 line([(doc_id, s, ids[s:s + width])])

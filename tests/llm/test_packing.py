@@ -134,3 +134,12 @@ def test_packed_matrix_round_trip(spark, sample, make_docs, tmp_path):
             assert sum((back[d][s] for s in sorted(back[d])), []) == expected_ids(text)[:-1] + [50256]
         if width == 2048:
             assert used > 0.95 * width * len(rows)
+
+
+def test_ids_that_do_not_fit_are_an_error(spark, make_docs):
+    import pytest
+
+    docs = make_docs([(1, "a few words")])
+    with pytest.raises(Exception, match="doesn't fit"):
+        pack_bestfit.packed_matrix(docs, end_id=70_000).collect()
+    assert pack_bestfit.packed_matrix(docs, end_id=70_000, dtype="<u4").count() == 1
