@@ -18,13 +18,14 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabprobe.llm.common import id_crc
+from tabprobe.llm.common import id_crc, written
 
 BITS = 18
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -93,8 +94,9 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def trained(docs: DataFrame, labels: DataFrame, *, learn: Column | None = None, sample: int = 6000,
-            epochs: int = 3, seed: int = 1, **options) -> np.ndarray:
-    """Weights learned from labelled documents where ``learn`` (on ``doc_id``) holds."""
+            sample_bytes: int = 256 << 20, epochs: int = 3, seed: int = 1, **options) -> np.ndarray:
+    """Weights learned from labelled documents where ``learn`` (on ``doc_id``) holds: the
+    first ``sample`` by hash, as far as their features fit ``sample_bytes`` together."""
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "quality")
     known = known.where(learn) if learn is not None else known
     known = known.groupBy("doc_id").agg(F.min("quality").alias("y"), F.max("quality").alias("top")) \
@@ -102,8 +104,11 @@ def trained(docs: DataFrame, labels: DataFrame, *, learn: Column | None = None,
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")) \
         .join(F.broadcast(known), "doc_id") \
         .select(F.xxhash64("doc_id", "text").alias("h"), "text", F.col("y").cast("int").alias("y")) \
-        .mapInArrow(_feature_rows, "h bigint, at binary, x binary, y int") \
-        .orderBy("h").limit(sample).collect()
+        .mapInArrow(_feature_rows, "h bigint, at binary, x binary, y int")
+    rows = written(rows.orderBy("h").limit(sample))
+    sizes = rows.select("h", (F.length("at") + F.length("x")).alias("size")).orderBy("h").collect()
+    fits = [h for (h, _), total in zip(sizes, accumulate(r["size"] for r in sizes)) if total <= sample_bytes]
+    rows = rows.where(F.col("h") <= fits[-1]).orderBy("h").collect() if fits else []
     model = FTRL(**options)
     order = np.random.default_rng(seed)
     data = [(np.frombuffer(r["at"], np.int32), np.frombuffer(r["x"], np.float32).astype(float), r["y"])

@@ -54,3 +54,13 @@ def test_query_held_out_accuracy_and_odd_rows(spark, make_docs):
     assert min(by[i] for i in range(12, 60) if i % 3 == 0) > max(by[i] for i in range(12, 60) if i % 3)
     assert {r.score for r in qf.report(odd, labels.limit(0)).collect()} == {0.5}
     assert qf.report(make_docs([]), labels).collect() == []
+
+
+def test_features_on_the_driver_are_bounded(spark, make_docs):
+    docs = make_docs([(i, f"word{i % 7} other{i % 3} " * 200) for i in range(60)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id bigint, quality int")
+    whole = qf.trained(docs, labels)
+    assert (whole != 0).any() and (qf.trained(docs, labels, sample_bytes=1 << 20) == whole).all()
+    assert not (qf.trained(docs, labels, sample_bytes=1) != 0).any()
+    part = qf.trained(docs, labels, sample_bytes=500)
+    assert (part != 0).any() and (part != whole).any()
