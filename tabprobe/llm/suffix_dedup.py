@@ -504,7 +504,7 @@ def block_count(docs: DataFrame, block_bytes: int) -> int:
     return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // block_bytes))
 
 
-def without_repeats(docs: DataFrame, *, buckets: int | None = None, block_bytes: int = 64 << 20) -> DataFrame:
+def without_repeats(docs: DataFrame, *, buckets: int | None = None, block_bytes: int = 16 << 20) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the bytes ``kept`` of each
     document.  ``buckets``: how many blocks, and how many index families
     (default: counted from the texts, so that a block has about ``block_bytes``
