@@ -85,25 +85,32 @@ def _document_lines(docs: DataFrame, host: str) -> DataFrame:
         .groupBy("host", "doc", "line").agg(F.sum("words").alias("words"))
 
 
-def frequent_lines(document_lines: DataFrame, max_docs: int) -> DataFrame:
-    """(host, line) in more than ``max_docs`` different texts of the host."""
-    return document_lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs")) \
+def frequent_lines(document_lines: DataFrame, max_docs: int, min_share: float = 0.0) -> DataFrame:
+    """(host, line) in more than ``max_docs`` different texts of the host, and in more than
+    ``min_share`` of all its different texts that hold a line."""
+    often = document_lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs")) \
         .where(F.col("n_docs") > max_docs)
+    if not min_share:
+        return often
+    hosts = document_lines.select("host", "doc").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("of"))
+    return often.join(hosts, "host").where(F.col("n_docs") > F.lit(min_share) * F.col("of")).drop("of")
 
 
-def _found(docs: DataFrame, host: str, max_docs: int) -> DataFrame:
+def _found(docs: DataFrame, host: str, max_docs: int, min_share: float) -> DataFrame:
     """(host, doc, line, words) of boilerplate lines in documents."""
-    lines = written(_document_lines(docs, host))  # read twice: to count, and to mark
-    frequent = frequent_lines(lines, max_docs).select("host", "line", F.explode(
+    lines = written(_document_lines(docs, host))  # read again to mark
+    frequent = frequent_lines(lines, max_docs, min_share).select("host", "line", F.explode(
         F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     return lines.withColumn("salt", F.pmod("doc", F.lit(SALTS)).cast("int")) \
         .join(frequent, ["host", "line", "salt"])
 
 
-def verdicts(docs: DataFrame, *, host: str = "source", max_docs: int = 10,
+def verdicts(docs: DataFrame, *, host: str = "source", max_docs: int = 10, min_share: float = 0.0,
              min_kept: float = 0.5) -> DataFrame:
     """The base measures, ``n_removed_words`` (words in boilerplate lines) and
-    ``kept`` for every document."""
+    ``kept`` for every document.  ``min_share`` (default: none) is the share of a host's
+    texts that a line must exceed beside ``max_docs``: with it, the verdict on a line
+    that few of a host's texts share doesn't change as the host grows."""
     # a narrow table, so that a later filter on the verdict isn't pushed into
     # (and evaluated once per word of) the array expressions
     base = written(base_measures(docs.select("doc_id", F.xxhash64(F.col(host)).alias("host"),
@@ -111,7 +118,7 @@ def verdicts(docs: DataFrame, *, host: str = "source", max_docs: int = 10,
                                  ["doc_id", "host", "doc"]))
     copies = docs.groupBy(F.xxhash64(F.col(host)).alias("host"), text_key().alias("doc")) \
         .agg(F.count(F.lit(1)).alias("copies"))
-    removed = _found(docs, host, max_docs).groupBy("host", "doc").agg(F.sum("words").alias("words")) \
+    removed = _found(docs, host, max_docs, min_share).groupBy("host", "doc").agg(F.sum("words").alias("words")) \
         .join(copies, ["host", "doc"]) \
         .select("host", "doc", (F.col("words") / F.col("copies")).cast("long").alias("removed"))
     salted = removed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -124,11 +131,11 @@ def verdicts(docs: DataFrame, *, host: str = "source", max_docs: int = 10,
                                                 >= F.lit(min_kept) * F.col("n_words"))).alias("kept"))
 
 
-def without_boilerplate(docs: DataFrame, *, host: str = "source", max_docs: int = 10,
+def without_boilerplate(docs: DataFrame, *, host: str = "source", max_docs: int = 10, min_share: float = 0.0,
                         min_kept: float = 0.5) -> DataFrame:
     """``docs`` without boilerplate lines and without depleted documents: all
     columns, ``text`` being what is left."""
-    lines = _found(docs, host, max_docs).groupBy("host", "doc") \
+    lines = _found(docs, host, max_docs, min_share).groupBy("host", "doc") \
         .agg(F.collect_set("line").alias("__lines")) \
         .select(F.col("host").alias("__host"), F.col("doc").alias("__doc"), "__lines")
     keyed = docs.withColumns({"__h": F.xxhash64(F.col(host)), "__d": text_key()})

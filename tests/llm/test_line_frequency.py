@@ -76,3 +76,19 @@ def test_windows_that_share_most_bits_of_a_hash_differ(spark, make_docs):
     docs = make_docs([(1, " ".join(words)), (2, " ".join(words + repeat))])
     got = {r.doc_id: r.n_repeat_words for r in line_frequency.verdicts(docs).collect()}
     assert got == {1: 0, 2: 8}
+
+
+def test_share_limit_beside_the_count(spark, make_docs):
+    """A line of 12 of a host's 40 texts: over the count of 10, under a share of a half."""
+    rows = [(i, ("Subscribe to our letter\n" if i < 12 else "") + "All rights reserved\n" + prose(i, 60), None, "a")
+            for i in range(40)]
+    docs = make_docs(rows)
+
+    def removed(**options):
+        return {r.doc_id: r.n_removed_words for r in line_frequency.verdicts(docs, **options).collect()}
+
+    assert removed() == {i: 7 if i < 12 else 3 for i in range(40)}
+    assert removed(min_share=0.5) == {i: 3 for i in range(40)}
+    assert removed(min_share=0.25) == removed()
+    text = {r.doc_id: r.text for r in line_frequency.without_boilerplate(docs, min_share=0.5).collect()}
+    assert text[0] == "Subscribe to our letter\n" + prose(0, 60) and text[20] == prose(20, 60)
