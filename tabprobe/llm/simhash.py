@@ -136,10 +136,10 @@ def one_per_component(docs: DataFrame, *, shingle: int = 3, max_bits: int = 3) -
     # by root: components of rows without an id share a null component_id
     first = found.groupBy("root").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("first"))
-    chosen = first.select(F.col("first.doc_id").alias("chosen_id"),
-                          F.col("first.text_key").alias("chosen_key")).distinct()
+    # one key, never null, for the join and for equal rows: texts are shuffled once
     key = free_name(docs.columns, "__key")
-    keyed = docs.withColumn(key, text_key())
-    kept = keyed.join(chosen, keyed["doc_id"].eqNullSafe(chosen["chosen_id"])
-                      & (keyed[key] == chosen["chosen_key"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", key]).drop(key)
+    row_key = lambda doc_id, text: F.struct(doc_id.isNull().alias("n"), F.coalesce(doc_id, F.lit(0)).alias("d"),
+                                            text.alias("t"))
+    chosen = first.select(row_key(F.col("first.doc_id"), F.col("first.text_key")).alias(key))
+    return docs.withColumn(key, row_key(F.col("doc_id"), text_key())).join(chosen, key, "left_semi") \
+        .dropDuplicates([key]).drop(key)
