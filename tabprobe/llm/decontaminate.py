@@ -252,6 +252,8 @@ def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
 
 _FOUND = pa.schema([("doc_id", pa.int64()), ("doc", pa.int64()), ("item_id", pa.int64()),
                     ("score", pa.int64()), ("share", pa.float64()), ("end_word", pa.int64())])
+#: contaminated documents whose keys are broadcast
+BROADCAST_HITS = 1 << 20
 #: passages, and words of them, that are aligned at once
 AT_ONCE, WORDS_AT_ONCE = 256, 1 << 20
 
@@ -375,6 +377,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, min_item_words: int = 2, **o
     items = benchmark.where(n_words >= min_item_words)
     hit = contaminated(docs, items, **options).select(
         F.col("doc_id").alias("__id"), F.col("doc").alias("__hit")).distinct()
+    hit = written(hit)
+    if hit.count() <= BROADCAST_HITS:
+        hit = F.broadcast(hit)  # 16 bytes a row; beyond that, texts are shuffled
     key = free_name([*docs.columns, "__id", "__hit"], "__key")
     keyed = docs.withColumn(key, text_key())
     ids = hit.withColumnsRenamed({c: free_name(keyed.columns, c) for c in hit.columns})
