@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tabprobe.operators import knn
 from tabprobe.operators.association import eta_ranks, spearman_abs
 from tabprobe.operators.knn import knn_neighbors
 from tabprobe.operators.rank import join_hot
@@ -88,3 +89,29 @@ def test_associations_are_the_same_with_hot_joins(spark):
         want = {r.col: r.association for r in fn(df, ["a", "b"], target).collect()}
         got = {r.col: r.association for r in fn(df, ["a", "b"], target, **hot).collect()}
         assert got == {c: pytest.approx(v, rel=1e-9) for c, v in want.items()}
+
+
+@pytest.mark.parametrize("slab_rows", [1 << 16, 300])
+def test_pivots_copy_few_rows_where_no_bound_helps(spark, monkeypatch, slab_rows):
+    """Many features without clusters: a test row goes to each slab once, not to each unit."""
+    monkeypatch.setattr(knn, "SLAB_ROWS", slab_rows)
+    rng = np.random.default_rng(5)
+    train, test = [[(i, v) for i, v in enumerate(rng.normal(size=(n, 24)))] for n in (2000, 150)]
+    log = {}
+    assert searched(spark, train, test, 6, 20, log) == brute(train, test, 6)
+    assert log["slabs"] <= 2 * math.ceil(2000 / slab_rows)
+    assert log["test_copies"] <= log["slabs"] * len(test)
+    assert log["train_copies"] <= 2 * len(train)
+
+
+def test_many_pairs_go_by_pivots(spark, monkeypatch):
+    train, test = clustered(600, 3, 5, 1), clustered(80, 3, 5, 2)
+    schema = "id long, a double, b double, c double"
+    frames = [spark.createDataFrame([(i, *map(float, v)) for i, v in side], schema) for side in (train, test)]
+    got = []
+    for pairs in (knn.STREAM_PAIRS, 1000):
+        monkeypatch.setattr(knn, "STREAM_PAIRS", pairs)
+        log = {}
+        got.append(sorted(knn_neighbors(*frames, ["a", "b", "c"], "id", "id", k=4, log=log).collect()))
+        assert bool(log) == (pairs == 1000)
+    assert got[0] == got[1]
