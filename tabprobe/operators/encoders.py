@@ -58,7 +58,7 @@ def exact_medians(df: DataFrame, cols: list[str]) -> dict[str, float | None]:
     """Exact median (midpoint of the two middle values for even n) per column.
 
     Finite values only (NaN/inf count as missing).  Two passes over the columns
-    as they stand, no row is unpivoted.  The first takes each column's count and
+    alone (persisted), no row is unpivoted.  The first takes each column's count and
     a mergeable quantile sketch just below and above the middle (rank error
     <= n / accuracy).  The second counts, by conditional sums, the values below
     each bracket, and takes out those inside it (about 6 n / accuracy a column),
@@ -68,11 +68,20 @@ def exact_medians(df: DataFrame, cols: list[str]) -> dict[str, float | None]:
     """
     if not cols:
         return {}
-    spark = df.sparkSession
     acc = MEDIAN_SKETCH_ACCURACY
     delta = 3.0 / acc
     names = [f"v{i}" for i in range(len(cols))]
-    wide = df.select(*[finite_or_null(F.col(c)).alias(v) for c, v in zip(cols, names)])
+    # read by each pass: persisted, so that what df derives its rows from is computed once
+    wide = df.select(*[finite_or_null(F.col(c)).alias(v) for c, v in zip(cols, names)]).persist()
+    try:
+        return _medians_of(wide, cols, names, acc, delta)
+    finally:
+        wide.unpersist()
+
+
+def _medians_of(wide: DataFrame, cols: list[str], names: list[str], acc: int,
+                delta: float) -> dict[str, float | None]:
+    spark = wide.sparkSession
     row = wide.agg(*[F.count(v).alias(f"n_{v}") for v in names],
                    *[F.percentile_approx(v, [max(0.0, 0.5 - delta), min(1.0, 0.5 + delta)], acc).alias(f"q_{v}")
                      for v in names]).first()
