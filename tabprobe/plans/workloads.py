@@ -24,6 +24,7 @@ from ..operators import association as A
 from ..operators import encoders as E
 from ..operators.knn import knn_neighbors, knn_predict
 from ..operators.metrics import auc_frame, auc_ovr_frame, regression_scores
+from ..operators.rank import materialize
 from ..operators.splits import add_split, class_counts, hash_sample, overlap_check, train_test
 from ..sources import catalog as C
 from ..sources.tables import (Dataset, assemble_on_shared, attach_labels, column_profile, densify,
@@ -855,7 +856,8 @@ def q_method_baseline(spark, sf):
 def ratio_log_groupmean(train: DataFrame, test: DataFrame, target: str, task: str):
     """Example user method: group mean of the target by return flag (from
     train), a ratio and a log feature."""
-    gm = train.groupBy("l_returnflag").agg(F.avg(target).alias("grp_mean"))
+    # few groups: broadcast, so that the rows of a flag aren't sent to one task
+    gm = materialize(train.groupBy("l_returnflag").agg(F.avg(target).alias("grp_mean")))
 
     def add(df):
         return df.join(gm, "l_returnflag", "left").select(
@@ -1351,7 +1353,7 @@ def q_leaderboard(spark, sf):
     def relative_length(train, test, target, task):
         """Length relative to the mean length of the document's language on
         the training fold (languages coded by the prep step)."""
-        means = train.groupBy("lang").agg(F.avg("n_chars").alias("__mean"))
+        means = materialize(train.groupBy("lang").agg(F.avg("n_chars").alias("__mean")))
 
         def add(df):
             return df.join(means, "lang", "left").select(
