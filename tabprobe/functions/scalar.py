@@ -26,18 +26,23 @@ def seed_for_py(key: str) -> int:
     return (SPLIT_SEED_BASE + int(hashlib.sha256(key.encode()).hexdigest()[:8], 16)) % SEED_MODULUS
 
 
-def key_part(df: DataFrame, name: str) -> Column:
-    """Lossless text of one row-key column: a type tag, the length, the value.
+def _timestamp_text(c: Column) -> Column:
+    """yyyy-MM-dd HH:mm:ss.SSSSSS; midnights, as of dates, without a formatter."""
+    day = c.cast("date")
+    plain = (c == day.cast("timestamp_ntz")) & (F.year(day) > 0) & (F.year(day) < 10000)
+    return F.when(plain, F.concat(day.cast("string"), F.lit(" 00:00:00.000000"))) \
+        .otherwise(F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
-    Dates and timestamps keep their microseconds and doubles the shortest
-    digits that give them back; a NULL is ``n``.  Tags and lengths keep parts
-    apart, so different keys never share a text.
-    """
+
+def _key_pieces(df: DataFrame, name: str) -> list[Column]:
+    """Tag, length, colon and text of one row-key column, each NULL or not as the column is."""
     dt = df.schema[name].dataType
     c = F.col(name)
     if isinstance(dt, T.TimestampType):
         tag, text = "t", F.unix_micros(c).cast("string")
-    elif isinstance(dt, (T.DateType, T.TimestampNTZType)):
+    elif isinstance(dt, T.TimestampNTZType):
+        tag, text = "c", _timestamp_text(c)
+    elif isinstance(dt, T.DateType):
         tag, text = "c", F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
     elif isinstance(dt, (T.DoubleType, T.FloatType, T.DecimalType)):
         tag, text = "d", c.cast("string")
@@ -46,11 +51,23 @@ def key_part(df: DataFrame, name: str) -> Column:
     else:
         tag, text = "s", c.cast("string") if not isinstance(dt, (T.ArrayType, T.MapType, T.StructType)) \
             else F.to_json(F.struct(c))
-    return F.coalesce(F.concat(F.lit(tag), F.length(text).cast("string"), F.lit(":"), text), F.lit("n"))
+    return [F.lit(tag), F.length(text).cast("string"), F.lit(":"), text]
+
+
+def key_part(df: DataFrame, name: str) -> Column:
+    """Lossless text of one row-key column: a type tag, the length, the value.
+
+    Dates and timestamps keep their microseconds and doubles the shortest
+    digits that give them back; a NULL is ``n``.  Tags and lengths keep parts
+    apart, so different keys never share a text.
+    """
+    return F.coalesce(F.concat(*_key_pieces(df, name)), F.lit("n"))
 
 
 def key_text(df: DataFrame, key_cols: list[str]) -> Column:
-    return F.concat(*[key_part(df, c) for c in key_cols])
+    """The key parts put together: in one go where none is NULL."""
+    whole = F.concat(*[p for c in key_cols for p in _key_pieces(df, c)])
+    return F.coalesce(whole, F.concat(*[key_part(df, c) for c in key_cols]))
 
 
 def row_hash(df: DataFrame, key_cols: list[str], seed) -> Column:

@@ -9,11 +9,11 @@ rows with a missing label always stay in train.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import HOLDOUT_TEST_SIZE, row_hash, seed_for_py
-from .rank import hash_thresholds, join_on, materialize
+from .rank import BOUNDARY_LIMIT, hash_thresholds, join_on, materialize
 
 FOLD_ID = "split0"
 PROTOCOL = "holdout"
@@ -50,12 +50,47 @@ def add_split(df: DataFrame, key_cols: list[str], dataset_key: str, label: str |
     return hashed.select(*df.columns, F.lit(FOLD_ID).alias("fold_id"), is_test.alias("is_test"))
 
 
+#: hash prefixes (of 4096) on either side of the expected one whose hashes are kept whole
+PREFIXES_ASIDE = 16
+
+
+def _expected_threshold(hashed: DataFrame, h_col: str, fraction: float) -> tuple[int, str | None]:
+    """Number of rows, and the threshold if it lies where even hashes let expect it.
+
+    One pass: rows are counted per 3-digit prefix, but per whole hash near the
+    ``fraction`` of all, so that no hash elsewhere is stored or shuffled.
+    """
+    at = int(fraction * 4096)
+    lo, hi = (f"{min(max(at + d, 0), 4095):03x}" for d in (-PREFIXES_ASIDE, PREFIXES_ASIDE))
+    head = F.substring(h_col, 1, 3)
+    counts = hashed.groupBy(F.when(head.between(lo, hi), F.col(h_col)).otherwise(head).alias("h")) \
+        .agg(F.count(F.lit(1)).alias("n")).persist()
+    heads = {r["b"]: r["n"] for r in counts.groupBy(F.substring("h", 1, 3).alias("b")).agg(F.sum("n").alias("n"))
+             .collect()}
+    n = sum(heads.values())
+    k, before, thr = int(round(n * fraction)), 0, None
+    for b in sorted(h for h in heads if h is not None):
+        if before < k <= before + heads[b] and lo <= b <= hi and heads[b] <= BOUNDARY_LIMIT:
+            w = Window.orderBy("h").rowsBetween(Window.unboundedPreceding, 0)
+            # one prefix of 4096, no more than BOUNDARY_LIMIT rows
+            thr = counts.where(F.substring("h", 1, 3) == b).withColumn("upto", F.sum("n").over(w)) \
+                .where(F.col("upto") >= k - before).agg(F.min("h")).first()[0]
+        before += heads[b]
+    counts.unpersist()
+    return n, thr
+
+
 def first_k_threshold(hashed: DataFrame, h_col: str, k: int | None,
                       fraction: float | None = None) -> str | None:
     """The k-th smallest hash of the whole frame (k = round(n*fraction) if given)."""
+    if k is None:
+        n, thr = _expected_threshold(hashed, h_col, fraction)
+        k = int(round(n * fraction))
+        if thr is not None or k <= 0:
+            return thr
     narrow = hashed.select(h_col).persist()
     n = narrow.count()
-    k = int(round(n * fraction)) if k is None else min(int(k), n)
+    k = min(int(k), n)
     if k <= 0:
         narrow.unpersist()
         return None

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tabprobe.functions.scalar import seed_for_py
+from tabprobe.functions.scalar import key_text, seed_for_py
+from tabprobe.operators.encoders import exact_medians
 from tabprobe.operators.rank import average_ranks, cumulative_before, hash_thresholds
 from tabprobe.operators.splits import add_split, class_counts, hash_sample, overlap_check
 
@@ -107,3 +108,75 @@ def test_infer_task_rules(spark):
     assert infer_task(df, "b") == "classification"
     assert infer_task(df, "c") == "classification"     # 3 <= min(20, max(2, 100 // 20))
     assert infer_task(df, "s") == "classification"
+
+
+def _old_key_text(df, cols):
+    def part(c):
+        text = F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS") if dict(df.dtypes)[c] == "timestamp_ntz" \
+            else F.col(c).cast("string")
+        tag = {"timestamp_ntz": "c", "bigint": "i", "double": "d", "string": "s"}[dict(df.dtypes)[c]]
+        return F.coalesce(F.concat(F.lit(tag), F.length(text).cast("string"), F.lit(":"), text), F.lit("n"))
+    return F.concat(*[part(c) for c in cols])
+
+
+def test_key_text_keeps_its_form(spark):
+    df = spark.sql("""SELECT * FROM VALUES (1L, timestamp_ntz'1995-03-01 00:00:00', 1.5D, 'a'),
+      (null, timestamp_ntz'1995-03-01 10:20:30.000456', -0.0D, null), (-7L, null, null, ''),
+      (0L, timestamp_ntz'0001-01-01 00:00:00', 1e300D, 'n'), (2L, timestamp_ntz'9999-12-31 00:00:00', 2.0D, 'i1:2'),
+      (3L, timestamp_ntz'+12000-05-06 00:00:00', 3.0D, 'x'), (4L, timestamp_ntz'-0044-03-15 00:00:00', 4.0D, 'y')
+      AS t(a, b, c, d)""")
+    both = df.select(key_text(df, df.columns).alias("new"), _old_key_text(df, df.columns).alias("old")).collect()
+    assert all(r.new == r.old for r in both) and len(both) == 7
+
+
+def test_threshold_without_storing_all_hashes(spark, monkeypatch):
+    """One pass over even hashes; others fall back to the search by prefixes."""
+    from tabprobe.operators import splits as S
+
+    def searched(*a, **kw):
+        raise AssertionError("all hashes stored and searched")
+
+    rows = spark.range(20_000).select(F.sha2(F.col("id").cast("string"), 256).alias("h"))
+    want = sorted(r.h for r in rows.collect())
+    with monkeypatch.context() as m:
+        m.setattr(S, "hash_thresholds", searched)
+        assert S.first_k_threshold(rows, "h", None, 0.2) == want[3999]
+        twice = rows.unionByName(rows)
+        assert S.first_k_threshold(twice, "h", None, 0.2) == want[3999]
+        assert S.first_k_threshold(rows.limit(0), "h", None, 0.2) is None
+    odd = rows.limit(3).unionByName(spark.range(50).select(F.lit("f" * 64).alias("h")))
+    assert S.first_k_threshold(odd, "h", None, 0.2) == "f" * 64
+    few = sorted(r.h for r in rows.limit(9).collect())
+    assert S.first_k_threshold(rows.limit(9), "h", None, 0.2) == few[1]
+
+
+def test_median_reads_its_input_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    df = spark.range(1000).selectExpr("cast(id * 7 % 1000 as double) AS x").mapInPandas(counted, "x double")
+    assert exact_medians(df, ["x"]) == {"x": 499.5}
+    assert seen.value == 1000
+
+
+def test_group_means_are_broadcast(spark):
+    """Rows are not sent to one task per flag, whatever sizes are estimated."""
+    from tabprobe.plans.workloads import ratio_log_groupmean
+
+    df = spark.sql("""SELECT * FROM VALUES ('A', 2.0D, 0.5D, 10.0D), ('A', 1.0D, 0.0D, 20.0D), (null, 3.0D, 0.1D, 5.0D)
+      AS t(l_returnflag, l_quantity, l_discount, l_extendedprice)""")
+    old = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    for c, v in zip(old, ("-1", "false")):
+        spark.conf.set(c, v)
+    try:
+        out = ratio_log_groupmean(df, df, "l_extendedprice", "regression")[1]
+        assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+        got = sorted(((r.l_returnflag, r.grp_mean, r.qty_per_disc) for r in out.collect()), key=str)
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+    assert got == [("A", 15.0, 4.0), ("A", 15.0, None), (None, None, pytest.approx(30.0))]
