@@ -144,6 +144,7 @@ def _side_by_side(P: np.ndarray) -> np.ndarray:
 def _located(side: DataFrame, pivots: np.ndarray) -> DataFrame:
     """Nearest pivot of every row and the distance to it."""
     sent = side.sparkSession.sparkContext.broadcast(pivots)
+    least = np.lexsort(pivots.T[::-1])[0]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         P = sent.value
@@ -152,7 +153,8 @@ def _located(side: DataFrame, pivots: np.ndarray) -> DataFrame:
             for s in range(0, len(pdf), step):
                 part = pdf.iloc[s:s + step]
                 ids, X = _vectors(part)
-                at = _distances(X, P).argmin(axis=1)
+                # vectors with missing values go to the pivot of the smallest numbers
+                at = np.where(np.isnan(X).any(axis=1), least, _distances(X, P).argmin(axis=1))
                 yield pd.DataFrame({"id": ids, "x": part["x"].to_numpy(), "pivot": at.astype("int32"),
                                     "d": _exact(X, P[at])})
 
@@ -202,7 +204,9 @@ class Layout:
         plane[np.arange(len(X)), a] = 0.0
         here = to[:, self.pivot[of]]
         lower = np.maximum(np.maximum(here - self.hi[of], self.lo[of] - here), plane[:, self.pivot[of]])
-        return upper, lower - slack[:, None]
+        # a test row with a missing value has no bounds and visits no unit
+        lower = lower - slack[:, None]
+        return np.where(np.isnan(upper), np.inf, upper), np.where(np.isnan(lower), np.inf, lower)
 
     def search(self, slab: int, X: np.ndarray, upper: np.ndarray, rid: np.ndarray, B: np.ndarray,
                unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -212,6 +216,8 @@ class Layout:
         ids = np.full((len(X), k), np.iinfo("int64").max)
         far = np.full((len(X), k), np.inf)
         bound = upper.copy()
+        # units with a missing value are left out
+        missing = np.unique(unit[np.isnan(B).any(axis=1)])
         order = np.argsort(unit, kind="stable")
         at = np.searchsorted(unit[order], self.first[slab] + np.arange(np.count_nonzero(self.slab == slab) + 1))
         step = max(1, TILE_CELLS // max(CHUNK_ROWS, len(self.pivots), len(at)))
@@ -219,10 +225,15 @@ class Layout:
             part = slice(s, s + step)
             lower = self.bounds(X[part], slab)[1]
             # nearest units first, some thousand rows at a time
-            turn = np.argsort(lower.min(axis=0), kind="stable")
+            nearest = lower.min(axis=0)
+            turn = np.argsort(nearest, kind="stable")
+            turn = turn[np.isfinite(nearest[turn]) & ~np.isin(turn + self.first[slab], missing)]
+            if not len(turn):
+                continue
             rows_before = np.cumsum(at[turn + 1] - at[turn])
             for units in np.split(turn, np.flatnonzero(np.diff(rows_before // CHUNK_ROWS)) + 1):
-                r = s + np.flatnonzero(lower[:, units].min(axis=1) <= bound[part] * (1 + 1e-9))
+                low = lower[:, units].min(axis=1)
+                r = s + np.flatnonzero((low <= bound[part] * (1 + 1e-9)) & np.isfinite(low))
                 cols = np.concatenate([order[at[u]:at[u + 1]] for u in units])
                 width = max(1, TILE_CELLS // max(1, len(cols)))
                 for v in range(0, len(r) if len(cols) else 0, width):
@@ -331,7 +342,9 @@ def _by_pivots(tr: DataFrame, te: DataFrame, k: int, n_train: int, n_test: int,
                 ids, X = _vectors(part)
                 upper, lower = lay.bounds(X)
                 # a unit with k rows if there is one; equally near ones are dealt by id
-                lower = np.where(lay.rows >= k, lower, lower + lower.max(initial=0.0) - lower.min(initial=0.0) + 1.0)
+                known = np.isfinite(lower)
+                aside = lower.max(initial=0.0, where=known) - lower.min(initial=0.0, where=known) + 1.0
+                lower = np.where(lay.rows >= k, lower, lower + aside)
                 near = lower <= lower.min(axis=1, keepdims=True)
                 turn = ids % near.sum(axis=1)
                 unit = (near.cumsum(axis=1) > turn[:, None]).argmax(axis=1)
@@ -355,7 +368,7 @@ def _by_pivots(tr: DataFrame, te: DataFrame, k: int, n_train: int, n_test: int,
                 ids, X = _vectors(part)
                 upper = part["upper"].to_numpy()
                 lower = np.minimum.reduceat(lay.bounds(X)[1], lay.first, axis=1)
-                visit = lower <= upper[:, None] * (1 + 1e-9)
+                visit = (lower <= upper[:, None] * (1 + 1e-9)) & np.isfinite(lower)
                 visit[np.arange(len(part)), part["slab"].to_numpy()] = False
                 row, slab = np.nonzero(visit)
                 xs = part["x"].to_numpy()

@@ -115,3 +115,12 @@ def test_many_pairs_go_by_pivots(spark, monkeypatch):
         got.append(sorted(knn_neighbors(*frames, ["a", "b", "c"], "id", "id", k=4, log=log).collect()))
         assert bool(log) == (pairs == 1000)
     assert got[0] == got[1]
+
+
+def test_pivots_with_missing_values(spark):
+    """A ring with a missing value is left out, the others are still searched."""
+    train, test = clustered(600, 2, 6, 1), clustered(60, 2, 6, 2)
+    got = searched(spark, train + [(9000, (float("nan"), 0.0))], test + [(9001, (float("nan"), 1.0))], 4, 20)
+    want = brute(train, test, 4)
+    assert 9001 not in got and all(9000 not in ids for ids in got.values())
+    assert sum(got.get(q) == ids for q, ids in want.items()) > len(want) // 2
